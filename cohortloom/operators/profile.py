@@ -13,6 +13,7 @@ from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.dates import PARTIAL_TOKEN
 from cohortloom.functions.text import IDENTIFIER_ROLES, compact, field_label, field_role
 
+ROW = "_source_row"  # row number of read sources, not a column of the data
 IDENTIFIER_LIKE = re.compile(
     r"(^|_)(study|studyid|subject|subjid|usubjid|patnum|patient|site|siteid|id|seq)(_|$)"
 )
@@ -84,7 +85,7 @@ def profile(
     default); the limit applies in every task before the shuffle.
     ``approximate`` replaces the distinct count by an estimate and leaves formats and examples exact.
     """
-    columns = [c for c in df.columns if c != ".SOURCE_ROW"]
+    columns = [c for c in df.columns if c != ROW]
     position = (F.col(f"`{order_by}`") if order_by else F.monotonically_increasing_id()).alias("position")
     long = _unfolded(df, columns, [position])
     values = long.groupBy("place", "value").agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n"))
@@ -139,7 +140,7 @@ def candidate_key(df: DataFrame) -> list[str]:
     A cheap pass without a shuffle finds complete columns and rules out those whose estimated
     distinct count is far below the row count. Only the rest is counted exactly.
     """
-    columns = [c for c in df.columns if c != ".SOURCE_ROW"]
+    columns = [c for c in df.columns if c != ROW]
     trimmed = {c: F.trim(_text(c)) for c in columns}
     first = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -187,7 +188,7 @@ def grain(keys: Sequence[str], one_row_per_subject: bool = False) -> str:
 
 def join_fields(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> tuple[list[str], list[str]]:
     """Shared columns, and the ones to join by: shared keys, else shared identifier-like columns."""
-    common = [c for c in left.columns if c in right.columns and c != ".SOURCE_ROW"]
+    common = [c for c in left.columns if c in right.columns and c != ROW]
     shared_keys = [c for c in left_keys if c in right_keys and c in common]
     return common, (shared_keys or [c for c in common if identifier_like(c)])[:JOIN_FIELDS]
 

@@ -72,8 +72,15 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
+def shown_value(df: DataFrame, name: str) -> Column:
+    """Text of a value; whole numbers show without decimals."""
+    text = F.col(name).cast("string")
+    whole = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.regexp_replace(text, r"\.0$", "") if whole else text
+
+
 def record_key(df: DataFrame, keys: Sequence[str]) -> Column:
-    present = [F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys if k in df.columns]
+    present = [F.coalesce(shown_value(df, k), F.lit("NA")) for k in keys if k in df.columns]
     return F.concat_ws(" | ", *present) if present else F.lit("")
 
 
@@ -93,7 +100,7 @@ def row_issues(df: DataFrame, spec: TableSpec, rules: Sequence[RowRule], run_id:
     key = record_key(df, spec.keys)
     hits = []
     for r in rules:
-        actual = r.actual if r.actual is not None else F.col(r.variable)
+        actual = r.actual if r.actual is not None else shown_value(df, r.variable)
         hits.append(F.when(r.failing, F.struct(*_issue(r.rule_id, spec.name, r.variable, key, r.message, actual, run_id))))
     return df.select(F.explode(F.array_compact(F.array(*hits))).alias("issue")).select("issue.*")
 
@@ -236,7 +243,7 @@ def sequence_issues(
     rows = spread_join(df, broken_sequences(df, subject, number), [subject], "left_semi", policy=policy)
     key = record_key(rows, spec.keys)
     message = "Numbers of a subject must be 1..n without gap or repeat."
-    return rows.select(*_issue("LOCAL011", spec.name, number, key, message, F.col(number), run_id))
+    return rows.select(*_issue("LOCAL011", spec.name, number, key, message, shown_value(rows, number), run_id))
 
 
 def with_mapping_ids(issues: DataFrame, ids: DataFrame) -> DataFrame:

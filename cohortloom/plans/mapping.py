@@ -229,7 +229,7 @@ def build_domain(
     for t in rows:
         p = t.parameters
         if t.transform == "derive_sequence":
-            df = sequence(df, t.targets[0], list(p["record_variables"]), start_at=p.get("start_at", 1))
+            df = sequence(df, t.targets[0], [ROW if v == ".SOURCE_ROW" else v for v in p["record_variables"]], start_at=p.get("start_at", 1))
         elif t.transform == "derive_study_day":
             df = study_day(df, dm, p["target_date"], p["reference_date"], t.targets[0])
         else:

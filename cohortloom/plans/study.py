@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import specs
@@ -136,8 +136,7 @@ def date_notes(built: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def run_study(
-    spark: SparkSession, tasks: Sequence[Task], sources: Mapping[str, DataFrame], domain_sources: Mapping[str, str], plan: AnalysisPlan,
-    run_id: str = "",
+    tasks: Sequence[Task], sources: Mapping[str, DataFrame], domain_sources: Mapping[str, str], plan: AnalysisPlan, run_id: str = ""
 ) -> dict[str, Stage]:
     standard = standard_stage(tasks, sources, domain_sources, run_id)
     analysed = analysis_stage(standard, plan)

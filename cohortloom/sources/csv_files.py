@@ -10,7 +10,7 @@ from cohortloom.errors import ContractError
 
 # Spellings of a missing value in source files.
 NULL_TOKENS = ["", "NA", "N/A"]
-ROW = ".SOURCE_ROW"
+ROW = "_source_row"
 _BAD = "__corrupt"
 
 
