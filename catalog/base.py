@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.skew import SkewPolicy
 from cohortloom.plans import analysis
+from cohortloom.session import materialised
 from cohortloom.specs import AnalysisPlan, Treatment
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -161,6 +162,13 @@ def adae(spark: SparkSession, folder: str) -> DataFrame:
     return analysis.derive_events(ae(spark, folder), adsl(spark, folder), PLAN, ordered=False)
 
 
+def built(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Subject and event tables, written once: the checks read them many times."""
+    subjects = materialised(adsl(spark, folder), "ADSL")
+    events = analysis.derive_events(ae(spark, folder), subjects, PLAN, ordered=False)
+    return subjects, materialised(events, "ADAE")
+
+
 def masked(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates with unknown parts, empty texts and nulls."""
     o = table(spark, folder, "orders")

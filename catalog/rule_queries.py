@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     ADAE_SQL, ADSL_SQL, AE_SQL, DM_SQL, PARTIAL_SQL, PLAN, PRIORITIES, SEGMENTS, SMALL_PIECES,
-    adae, adsl, ae, dm, masked, table,
+    adae, adsl, ae, built, dm, masked, table,
 )
 from catalog.reshape_queries import CONVERSIONS, LONG_SQL, long_measures
 from cohortloom.functions import dates
@@ -171,14 +171,14 @@ SUBJECT_RULES_SQL = f"""
 def event_rules(spark, d):
     """Every event rule broken on some events."""
     k = F.col("AESEQ")
-    base = adae(spark, d)
+    subjects, base = built(spark, d)
     broken = base.filter(k % 200 != 11).withColumns({
         "USUBJID": F.when(k % 500 == 1, F.concat(F.lit("X"), "USUBJID")).otherwise(F.col("USUBJID")),
         "AENDT": F.when(k % 100 == 2, F.to_date(F.lit("1980-01-01"))).otherwise(F.col("AENDT")),
         "TRTEMFL": F.when(k % 100 == 3, "N").otherwise(F.col("TRTEMFL")),
         "TRTAN": F.when(k % 100 == 4, 99.0).otherwise(F.col("TRTAN")),
     })
-    return rules.validate_event_table(broken, ae(spark, d), adsl(spark, d), PLAN).select(*ANALYSIS)
+    return rules.validate_event_table(broken, ae(spark, d), subjects, PLAN).select(*ANALYSIS)
 
 
 EVENT_RULES_SQL = f"""
@@ -206,9 +206,10 @@ EVENT_RULES_SQL = f"""
 
 
 def clean_analysis(spark, d):
-    """No event rule fires on tables built by the library, apart from the structure of the reduced event table."""
-    issues = rules.validate_event_table(adae(spark, d), ae(spark, d), adsl(spark, d), PLAN)
-    structure = rules.analysis_structure(adae(spark, d), ADAE)
+    """No event rule fires on tables that the library built."""
+    subjects, events = built(spark, d)
+    issues = rules.validate_event_table(events, ae(spark, d), subjects, PLAN)
+    structure = rules.analysis_structure(events, ADAE)
     return issues.unionByName(structure).select(*ANALYSIS)
 
 
@@ -225,7 +226,8 @@ def denominator_check(spark, d):
 
 
 def stored_table_check(spark, d):
-    cells = tables.event_cells(adsl(spark, d), adae(spark, d), SEGMENTS, "TRT01P", arm="TRTP").select("lvl", "AEBODSYS", "AEDECOD", "grp", "display")
+    subjects, events = built(spark, d)
+    cells = tables.event_cells(subjects, events, SEGMENTS, "TRT01P", arm="TRTP").select("lvl", "AEBODSYS", "AEDECOD", "grp", "display")
     changed = cells.withColumn("display", F.when((F.col("lvl") == 0) & (F.col("grp") == "Total"), "0").otherwise(F.col("display")))
     same = rules.stored_table_issue(cells, cells, "T0")
     return same.unionByName(rules.stored_table_issue(changed, cells, "T1")).select(*ANALYSIS)
@@ -242,8 +244,9 @@ def flagged_subject_check(spark, d):
 
 
 def overall_check(spark, d):
-    cells = aggregates.subject_counts(adae(spark, d).filter("AOCCFL = 'Y'"), [], "TRTP", "USUBJID", SEGMENTS)
-    recount = aggregates.subject_counts(adae(spark, d).filter("SAFFL = 'Y' AND TRTEMFL = 'Y' AND AESEQ % 2 = 0"), [], "TRTP", "USUBJID", SEGMENTS)
+    _, events = built(spark, d)
+    cells = aggregates.subject_counts(events.filter("AOCCFL = 'Y'"), [], "TRTP", "USUBJID", SEGMENTS)
+    recount = aggregates.subject_counts(events.filter("SAFFL = 'Y' AND TRTEMFL = 'Y' AND AESEQ % 2 = 0"), [], "TRTP", "USUBJID", SEGMENTS)
     as_text = lambda df: df.select("grp", F.col("n").cast("string").alias("display"))
     return rules.overall_row_issue(as_text(cells), as_text(recount), "T1").select(*ANALYSIS)
 

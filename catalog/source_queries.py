@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.base import PRIORITIES, iso, table
 from cohortloom.operators import lookups
+from cohortloom.session import shared_folder
 from cohortloom.sources import csv_files, event_log, tables
 
 
 def scratch(spark, name):
-    """A new path in the folder that the session names for checkpoints; a local one only in local runs."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="cohortloom-")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _customer_csv(spark, d):

@@ -17,7 +17,7 @@ def order_sequence(spark, d):
 def event_sequence(spark, d):
     """Users with many events, each cut into pieces that are numbered apart."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
-    numbered = windows.sequence(e, "seq", ["ts", "event_id"], ["user_id"], 5, SMALL_PIECES)
+    numbered = windows.sequence(e, "seq", ["ts", "event_id"], ["user_id"], 5, policy=SMALL_PIECES)
     return numbered.select("event_id", "user_id", "seq")
 
 

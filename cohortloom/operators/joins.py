@@ -14,7 +14,7 @@ from cohortloom.functions.numbers import linear_convert, not_a_number, strict_nu
 from cohortloom.functions.text import norm_name, unit_alias
 from cohortloom.operators import lookups
 from cohortloom.operators.checks import Check, enforce, require_columns
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, distinct_keys, spread_join
+from cohortloom.operators.skew import DEFAULT, NO_HOT, HotKeys, SkewPolicy, distinct_keys, spread_join
 
 RELATIONSHIPS = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
 
@@ -149,6 +149,7 @@ def add_subject_vars(
     keys: Sequence[str],
     variables: Sequence[str],
     renames: Mapping[str, str] | None = None,
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Copy subject-level columns onto events, under new names where given.
@@ -156,12 +157,19 @@ def add_subject_vars(
     ``subjects`` has one row per key (a rule checks that); a subject with very many events is spread.
     """
     pruned = subjects.select(*keys, *variables)
-    return spread_join(events, pruned, keys, "left", policy=policy).withColumnsRenamed(dict(renames or {}))
+    return spread_join(events, pruned, keys, "left", False, hot, policy).withColumnsRenamed(dict(renames or {}))
 
 
-def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str], policy: SkewPolicy = DEFAULT) -> DataFrame:
+def orphans(
+    child: DataFrame, parent: DataFrame, on: Mapping[str, str], hot: HotKeys | None = None, policy: SkewPolicy = DEFAULT
+) -> DataFrame:
     """Child rows whose key the parent does not have."""
-    return spread_join(child, distinct_keys(parent, list(on.values())), on, "left_anti", policy=policy)
+    return spread_join(child, distinct_keys(parent, list(on.values())), on, "left_anti", False, hot, policy)
+
+
+def missing_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """Distinct child keys that the parent does not have; one row per key, so no key is hot."""
+    return orphans(distinct_keys(child, [key]), parent, {key: key}, NO_HOT)
 
 
 def lineage_ids(lineage: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def candidate_key(df: DataFrame) -> list[str]:
     first = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(is_blank(_text(c))).alias(f"b{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(trimmed[c], 0.01).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(trimmed[c]).alias(f"d{i}") for i, c in enumerate(columns)],
     ).first()
     rows = first["n"]
     complete = [c for i, c in enumerate(columns) if first[f"b{i}"] == 0]

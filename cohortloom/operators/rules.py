@@ -26,10 +26,10 @@ from cohortloom.functions.dates import (
     treatment_emergent,
 )
 from cohortloom.operators.aggregates import denominators, issue_summary, offender_list
-from cohortloom.operators.joins import orphans, repeated_keys
+from cohortloom.operators.joins import missing_keys, orphans, repeated_keys
 from cohortloom.operators.reshape import content_difference
 from cohortloom.operators.schema import has_kind
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, distinct_keys, spread_join
+from cohortloom.operators.skew import DEFAULT, SkewPolicy, spread_join
 from cohortloom.operators.windows import duplicate_rows
 from cohortloom.specs import TableSpec
 
@@ -217,7 +217,7 @@ def duplicate_key_issues(df: DataFrame, spec: TableSpec, run_id: str = "", polic
 def orphan_issues(
     child: DataFrame, parent: DataFrame, spec: TableSpec, subject: str = "USUBJID", run_id: str = "", policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
-    rows = orphans(child, parent, {subject: subject}, policy)
+    rows = orphans(child, parent, {subject: subject}, policy=policy)
     key = record_key(rows, spec.keys)
     return rows.select(*_issue("LOCAL010", spec.name, subject, key, "Subject is not in the subject table.", F.col(subject), run_id))
 
@@ -388,7 +388,7 @@ SUBJECT_TEXTS = {
 
 def validate_subject_table(adsl: DataFrame, dm: DataFrame, plan: specs.AnalysisPlan, policy: SkewPolicy = DEFAULT) -> DataFrame:
     failing = failing_rows(adsl, subject_table_rules(plan), F.coalesce(F.col("USUBJID"), F.lit("NA")))
-    absent = orphans(distinct_keys(dm, ["USUBJID"]), adsl, {"USUBJID": "USUBJID"}, policy)
+    absent = missing_keys(dm, adsl, "USUBJID")
     return union_all([
         row_count_issue(adsl, dm, "ADSL001", "ADSL", "There must be one row per source subject.", False, "USUBJID"),
         _listed_together(failing, SUBJECT_TEXTS, "ADSL", ["ADSL006", "ADSL007"], policy),
@@ -446,7 +446,7 @@ def validate_event_table(
 ) -> DataFrame:
     shown = F.concat(F.coalesce("USUBJID", F.lit("NA")), F.lit("/"), F.coalesce(F.col("AESEQ").cast("bigint").cast("string"), F.lit("NA")))
     failing = failing_rows(adae, event_table_rules(plan), shown)
-    unknown = orphans(distinct_keys(adae, ["USUBJID"]), adsl, {"USUBJID": "USUBJID"}, policy)
+    unknown = missing_keys(adae, adsl, "USUBJID")
     message = "A flag must mark exactly one row per emergent group."
     return union_all([
         row_count_issue(adae, ae, "ADAE001", "ADAE", "Row count must equal that of the source.", True),

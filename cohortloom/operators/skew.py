@@ -1,13 +1,17 @@
 """Joins, running totals and first-row flags that hold when one key owns a large share of the rows.
 
-A shuffle by key sends every row of a key to one task. The operators here find the few keys that
-are too large for that and spread only those over many tasks; all other keys take the plain path.
-Nothing is dropped, capped or estimated: the list of large keys decides how the work is cut up,
-never which rows are in the result.
-
-Size of what is broadcast: at most ``max_keys`` keys, with at most ``fan_out`` cut points each,
-whatever the table holds. A key that is not among the ``max_keys`` largest owns less than
-``1 / max_keys`` of the rows.
+A shuffle by key sends every row of a key to one task. The operators here first look for keys that
+are too large for that (one count per key, map-side combined, over the key columns only). Where
+there are none, the plan is the plain one. Where there are some, only their rows are spread over
+many tasks. Nothing is dropped, capped or estimated: the list of large keys decides how the work is
+cut up, never which rows are in the result.
+
+What reaches the driver or is broadcast is bounded whatever the table holds: at most ``max_keys``
+keys, with at most ``fan_out`` cut points each. A key that is not among the ``max_keys`` largest
+owns less than ``1 / max_keys`` of the rows.
+
+The count reads its input once more. Give it the source columns, pass a list that was found before
+(``hot=``), or checkpoint an input that is costly to compute.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROWS, _SALTS, _SALT = "__rows", "__salts", "__salt"
 _KEY, _CUTS, _BUCKET, _TOTAL, _BEFORE = "__order", "__cuts", "__bucket", "__total", "__before"
@@ -38,10 +43,41 @@ class SkewPolicy:
 DEFAULT = SkewPolicy()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """The largest keys with their row counts; at most ``policy.max_keys`` rows."""
+@dataclass(frozen=True)
+class HotKeys:
+    """The large keys of a table with their row counts; a short list, largest first."""
+
+    keys: tuple[str, ...]
+    schema: T.StructType
+    rows: tuple[tuple, ...]
+
+    def __bool__(self) -> bool:
+        return bool(self.rows)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), self.schema)
+
+    def only(self, keys: Sequence[str]) -> HotKeys:
+        """The same keys cut down to some of their columns."""
+        if not self.rows:
+            return self
+        places = [self.keys.index(k) for k in keys]
+        counts: dict[tuple, int] = {}
+        for row in self.rows:
+            key = tuple(row[i] for i in places)
+            counts[key] = counts.get(key, 0) + row[-1]
+        schema = T.StructType([*[self.schema[i] for i in places], self.schema[-1]])
+        return HotKeys(tuple(keys), schema, tuple((*k, n) for k, n in counts.items()))
+
+
+NO_HOT = HotKeys((), T.StructType(), ())  # for keys that are known to be unique or evenly spread
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> HotKeys:
+    """Count the rows per key and keep the large ones; one job, ``policy.max_keys`` rows at most."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
-    return counts.filter(F.col(_ROWS) >= policy.floor).orderBy(F.desc(_ROWS)).limit(policy.max_keys)
+    large = counts.filter(F.col(_ROWS) >= policy.floor).orderBy(F.desc(_ROWS)).limit(policy.max_keys)
+    return HotKeys(tuple(keys), large.schema, tuple(tuple(r) for r in large.collect()))
 
 
 def _pieces(policy: SkewPolicy) -> Column:
@@ -66,6 +102,7 @@ def spread_join(
     on: Mapping[str, str] | Sequence[str],
     how: str = "left",
     null_safe: bool = False,
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Equi-join for a left side with hot keys and a right side with one row per key.
@@ -76,17 +113,19 @@ def spread_join(
     """
     on = dict(on) if isinstance(on, Mapping) else {k: k for k in on}
     left_keys, right_keys = list(on), [f"__right{i}" for i in range(len(on))]
-    hot = hot_keys(left, left_keys, policy).withColumn(_SALTS, _pieces(policy)).drop(_ROWS)
+    renamed = right.withColumnsRenamed(dict(zip(on.values(), right_keys, strict=True)))
+    matches = _matches(left_keys, right_keys, null_safe)
+    hot = find_hot(left, left_keys, policy) if hot is None else hot
+    if not hot:
+        return left.join(renamed, matches, how).drop(*right_keys)
 
+    salted = hot.table(left.sparkSession).withColumn(_SALTS, _pieces(policy)).drop(_ROWS)
     salt = F.when(F.col(_SALTS).isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col(_SALTS))).otherwise(0)
-    spread = _mark(left, left_keys, hot).withColumn(_SALT, salt.cast("int")).drop(_SALTS)
-
-    renamed = right.withColumnsRenamed(dict(zip(on.values(), right_keys, strict=True)))
-    marked = _mark(renamed, right_keys, hot.withColumnsRenamed(dict(zip(left_keys, right_keys, strict=True))))
+    spread = _mark(left, left_keys, salted).withColumn(_SALT, salt.cast("int")).drop(_SALTS)
+    marked = _mark(renamed, right_keys, salted.withColumnsRenamed(dict(zip(left_keys, right_keys, strict=True))))
     salts = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
     repeated = marked.withColumn("__right_salt", F.explode(salts)).drop(_SALTS)
-
-    condition = _matches(left_keys, right_keys, null_safe) & (F.col(_SALT) == F.col("__right_salt"))
+    condition = matches & (F.col(_SALT) == F.col("__right_salt"))
     return spread.join(repeated, condition, how).drop(_SALT, "__right_salt", *right_keys)
 
 
@@ -111,13 +150,12 @@ def _place(cuts: Column, key: Column) -> Column:
     return F.when(cuts.isNull(), F.lit(0)).otherwise(place)
 
 
-def _cut_points(df: DataFrame, partition: Sequence[str], policy: SkewPolicy) -> DataFrame:
+def _cut_points(df: DataFrame, partition: Sequence[str], hot: HotKeys, policy: SkewPolicy) -> DataFrame:
     """Sorted cut points of each hot key, taken from its order keys by hash.
 
     The choice depends on the values only, so a lost task that runs again finds the same points.
     """
-    narrow = df.select(*partition, _KEY)
-    marked = _mark(narrow, partition, hot_keys(narrow, partition, policy)).filter(F.col(_ROWS).isNotNull())
+    marked = _mark(df.select(*partition, _KEY), partition, hot.table(df.sparkSession)).filter(F.col(_ROWS).isNotNull())
     wanted = _pieces(policy) * _OVERSAMPLE
     stride = F.greatest(F.call_function("div", F.col(_ROWS), wanted.cast("bigint")), F.lit(1))
     sampled = marked.filter(F.pmod(F.xxhash64(_KEY), stride) == 0)
@@ -134,6 +172,7 @@ def running_total(
     target: str,
     weight: str | None = None,
     start_at: int = 1,
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Exact row number, or running sum of ``weight``, per group in ``order`` (nulls last).
@@ -142,24 +181,27 @@ def running_total(
     numbered on its own and shifted by the total of the pieces before it.
     ``order`` must name each row of a group uniquely where the numbers have to be repeatable.
     """
+    sort = [F.asc_nulls_last(c) for c in order]
+
+    def numbered(frame: DataFrame, groups: Sequence[str]) -> Column:
+        window = Window.partitionBy(*groups).orderBy(*sort)
+        if weight:
+            return F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.row_number().over(window).cast("bigint") + (start_at - 1)
+
+    hot = find_hot(df, partition, policy) if hot is None else hot
+    if not hot:
+        return df.withColumn(target, numbered(df, partition))
+
     keyed = df.withColumn(_KEY, order_key(order))
-    cuts = _cut_points(keyed, partition, policy)
+    cuts = _cut_points(keyed, partition, hot, policy)
     placed = _mark(keyed, partition, cuts).withColumn(_BUCKET, _place(F.col(_CUTS), F.col(_KEY)))
-
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    totals = (
-        placed.filter(F.col(_CUTS).isNotNull()).groupBy(*partition, _BUCKET).agg(amount.alias(_TOTAL))
-    )
+    totals = placed.filter(F.col(_CUTS).isNotNull()).groupBy(*partition, _BUCKET).agg(amount.alias(_TOTAL))
     earlier = Window.partitionBy(*partition).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*partition, _BUCKET, F.sum(_TOTAL).over(earlier).alias(_BEFORE))
-
     shifted = _mark(placed.drop(_CUTS), [*partition, _BUCKET], before)
-    piece = Window.partitionBy(*partition, _BUCKET).orderBy(*[F.asc_nulls_last(c) for c in order])
-    if weight:
-        inside = F.sum(weight).over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        inside = F.row_number().over(piece).cast("bigint") + (start_at - 1)
-    value = inside + F.coalesce(F.col(_BEFORE), F.lit(0))
+    value = numbered(shifted, [*partition, _BUCKET]) + F.coalesce(F.col(_BEFORE), F.lit(0))
     return shifted.withColumn(target, value).drop(_KEY, _BUCKET, _BEFORE)
 
 
@@ -171,19 +213,33 @@ def flag_first(
     row_key: Sequence[str],
     last: bool = False,
     value: str = "Y",
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Set each flag on the first (or last) eligible row of its group; other rows stay null.
 
     ``flags`` names the grouping columns per flag, from coarse to fine, each a part of the next.
-    The rows are pre-aggregated to one candidate per finest group, coarser groups are built from
-    those candidates, and the winners are joined back on ``row_key``, which is unique per row and
-    so spreads evenly however large a group is.
+    Without a large group this is one window per flag over a single shuffle by the coarsest group.
+    With one, the rows are pre-aggregated to one candidate per finest group, coarser groups are
+    built from those candidates, and the winners are joined back on ``row_key``, which is unique
+    per row and so spreads evenly however large a group is.
     """
-    pick = F.max if last else F.min
     names = list(flags)
     ordering = [*order, *[k for k in row_key if k not in order]]
-    rank = order_key(ordering) if not last else F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(ordering)])
+    coarsest = list(flags[names[0]])
+    hot = find_hot(df, coarsest, policy) if hot is None else hot
+    if not hot:
+        counts = F.coalesce(eligible, F.lit(False))
+        ranked = df.drop(*names).withColumn("__eligible", counts)
+        sort = [F.desc_nulls_last(c) if last else F.asc_nulls_last(c) for c in ordering]
+        for name in names:
+            window = Window.partitionBy(*flags[name], "__eligible").orderBy(*sort)
+            first = F.col("__eligible") & (F.row_number().over(window) == 1)
+            ranked = ranked.withColumn(name, F.when(first, F.lit(value)))
+        return ranked.drop("__eligible")
+
+    pick = F.max if last else F.min
+    rank = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(ordering)]) if last else order_key(ordering)
     level = df.filter(eligible).select(*flags[names[-1]], rank.alias(_KEY))
     levels = {}
     for name in reversed(names):
@@ -196,4 +252,4 @@ def flag_first(
         chosen = levels[name].select(*keys, *marks)
         winners = chosen if winners is None else winners.unionByName(chosen)
     winners = winners.groupBy(*row_key).agg(*[F.max(n).alias(n) for n in names])
-    return spread_join(df.drop(*names), winners, row_key, "left", null_safe=True, policy=policy)
+    return spread_join(df.drop(*names), winners, row_key, "left", True, NO_HOT)

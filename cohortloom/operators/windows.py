@@ -11,7 +11,7 @@ from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.dates import is_complete_date
 from cohortloom.functions.numbers import decimals_needed, with_decimals
 from cohortloom.operators.joins import repeated_keys
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, flag_first, running_total, spread_join
+from cohortloom.operators.skew import DEFAULT, HotKeys, SkewPolicy, flag_first, running_total, spread_join
 
 SUBJECT = ("STUDYID", "USUBJID")
 
@@ -22,11 +22,12 @@ def sequence(
     record_vars: Sequence[str],
     subject: Sequence[str] = SUBJECT,
     start_at: int = 1,
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Number the rows of each subject in the order of ``record_vars``, nulls last."""
     order = [c for c in record_vars if c not in subject]
-    return running_total(df, list(subject), order, target, start_at=start_at, policy=policy)
+    return running_total(df, list(subject), order, target, None, start_at, hot, policy)
 
 
 def first_occurrence(
@@ -35,10 +36,11 @@ def first_occurrence(
     emergent: str = "TRTEMFL",
     order: Sequence[str] = ("ASTDT", "AESEQ"),
     row_key: Sequence[str] = (*SUBJECT, "AESEQ"),
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """``Y`` on the first emergent row of each group, one flag per grouping level (coarse to fine)."""
-    return flag_first(df, flags, F.col(emergent) == "Y", order, row_key, policy=policy)
+    return flag_first(df, flags, F.col(emergent) == "Y", order, row_key, hot=hot, policy=policy)
 
 
 def baseline_flag(
@@ -54,6 +56,7 @@ def baseline_flag(
     timepoint: str | None = None,
     baseline_timepoints: Iterable[str] = (),
     status: str | None = None,
+    hot: HotKeys | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """``Y`` on the last valid result of each subject and test before the reference date.
@@ -71,7 +74,7 @@ def baseline_flag(
     if status is not None:
         valid = valid & F.coalesce(F.col(status) != "NOT DONE", F.lit(True))
     before = (day < ref) | ((day == ref) & same_day)
-    return flag_first(df, {target: list(group)}, valid & before, [date], row_key, last=True, policy=policy)
+    return flag_first(df, {target: list(group)}, valid & before, [date], row_key, last=True, hot=hot, policy=policy)
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> DataFrame:

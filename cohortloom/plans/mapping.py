@@ -31,6 +31,7 @@ from cohortloom.operators.checks import Check, enforce
 from cohortloom.operators.joins import add_subject_vars, convert_units, guarded_left_join
 from cohortloom.operators.reshape import Finding, transpose_findings
 from cohortloom.operators.schema import conform
+from cohortloom.operators.skew import DEFAULT, NO_HOT, HotKeys, SkewPolicy, find_hot
 from cohortloom.operators.windows import baseline_flag, common_decimals_text, sequence
 from cohortloom.sources.csv_files import ROW
 from cohortloom.specs import Task
@@ -174,18 +175,21 @@ def _reference(task: Task, base: DataFrame, sources: Mapping[str, DataFrame]) ->
     return reference_datetime(base, key, parts, task.parameters["selection"], task.targets[0])
 
 
-def study_day(df: DataFrame, subjects: DataFrame, date: str, reference: str, target: str, subject: str = "USUBJID") -> DataFrame:
+def study_day(
+    df: DataFrame, subjects: DataFrame | None, date: str, reference: str, target: str, subject: str = "USUBJID", hot: HotKeys | None = None
+) -> DataFrame:
     """Study day from the subject's reference date; null where either date is incomplete."""
     if reference in df.columns:
         with_reference = df
     else:
-        with_reference = add_subject_vars(df, subjects, [subject], [reference])
+        with_reference = add_subject_vars(df, subjects, [subject], [reference], hot=hot)
     day = dates.study_day(dates.iso_to_date(F.col(date)), dates.iso_to_date(F.col(reference)))
     return with_reference.withColumn(target, day.cast("double"))
 
 
 def build_domain(
-    domain: str, tasks: Sequence[Task], sources: Mapping[str, DataFrame], base: str, dm: DataFrame | None = None, check: bool = True
+    domain: str, tasks: Sequence[Task], sources: Mapping[str, DataFrame], base: str, dm: DataFrame | None = None, check: bool = True,
+    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """One standard table from its tasks; ``dm`` gives the reference dates of AE and VS."""
     mine = [t for t in tasks if t.domain == domain]
@@ -219,17 +223,19 @@ def build_domain(
     carried += [column(u).alias(f"__u{i}") for i, u in enumerate(units) if u]
     df = source.select(*[v.alias(k) for k, v in targets.items()], column(ROW), *carried)
 
+    rows = [t for t in mine if t.transform in ROW_TRANSFORMS]
+    # subjects with very many rows are found on the source, before it is unfolded or joined
+    hot = find_hot(df, ["STUDYID", "USUBJID"], policy) if rows else NO_HOT
     if findings:
         df = _long(df, mine, findings, list(targets), check)
     present = set(df.columns)
-    rows = [t for t in mine if t.transform in ROW_TRANSFORMS]
     references = sorted({t.parameters["reference_date"] for t in rows if "reference_date" in t.parameters} - present)
     if references:
-        df = add_subject_vars(df, dm, ["USUBJID"], references)
+        df = add_subject_vars(df, dm, ["USUBJID"], references, hot=hot.only(["USUBJID"]))
     for t in rows:
         p = t.parameters
         if t.transform == "derive_sequence":
-            df = sequence(df, t.targets[0], [ROW if v == ".SOURCE_ROW" else v for v in p["record_variables"]], start_at=p.get("start_at", 1))
+            df = sequence(df, t.targets[0], [ROW if v == ".SOURCE_ROW" else v for v in p["record_variables"]], start_at=p.get("start_at", 1), hot=hot, policy=policy)
         elif t.transform == "derive_study_day":
             df = study_day(df, dm, p["target_date"], p["reference_date"], t.targets[0])
         else:
@@ -237,7 +243,7 @@ def build_domain(
                 df, t.targets[0], ["USUBJID", "VSTESTCD"], "VSDTC", p["reference_date"], "VSORRES", ["USUBJID", "VSTESTCD", ROW],
                 "VISIT", p.get("baseline_visits", ()),
                 "VSTPT" if "VSTPT" in df.columns else None, p.get("baseline_timepoints", ()),
-                "VSSTAT" if "VSSTAT" in df.columns else None,
+                "VSSTAT" if "VSSTAT" in df.columns else None, policy=policy,
             )
     spec = specs.DOMAINS[domain]
     return conform(df, spec, check)

@@ -15,7 +15,7 @@ from cohortloom.operators.joins import lineage_ids
 from cohortloom.operators.skew import DEFAULT, SkewPolicy
 from cohortloom.plans import analysis, lineage, tables
 from cohortloom.plans.mapping import build_domain
-from cohortloom.session import checkpointed
+from cohortloom.session import checkpointed, materialised
 from cohortloom.specs import AnalysisPlan, Task
 
 
@@ -33,14 +33,14 @@ def build_standard_tables(
 ) -> dict[str, DataFrame]:
     """DM first, as the other tables take their reference dates from it.
 
-    The sources are written to the checkpoint folder once: the row number given at reading must not
+    The sources are written to the shared folder once: the row number given at reading must not
     change when a lost task reads its file again.
     """
-    held = {name: checkpointed(df) for name, df in sources.items()}
+    held = {name: materialised(df, name) for name, df in sources.items()}
     built: dict[str, DataFrame] = {}
     for domain in sorted(domain_sources, key=lambda d: d != "DM"):
         table = build_domain(domain, tasks, held, domain_sources[domain], built.get("DM"), check)
-        built[domain] = checkpointed(table)
+        built[domain] = materialised(table, domain)
     return built
 
 
@@ -81,8 +81,8 @@ def standard_stage(
 def analysis_stage(standard: Stage, plan: AnalysisPlan) -> Stage:
     """Refuses to run when the standard tables have errors."""
     rules.gate(standard.issues, "standard tables")
-    adsl = checkpointed(analysis.derive_subjects(standard.tables["DM"], plan))
-    adae = checkpointed(analysis.derive_events(standard.tables["AE"], adsl, plan))
+    adsl = materialised(analysis.derive_subjects(standard.tables["DM"], plan), "ADSL")
+    adae = materialised(analysis.derive_events(standard.tables["AE"], adsl, plan), "ADAE")
     built = {"ADSL": adsl, "ADAE": adae}
     issues = rules.validate_analysis(built, standard.tables, plan, adsl.sparkSession)
     return Stage(built, issues, manifests(built))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.numbers import count_percent, one_decimal
-from cohortloom.operators.aggregates import TOTAL, category_counts, denominators, describe, subject_counts
+from cohortloom.operators.aggregates import TOTAL, category_counts, denominators, describe
 from cohortloom.operators.reshape import table_wide
 from cohortloom.operators.skew import DEFAULT, SkewPolicy
 
@@ -88,23 +88,49 @@ def with_headers(df: DataFrame, lead: Sequence[str], groups: DataFrame, columns:
 
 def event_counts(
     adae: DataFrame, arms: Sequence[str], arm: str = "TRTA", subject: str = "USUBJID", soc: str = "AEBODSYS", pt: str = "AEDECOD",
-    overall_flag: str = "AOCCFL", soc_flag: str = "AOCCSFL", pt_flag: str = "AOCCPFL",
+    population_flag: str = "SAFFL",
 ) -> DataFrame:
     """Distinct flagged subjects overall, per class and per class and term, for each group, zero-filled.
 
-    One grouped count per level replaces a scan per cell.
+    The event table is read once: a row stands for up to three levels, by its first-occurrence
+    flags. Subjects are made distinct per level and group, and both the group and the total counts
+    come from that. ``shown_n`` counts the subjects whose flagged row is emergent and in the safety
+    population; it is null where there is none.
     """
     none = F.lit(None).cast("string")
-    overall = subject_counts(adae.filter(F.col(overall_flag) == "Y"), [], arm, subject, arms)
-    by_soc = subject_counts(adae.filter(F.col(soc_flag) == "Y"), [soc], arm, subject, arms)
-    by_pt = subject_counts(adae.filter(F.col(pt_flag) == "Y"), [soc, pt], arm, subject, arms)
-    shape = ["lvl", soc, pt, "group_order", "grp", "n"]
-    return (
-        overall.select(F.lit(0).alias("lvl"), none.alias(soc), none.alias(pt), "group_order", "grp", "n")
-        .unionByName(by_soc.select(F.lit(1).alias("lvl"), soc, none.alias(pt), "group_order", "grp", "n"))
-        .unionByName(by_pt.select(F.lit(2).alias("lvl"), soc, pt, "group_order", "grp", "n"))
-        .select(*shape)
-    )
+    shown = F.coalesce((F.col(population_flag) == "Y") & (F.col("TRTEMFL") == "Y"), F.lit(False))
+
+    def level(n: int, flag: str, of_class, of_term):
+        return F.when(F.col(flag) == "Y", F.struct(F.lit(n).alias("lvl"), of_class.alias(soc), of_term.alias(pt)))
+
+    levels = F.array_compact(F.array(
+        level(0, "AOCCFL", none, none), level(1, "AOCCSFL", F.col(soc), none), level(2, "AOCCPFL", F.col(soc), F.col(pt))
+    ))
+    rows = adae.select(F.col(arm).alias("__arm"), F.col(subject).alias("__subject"), shown.alias("__shown"), F.inline(levels))
+    keys = ["lvl", soc, pt]
+    seen = rows.filter(F.col("__subject").isNotNull()).groupBy(*keys, "__arm", "__subject").agg(F.bool_or("__shown").alias("__shown"))
+    by_arm = seen.groupBy(*keys, "__arm").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("shown"))
+    everyone = seen.groupBy(*keys, "__subject").agg(F.bool_or("__shown").alias("__shown"))
+    overall = everyone.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("__shown").alias("shown"))
+    both = by_arm.unionByName(overall.withColumn("__arm", F.lit(TOTAL)))
+    cells = [
+        F.struct(F.lit(i).alias("group_order"), F.lit(g).alias("grp"), F.coalesce(F.sum(F.when(F.col("__arm") == g, F.col("n"))), F.lit(0)).alias("n"))
+        for i, g in enumerate([*arms, TOTAL])
+    ]
+    wide = both.groupBy(*keys).agg(F.array(*cells).alias("cells"), F.max("shown").alias("shown"))
+    found = wide.select(*keys, F.when(F.col("shown") > 0, F.col("shown")).alias("shown_n"), F.inline("cells"))
+    return _with_overall_row(found, adae, arms, soc, pt)
+
+
+def _with_overall_row(found: DataFrame, adae: DataFrame, arms: Sequence[str], soc: str, pt: str) -> DataFrame:
+    """The overall row exists also when no event is flagged, with zero in each group."""
+    none = F.lit(None).cast("string")
+    zero = F.inline(F.array(*[
+        F.struct(F.lit(i).alias("group_order"), F.lit(g).alias("grp"), F.lit(0).cast("bigint").alias("n")) for i, g in enumerate([*arms, TOTAL])
+    ]))
+    one = adae.sparkSession.range(1).select(F.lit(0).alias("lvl"), none.alias(soc), none.alias(pt), F.lit(None).cast("bigint").alias("shown_n"), zero)
+    grouped = found.unionByName(one).groupBy("lvl", soc, pt, "group_order", "grp")
+    return grouped.agg(F.max("shown_n").alias("shown_n"), F.max("n").alias("n"))
 
 
 def event_cells(
@@ -114,20 +140,17 @@ def event_cells(
     """T14.3.1 as cells with sort keys: classes by total count, terms by total count inside their class.
 
     Which classes and terms are shown is decided on emergent rows of the safety population, the
-    counts in the cells on the first-occurrence flags.
+    counts in the cells on the first-occurrence flags. Behind the counts there are as many rows as
+    the vocabulary has entries.
     """
     groups = denominators(population(adsl, flag), subject_arm, subject, arms, check=check)
-    counts = event_counts(adae, arms, arm, subject, soc, pt)
-    shown = adae.filter((F.col(flag) == "Y") & (F.col("TRTEMFL") == "Y"))
-    # per class and term figures: as many rows as the vocabulary has entries
-    soc_rank = (
-        shown.filter(F.col("AOCCSFL") == "Y").select(soc, subject).distinct().groupBy(soc).agg(F.count(subject).alias("soc_n"))
-    )
-    pt_rank = (
-        shown.filter(F.col("AOCCPFL") == "Y").select(soc, pt, subject).distinct().groupBy(soc, pt).agg(F.count(subject).alias("pt_n"))
-    )
-    with_soc = counts.join(soc_rank, soc, "left").join(pt_rank, [soc, pt], "left")
-    kept = with_soc.filter(
+    counts = event_counts(adae, arms, arm, subject, soc, pt, flag)
+    same_class = Window.partitionBy(soc)
+    ranked = counts.withColumns({
+        "soc_n": F.when(F.col("lvl") > 0, F.max(F.when(F.col("lvl") == 1, F.col("shown_n"))).over(same_class)),
+        "pt_n": F.when(F.col("lvl") == 2, F.col("shown_n")),
+    })
+    kept = ranked.filter(
         (F.col("lvl") == 0) | (F.col("soc_n").isNotNull() & ((F.col("lvl") == 1) | F.col("pt_n").isNotNull()))
     )
     text = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,33 @@ def local_session(cpus: str | int = 8, app: str = "cohortloom", partitions: int
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's reliable checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where none is named
-    (a local test) does this pick one itself.
+    Only where none is named (a local test) does this pick one itself.
     """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="cohortloom-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read on from there, rows in the same order."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a columnar table in the shared folder and read it from there.
+
+    Later passes read only the columns they need, and a lost executor costs no recomputation of
+    what came before. The row order is not kept.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
