@@ -46,8 +46,8 @@ def price_median(spark, d):
 
 
 def categories(spark, d):
-    counts = aggregates.category_counts(adsl(spark, d), "ETHNIC", "TRT01P", SEGMENTS)
-    return counts.select("level", F.col("is_missing").cast("bigint").alias("is_missing"), "grp", "n")
+    counts = aggregates.category_counts(adsl(spark, d), ["ETHNIC", "RACE"], "TRT01P", SEGMENTS)
+    return counts.select("variable", "level", F.col("is_missing").cast("bigint").alias("is_missing"), "grp", "n")
 
 
 def flagged_subjects(spark, d):
@@ -136,11 +136,12 @@ QUERIES = {
     "exact_median_spread": (price_median, """
       SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1"""),
     "category_counts": (categories, f"""
-      WITH {ADSL_SQL}, {GROUPS_SQL}, leveled AS (SELECT coalesce("ETHNIC", 'Missing') AS level,
-        CAST(CASE WHEN "ETHNIC" IS NULL THEN 1 ELSE 0 END AS BIGINT) AS is_missing, "TRT01P" AS arm FROM adsl),
-      levels AS (SELECT DISTINCT level, is_missing FROM leveled)
-      SELECT s.level, s.is_missing, grp, count(v.arm) AS n FROM levels s CROSS JOIN groups
-      LEFT JOIN leveled v ON v.level = s.level AND (grp = 'Total' OR v.arm = grp) GROUP BY s.level, s.is_missing, grp"""),
+      WITH {ADSL_SQL}, {GROUPS_SQL}, leveled AS (SELECT 'ETHNIC' AS variable, coalesce("ETHNIC", 'Missing') AS level,
+        CAST(CASE WHEN "ETHNIC" IS NULL THEN 1 ELSE 0 END AS BIGINT) AS is_missing, "TRT01P" AS arm FROM adsl
+        UNION ALL SELECT 'RACE', "RACE", 0, "TRT01P" FROM adsl),
+      levels AS (SELECT DISTINCT variable, level, is_missing FROM leveled)
+      SELECT s.variable, s.level, s.is_missing, grp, count(v.arm) AS n FROM levels s CROSS JOIN groups
+      LEFT JOIN leveled v ON v.variable = s.variable AND v.level = s.level AND (grp = 'Total' OR v.arm = grp) GROUP BY ALL"""),
     "subject_counts": (flagged_subjects, FLAGGED_SQL),
     "partial_date_notes": (incomplete_dates, f"""
       WITH {PARTIAL_SQL} SELECT DISTINCT 'AE' AS domain, 'AESTDTC' AS variable, dtc AS value FROM partial WHERE length(dtc) < 10

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ADAE_SQL, ADSL_SQL, PLAN, SEGMENTS, adae, adsl, ae, dose_dates, places, table
+from catalog.base import ADAE_SQL, ADSL_SQL, PLAN, SEGMENTS, adae, adsl, ae, built, dose_dates, places, table
 from cohortloom.functions.dates import iso_to_date, treatment_emergent
 from cohortloom.operators import aggregates
 from cohortloom.operators.joins import add_subject_vars
@@ -13,6 +13,7 @@ from cohortloom.operators.windows import first_occurrence
 from cohortloom.plans import lineage, study, tables
 from cohortloom.plans.example_mapping import DOMAIN_SOURCES, example_tasks
 from cohortloom.plans.mapping import build_domain
+from cohortloom.session import materialised
 from cohortloom.specs import ADAE, CODELISTS
 
 GROUPS = [*SEGMENTS, "Total"]
@@ -23,7 +24,7 @@ def emergent_overall(spark, d):
     """Subjects with an emergent event, per arm and overall, with percentages of the safety population."""
     events = ae(spark, d).select("STUDYID", "USUBJID", "AESEQ", "AESTDTC", "AEENDTC", "AEBODSYS", "AEDECOD")
     dated = events.withColumns({"ASTDT": iso_to_date(F.col("AESTDTC")), "AENDT": iso_to_date(F.col("AEENDTC"))})
-    subjects = adsl(spark, d)
+    subjects = materialised(adsl(spark, d), "ADSL")
     joined = add_subject_vars(dated, subjects, ["STUDYID", "USUBJID"], ["TRT01P", "TRTSDT", "TRTEDT"])
     flag = treatment_emergent(*[F.col(c) for c in ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")], PLAN.window_days)
     flagged = first_occurrence(joined.withColumn("TRTEMFL", flag), {"AOCCFL": OCCURRENCE_FLAGS["AOCCFL"]})
@@ -63,7 +64,7 @@ def _sql_columns(names, dates_):
 
 def demographics(spark, d):
     cells = tables.demographic_cells(
-        adsl(spark, d), SEGMENTS, numeric=("AGE", "Balance"), categories={"SEX": "Sex", "RACE": "Region", "ETHNIC": "Segment"}
+        materialised(adsl(spark, d), "ADSL"), SEGMENTS, numeric=("AGE", "Balance"), categories={"SEX": "Sex", "RACE": "Region", "ETHNIC": "Segment"}
     )
     return cells.select("title", "Statistic", "grp", "display")
 
@@ -85,12 +86,12 @@ DEMOGRAPHICS_SQL = f"""
 
 def event_summary(spark, d):
     """T14.3.1 with its display position, by planned arm."""
-    cells = tables.event_cells(adsl(spark, d), adae(spark, d), SEGMENTS, "TRT01P", arm="TRTP")
+    cells = tables.event_cells(*built(spark, d), SEGMENTS, "TRT01P", arm="TRTP")
     return cells.select("AEBODSYS", "AEDECOD", "Parameter", "soc_n", "pt_n", "grp", "display")
 
 
 def event_display(spark, d):
-    subjects, events = adsl(spark, d), adae(spark, d)
+    subjects, events = built(spark, d)
     sizes = aggregates.denominators(tables.population(subjects, "SAFFL"), "TRT01P", "USUBJID", SEGMENTS)
     cells = tables.event_cells(subjects, events, SEGMENTS, "TRT01P", arm="TRTP")
     shown = tables.event_table(cells, sizes, SEGMENTS)
@@ -172,14 +173,14 @@ def standard_subjects(spark, d):
 
 def standard_events(spark, d):
     subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
-    built = build_domain("AE", example_tasks(), {"ae_raw": raw_events(spark, d)}, "ae_raw", subjects)
-    return built.withColumn("AESEQ", F.col("AESEQ").cast("bigint"))
+    events = build_domain("AE", example_tasks(), {"ae_raw": raw_events(spark, d)}, "ae_raw", subjects)
+    return events.withColumn("AESEQ", F.col("AESEQ").cast("bigint"))
 
 
 def standard_vitals(spark, d):
     subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
-    built = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects)
-    return built.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
+    vitals = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects)
+    return vitals.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
 
 
 def _term_sql(codelist, key):
@@ -228,10 +229,10 @@ STANDARD_VS_SQL = f"""
 
 def standard_issue_report(spark, d):
     """All rules over two standard tables, with damaged rows and mapping ids."""
-    subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
+    subjects = materialised(build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw"), "DM")
     events = raw_events(spark, d).withColumn("PATNUM", F.when(F.col("_source_row") % 40 == 3, F.concat("PATNUM", F.lit("x"))).otherwise(F.col("PATNUM")))
-    built = build_domain("AE", example_tasks(), {"ae_raw": events}, "ae_raw", subjects)
-    damaged = built.withColumn("AESEV", F.when(F.col("AETERM") == "Term 5", "AWFUL").otherwise(F.col("AESEV")))
+    mapped = materialised(build_domain("AE", example_tasks(), {"ae_raw": events}, "ae_raw", subjects), "AE")
+    damaged = mapped.withColumn("AESEV", F.when(F.col("AETERM") == "Term 5", "AWFUL").otherwise(F.col("AESEV")))
     issues = study.check_standard_tables({"DM": subjects, "AE": damaged}, example_tasks(), "run")
     return issues.groupBy("rule_id", "domain", "variable", "mapping_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -244,8 +245,7 @@ REPORT_SQL = """
 
 
 def table_manifests(spark, d):
-    built = {"ADSL": adsl(spark, d), "ADAE": adae(spark, d)}
-    return study.manifests(built).select("dataset", "records", F.col("variables").cast("bigint").alias("variables"))
+    return study.manifests({"ADSL": adsl(spark, d), "ADAE": adae(spark, d)}).select("dataset", "records", F.col("variables").cast("bigint").alias("variables"))
 
 
 def lineage_report(spark, d):

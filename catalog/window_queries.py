@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import ADAE_SQL, SMALL_PIECES, adae, dose_dates, iso, table
-from catalog.reshape_queries import CONVERSIONS, long_measures
+from catalog.reshape_queries import CONVERSIONS, FINDINGS, long_measures
 from cohortloom.operators import joins, ordering, skew, windows
 
 
@@ -76,7 +76,7 @@ def repeated_types(spark, d):
 def block_text(spark, d):
     long = long_measures(spark, d)
     done = joins.convert_units(long, "result", "unit", "code", "std", CONVERSIONS, {"dollars": "USD"}, "x", check=False)
-    shown = windows.common_decimals_text(done, "x", ["code"], "shown")
+    shown = windows.common_decimals_text(done, "x", "code", "shown", [f.code for f in FINDINGS])
     return shown.groupBy("code").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("shown").contains(".")).alias("with_decimals"),
         F.sum(F.length("shown")).alias("chars"),
@@ -87,7 +87,7 @@ def customer_blocks(spark, d):
     """Balances per nation with the decimals that the nation's widest balance needs."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.bround("c_acctbal", 0).alias("x"))
     c = c.withColumn("x", F.when(F.col("c_nationkey") % 3 == 0, F.col("x") + 0.5).otherwise(F.col("x")))
-    return windows.common_decimals_text(c, "x", ["c_nationkey"], "shown").select("c_custkey", "shown")
+    return windows.common_decimals_text(c, "x", "c_nationkey", "shown").select("c_custkey", "shown")
 
 
 def ranked_parts(spark, d):

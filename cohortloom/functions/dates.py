@@ -33,40 +33,41 @@ def has_partial_token(c: Column) -> Column:
     return c.rlike(PARTIAL_TOKEN)
 
 
-def _pieces(c: Column, fmt: str, unknown: Iterable[str]) -> dict[str, Column] | None:
-    """Parts of a date text by format; each is digits, the mark ``-`` when unknown, or null when unreadable."""
+_MARK = "\u0001"  # starts a text that the format has read
+_SHAPES = {"y": r"\d{4}", "mmm": "[A-Z]{3}"}
+
+
+def _normal(c: Column, fmt: str, unknown: Iterable[str] = ()) -> Column:
+    """``y-m-d`` or ``H:M[:S]`` with two-digit parts and ``-`` for unknown ones; null when unreadable.
+
+    A chain of string steps, each used once: put the parts in order, month names to numbers, pad,
+    unknown words to ``-``, and a last check of the shape.
+    """
     order = DATE_FORMATS.get(fmt) or TIME_FORMATS.get(fmt)
     if order is None:
         raise ContractError(f"unknown date or time format {fmt!r}")
-    words = [w.upper() for w in unknown]
-    shapes = {"y": r"\d{4}", "mmm": "[A-Za-z]{3}"}
-    accepted = "".join(f"|{w}" for w in words)
-    separator = ":" if fmt in TIME_FORMATS else "[/-]"
-    piece = [f"({shapes.get(p, chr(92) + 'd{1,2}')}{accepted})" for p in order]
-    pattern = "(?i)^" + separator.join(piece) + "$"
-    found = {}
-    matches = c.rlike(pattern)
-    for i, name in enumerate(order, start=1):
-        raw = F.upper(F.regexp_extract(c, pattern, i))
-        if name == "mmm":
-            # a month name that is none of the twelve has position 0, so the part stays unreadable
-            place = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), raw)
-            value, name = F.when(place > 0, F.lpad(place.cast("string"), 2, "0")), "m"
-        else:
-            value = raw if name == "y" else F.lpad(raw, 2, "0")
-        known = F.when(raw.isin(words), F.lit("-")).otherwise(value)
-        found[name] = F.when(matches, known)
-    return found
+    is_time = fmt in TIME_FORMATS
+    words = "|".join(sorted({w.upper() for w in unknown}, key=lambda w: (-len(w), w)))
+    pieces = [f"({_SHAPES.get(p, chr(92) + 'd{1,2}')}{'|' + words if words else ''})" for p in order]
+    wanted = [p for p in ("H", "M", "S") if p in order] if is_time else ["y", "mmm" if "mmm" in order else "m", "d"]
+    sep = ":" if is_time else "-"
+    pattern = "^" + ("[:]" if is_time else "[/-]").join(pieces) + "$"
+    text = F.regexp_replace(F.upper(F.trim(c)), pattern, _MARK + sep.join(f"${order.index(p) + 1}" for p in wanted))
+    if "mmm" in order:
+        for number, name in enumerate(MONTHS, start=1):
+            text = F.replace(text, F.lit(f"-{name}-"), F.lit(f"-{number:02d}-"))
+    text = F.regexp_replace(text, rf"(?<=[-:{_MARK}])(\d)(?=[-:]|$)", "0$1")
+    if words:
+        text = F.regexp_replace(text, words, "-")
+    two = r"(?:\d{2}|-)"
+    shape = sep.join([two] * len(wanted)) if is_time else rf"(?:\d{{4}}|-)-{two}-{two}"
+    return F.nullif(F.regexp_extract(text, f"^{_MARK}({shape})$", 1), F.lit(""))
 
 
 def iso_date_text(c: Column, formats: Iterable[str]) -> Column:
     """ISO text of a complete, real calendar date in one of the formats; null when none reads it."""
-    tried = []
-    for fmt in formats:
-        p = _pieces(F.trim(c), fmt, ())
-        text = F.concat_ws("-", p["y"], p["m"], p["d"])
-        tried.append(F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
-    return F.coalesce(*tried)
+    read = [F.date_format(F.try_to_date(_normal(c, fmt), "yyyy-MM-dd"), "yyyy-MM-dd") for fmt in formats]
+    return F.coalesce(*read)
 
 
 def unreadable_date(c: Column, converted: Column) -> Column:
@@ -74,10 +75,6 @@ def unreadable_date(c: Column, converted: Column) -> Column:
     return c.isNotNull() & (has_partial_token(c) | converted.isNull())
 
 
-def _time_text(parts: dict[str, Column]) -> Column:
-    return F.concat_ws(":", parts["H"], parts["M"], *([parts["S"]] if "S" in parts else []))
-
-
 def only_time(c: Column) -> Column:
     """True for text that starts like a time; a time alone never makes a date-time."""
     return c.rlike(r"^\d{1,2}:\d{2}")
@@ -108,18 +105,12 @@ def iso_partial_text(
         date, time = pieces[0], F.try_element_at(pieces, F.lit(2))
     elif (time is None) != (time_format is None):
         raise ContractError("one format per source column is needed")
-    d = _pieces(F.trim(date), date_format, unknown)
-    day = F.concat(d["y"], F.lit("-"), d["m"], F.lit("-"), d["d"])
-    text = day
+    text = _normal(date, date_format, unknown)
     if time is not None:
-        clock = _time_text(_pieces(F.trim(time), time_format, unknown))
-        clock = F.when(clock != "", clock)
-        unreadable = ~is_blank(time) & clock.isNull()
-        text = F.when(unreadable, F.lit(None)).when(is_blank(time), day).otherwise(F.concat(day, F.lit("T"), clock))
-    text = F.regexp_replace(text, r"T-:-(:-)?$", "")
-    text = F.regexp_replace(text, r"(:-)+$", "")
-    text = F.regexp_replace(text, r"-+$", "")
-    return F.when(text != "", text)
+        clock = F.concat(F.lit("T"), _normal(time, time_format, unknown))
+        text = F.concat(text, F.when(is_blank(time), F.lit("")).otherwise(clock))
+    # unknown parts at the end, and the marks between them
+    return F.nullif(F.regexp_replace(text, r"(-*T-(:-)*|(:-)+|-+)$", ""), F.lit(""))
 
 
 def is_complete_date(c: Column) -> Column:

@@ -130,23 +130,24 @@ def describe(
 
 
 def category_counts(
-    df: DataFrame, variable: str, group: str, registered: Sequence[str], total: str = TOTAL, missing: str = "Missing"
+    df: DataFrame, variables: Sequence[str], group: str, registered: Sequence[str], total: str = TOTAL, missing: str = "Missing"
 ) -> DataFrame:
-    """Rows per level and registered group; blanks form a last level, only when there are any."""
-    blank = F.col(variable).isNull() | (F.col(variable).cast("string") == "")
-    leveled = df.select(
-        F.when(blank, missing).otherwise(F.col(variable).cast("string")).alias("level"),
-        F.when(blank, 1).otherwise(0).alias("is_missing"),
-        F.col(group).alias("grp"),
-    )
-    counts = leveled.groupBy("level", "is_missing", "grp").agg(F.count(F.lit(1)).alias("n"))
-    overall = counts.groupBy("level", "is_missing").agg(F.sum("n").alias("n")).withColumn("grp", F.lit(total))
-    return _per_level(counts.unionByName(overall), registered, total)
-
+    """Rows per variable, level and registered group; blanks form a last level, only when there are any.
 
-def _per_level(counts: DataFrame, registered: Sequence[str], total: str) -> DataFrame:
-    renamed = counts.withColumnRenamed("grp", "__group")
-    return registered_counts(renamed, ["level", "is_missing"], "__group", registered, total)
+    All variables are counted in one scan.
+    """
+    cells = []
+    for v in variables:
+        text = F.col(v).cast("string")
+        blank = text.isNull() | (text == "")
+        cells.append(F.struct(
+            F.lit(v).alias("variable"), F.when(blank, missing).otherwise(text).alias("level"), F.when(blank, 1).otherwise(0).alias("is_missing")
+        ))
+    leveled = df.select(F.col(group).alias("__group"), F.inline(F.array(*cells)))
+    keys = ["variable", "level", "is_missing"]
+    counts = leveled.groupBy(*keys, "__group").agg(F.count(F.lit(1)).alias("n"))
+    overall = counts.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("__group", F.lit(total))
+    return registered_counts(counts.unionByName(overall), keys, "__group", registered, total)
 
 
 def partial_date_notes(df: DataFrame, domain: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -94,19 +94,30 @@ def _issue(rule_id: str, domain: str, variable: str, key: Column, message: str,
 
 
 def row_issues(df: DataFrame, spec: TableSpec, rules: Sequence[RowRule], run_id: str = "") -> DataFrame:
-    """Issue rows of all row rules in one scan."""
+    """Issue rows of all row rules in one scan.
+
+    Clean rows are filtered out first; a failing row carries only rule number and value until it is
+    unfolded, the fixed texts of a rule are filled in afterwards.
+    """
     if not rules:
         return no_issues(df.sparkSession)
-    key = record_key(df, spec.keys)
-    hits = []
-    for r in rules:
+    hits, failing = [], F.lit(False)
+    for i, r in enumerate(rules):
         actual = r.actual if r.actual is not None else shown_value(df, r.variable)
-        hits.append(F.when(r.failing, F.struct(*_issue(r.rule_id, spec.name, r.variable, key, r.message, actual, run_id))))
-    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("issue")).select("issue.*")
+        failing = failing | F.coalesce(r.failing, F.lit(False))
+        hits.append(F.when(r.failing, F.struct(F.lit(i).alias("rule"), actual.cast("string").alias("actual"))))
+    key = record_key(df, spec.keys).alias("record_key")
+    found = df.filter(failing).select(key, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
 
+    def text(field: str) -> Column:
+        return F.array(*[F.lit(getattr(r, field)) for r in rules])[F.col("hit.rule")]
 
-def table_issue(spark: SparkSession, rule_id: str, domain: str, variable: str, message: str, actual: str, run_id: str) -> DataFrame:
-    return spark.range(1).select(*_issue(rule_id, domain, variable, F.lit(""), message, F.lit(actual), run_id))
+    values = {
+        "rule_id": text("rule_id"), "severity": F.lit("ERROR"), "domain": F.lit(spec.name), "variable": text("variable"),
+        "record_key": F.col("record_key"), "message": text("message"), "actual_value": F.col("hit.actual"),
+        "mapping_id": F.lit(""), "run_id": F.lit(run_id), "validator": F.lit("local"), "issue_class": F.lit("generated_domain_defect"),
+    }
+    return found.select(*[values[c].alias(c) for c in ISSUE_COLUMNS])
 
 
 # Source-domain rules, one row at a time --------------------------------------------------------
@@ -287,9 +298,12 @@ def any_issue(bad: DataFrame, rule_id: str, dataset: str, variable: str, message
 
 
 def failing_rows(df: DataFrame, rules: Sequence[tuple[str, Column]], shown: Column) -> DataFrame:
-    """(rule id, shown key) of every failing row, all rules in one scan."""
-    hits = [F.when(failing, F.struct(F.lit(rule).alias("rule_id"), shown.alias("shown"))) for rule, failing in rules]
-    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.*")
+    """(rule id, shown key) of every failing row, all rules in one scan; clean rows are filtered out first."""
+    failing = F.lit(False)
+    for _, bad in rules:
+        failing = failing | F.coalesce(bad, F.lit(False))
+    hits = [F.when(bad, F.lit(rule)) for rule, bad in rules]
+    return df.filter(failing).select(F.explode(F.array_compact(F.array(*hits))).alias("rule_id"), shown.alias("shown"))
 
 
 def _listed_together(

@@ -83,12 +83,20 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFA
     return spread_join(df, repeated, list(keys), "left_semi", null_safe=True, policy=policy)
 
 
-def common_decimals_text(df: DataFrame, value: str, block: Sequence[str], target: str, most: int = 1) -> DataFrame:
+def common_decimals_text(
+    df: DataFrame, value: str, block: str, target: str, blocks: Sequence[str] | None = None, most: int = 1
+) -> DataFrame:
     """Text of rounded numbers with the decimals that the widest number of the block needs.
 
-    The decimals of a block are one number, found by pre-aggregation, and joined back per block.
+    The decimals of a block are one number, found by pre-aggregation. Where the blocks are known
+    (``blocks``) that is one short row per listed block, which is broadcast; otherwise it is joined
+    by shuffle with hot blocks spread.
     """
-    need = df.groupBy(*block).agg(F.max(decimals_needed(F.col(value), most)).alias("__decimals"))
-    joined = spread_join(df, need, list(block), "left", null_safe=True)
+    need = df.groupBy(block).agg(F.max(decimals_needed(F.col(value), most)).alias("__decimals"))
+    if blocks is not None:
+        known = need.filter(F.col(block).isin(list(blocks)))
+        joined = df.join(F.broadcast(known), block, "left")
+    else:
+        joined = spread_join(df, need, [block], "left", null_safe=True)
     text = F.when(F.col(value).isNotNull(), with_decimals(F.col(value), F.col("__decimals")))
     return joined.withColumn(target, text).drop("__decimals")

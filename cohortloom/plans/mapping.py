@@ -266,4 +266,4 @@ def _long(df: DataFrame, mine: Sequence[Task], findings: Sequence[Task], keep: S
     target = text_literal_map({code: u.parameters["target_unit"] for code, u in standard.items()})[F.col("VSTESTCD")]
     converted = convert_units(unfolded, "VSORRES", "VSORRESU", "VSTESTCD", target, conversions, result="VSSTRESN", check=check)
     converted = converted.withColumn("VSSTRESU", target)
-    return common_decimals_text(converted, "VSSTRESN", ["VSTESTCD"], "VSSTRESC")
+    return common_decimals_text(converted, "VSSTRESN", "VSTESTCD", "VSSTRESC", list(standard))

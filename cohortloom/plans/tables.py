@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.numbers import count_percent, one_decimal
 from cohortloom.operators.aggregates import TOTAL, category_counts, denominators, describe
 from cohortloom.operators.reshape import table_wide
+from cohortloom.operators.rules import union_all
 from cohortloom.operators.skew import DEFAULT, SkewPolicy
 
 STATISTICS = ["N", "Mean", "Standard deviation", "Median", "Minimum", "Maximum"]
@@ -54,17 +55,16 @@ def demographic_cells(
             F.lit(numeric[1]).alias("title"), "Statistic", "grp", "display",
         )
     ]
-    for i, (variable, title) in enumerate(categories.items(), start=1):
-        counts = category_counts(people, variable, arm, arms).join(F.broadcast(groups), "grp")
+    if categories:
+        counts = category_counts(people, list(categories), arm, arms).join(F.broadcast(groups), "grp")
+        names = list(categories)
+        place = F.array_position(F.array(*[F.lit(v) for v in names]), F.col("variable")).cast("int")
+        title = F.array(*[F.lit(categories[v]) for v in names])[place - 1]
         parts.append(counts.select(
-            F.lit(i).alias("section"), "is_missing", "level", F.lit(title).alias("title"),
-            F.concat(F.lit("  "), "level").alias("Statistic"), "grp",
+            place.alias("section"), "is_missing", "level", title.alias("title"), F.concat(F.lit("  "), "level").alias("Statistic"), "grp",
             count_percent(F.col("n"), F.col("denominator")).alias("display"),
         ))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    return union_all(parts)
 
 
 def demographic_table(cells: DataFrame, groups: DataFrame, arms: Sequence[str]) -> DataFrame:
