@@ -31,11 +31,14 @@ def _text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_literal(spark: SparkSession, path: str, names: list[str] | None = None, trim: bool = True) -> DataFrame:
+def read_literal(
+    spark: SparkSession, path: str, names: list[str] | None = None, trim: bool = True, multi_line: bool = False
+) -> DataFrame:
     """All columns as text, null tokens as null, plus an increasing row number in read order.
 
     The row number grows in read order and is unique, but not dense. Give ``names`` where they are
-    known: then no header is looked up.
+    known: then no header is looked up. ``multi_line`` reads fields that hold line breaks; such a
+    file is read by one task, so it is off by default.
     """
     names = names or header(spark, path)
     df = (
@@ -44,7 +47,7 @@ def read_literal(spark: SparkSession, path: str, names: list[str] | None = None,
         .option("ignoreTrailingWhiteSpace", trim)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .schema(_text_schema(names))
         .csv(path)
     )
@@ -81,7 +84,7 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return literal.select(*typed)
 
 
-def check_csv(spark: SparkSession, path: str) -> DataFrame:
+def check_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Refuse blank or repeated header names and lines that do not fit the header; else return the table."""
     names = header(spark, path)
     if not names or names == [""]:
@@ -93,15 +96,16 @@ def check_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ContractError(f"the CSV file repeats column names: {', '.join(twice)}")
     schema = _text_schema(names).add(_BAD, T.StringType())
     rows = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
+        # all fields of a line are parsed, else a line with too many of them would pass
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", _BAD).schema(schema).csv(path)
     )
-    # the check looks at the bad column together with the others, as a lone bad column is not parsed
-    bad = rows.select(*[F.col(f"`{n}`") for n in names], _BAD).filter(F.col(_BAD).isNotNull())
-    count = bad.agg(F.count(F.lit(1)).alias("n"), F.count(f"`{names[0]}`").alias("c")).first()["n"]
+    first = F.count(f"`{names[0]}`")
+    count = rows.agg(F.count(_BAD).alias("n"), first.alias("c")).first()["n"]
     if count:
         raise ContractError(f"{count} lines do not fit the header")
-    return read_literal(spark, path, names, trim=False).drop(ROW)
+    return read_literal(spark, path, names, False, multi_line).drop(ROW)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
