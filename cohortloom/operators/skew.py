@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 _ROWS, _SALTS, _SALT = "__rows", "__salts", "__salt"
 _KEY, _CUTS, _BUCKET, _TOTAL, _BEFORE = "__order", "__cuts", "__bucket", "__total", "__before"
 _OVERSAMPLE = 8  # sampled order keys per cut point, so that the pieces come out even
-_BLOCK = 32  # cut points per block of the two-step search
 
 
 @dataclass(frozen=True)
@@ -142,12 +141,11 @@ def order_key(order: Sequence[str]) -> Column:
 
 
 def _place(cuts: Column, key: Column) -> Column:
-    """How many sorted cut points are at or below ``key``: first by block, then inside the block."""
-    heads = F.filter(cuts, lambda cut, i: (i % _BLOCK == 0) & (cut <= key))
-    block = F.size(heads)
-    inside = F.filter(F.slice(cuts, (block - 1) * _BLOCK + 1, F.lit(_BLOCK)), lambda cut: cut <= key)
-    place = F.when(block == 0, F.lit(0)).otherwise((block - 1) * _BLOCK + F.size(inside))
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(place)
+    """How many sorted cut points are at or below ``key``: first among the block heads, then inside one block."""
+    block = F.size(F.filter(cuts["heads"], lambda cut: cut <= key))
+    inside = F.size(F.filter(F.get(cuts["blocks"], block - 1), lambda cut: cut <= key))
+    place = (F.greatest(block, F.lit(1)) - 1) * cuts["width"] + F.greatest(inside, F.lit(0))
+    return F.coalesce(place, F.lit(0))
 
 
 def _cut_points(df: DataFrame, partition: Sequence[str], hot: HotKeys, policy: SkewPolicy) -> DataFrame:
@@ -159,10 +157,14 @@ def _cut_points(df: DataFrame, partition: Sequence[str], hot: HotKeys, policy: S
     wanted = _pieces(policy) * _OVERSAMPLE
     stride = F.greatest(F.call_function("div", F.col(_ROWS), wanted.cast("bigint")), F.lit(1))
     sampled = marked.filter(F.pmod(F.xxhash64(_KEY), stride) == 0)
-    cuts = F.filter(
-        F.array_sort(F.collect_set(_KEY)), lambda _, i: i % _OVERSAMPLE == _OVERSAMPLE - 1
-    )
-    return sampled.groupBy(*partition).agg(cuts.alias(_CUTS))
+    cuts = F.filter(F.array_sort(F.collect_set(_KEY)), lambda _, i: i % _OVERSAMPLE == _OVERSAMPLE - 1)
+    points = sampled.groupBy(*partition).agg(cuts.alias("cuts"))
+    # blocks of about the square root keep the search short
+    points = points.withColumn("width", F.greatest(F.ceil(F.sqrt(F.size("cuts"))), F.lit(1)).cast("int"))
+    heads = F.filter("cuts", lambda _, i: i % F.col("width") == 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda i: (i % F.col("width") == 0) & (i < F.size("cuts")))
+    blocks = F.transform(starts, lambda i: F.slice("cuts", i + 1, F.col("width")))
+    return points.select(*partition, F.struct(heads.alias("heads"), blocks.alias("blocks"), "width").alias(_CUTS))
 
 
 def running_total(
