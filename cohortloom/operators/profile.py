@@ -21,6 +21,7 @@ SUBJECT_LIKE = re.compile("PATNUM|SUBJID|USUBJID|SUBJECT|PATIENT", re.IGNORECASE
 PAIR_FIELDS = 8  # identifier-like columns that are tried in pairs
 JOIN_FIELDS = 4
 EXAMPLES = 5
+SHOWN = 121  # one more than a report shows, so that a cut is seen
 NEVER_UNIQUE = 0.5  # an estimated distinct share below this cannot belong to a unique column
 
 
@@ -38,6 +39,14 @@ def _unfolded(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = (
     return df.select(*extra, F.inline(F.array(*cells)))
 
 
+def _shuffled(value: Column) -> tuple[Column, Column]:
+    """What stands for a value in a shuffle: the text itself, or its start and a digest of the whole.
+
+    Reports show no more than ``SHOWN`` characters, so long texts need not travel.
+    """
+    return F.substring(value, 1, SHOWN), F.when(F.length(value) > SHOWN, F.sha2(value, 256))
+
+
 def _format_list(value: Column) -> Column:
     """Date and time formats that occur among the (distinct) values of a group."""
     slash = value.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
@@ -76,29 +85,32 @@ def profile(
     labels: Mapping[str, str] | None = None,
     keys: Sequence[str] = (),
     grain: str = "unknown",
-    approximate: bool = False,
 ) -> DataFrame:
     """One row per column: type, label, missing rate, distinct count, first examples, formats, role.
 
     The table is unfolded once and reduced to one row per (column, value); all figures come from
     that. The first five distinct values per column are picked in ``order_by`` order (read order by
     default); the limit applies in every task before the shuffle.
-    ``approximate`` replaces the distinct count by an estimate and leaves formats and examples exact.
     """
     columns = [c for c in df.columns if c != ROW]
     position = (F.col(f"`{order_by}`") if order_by else F.monotonically_increasing_id()).alias("position")
     long = _unfolded(df, columns, [position])
-    values = long.groupBy("place", "value").agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n"))
+    shown, digest = _shuffled(F.col("value"))
+    values = long.groupBy("place", shown.alias("value"), digest.alias("digest")).agg(
+        F.min("position").alias("position"), F.count(F.lit(1)).alias("n")
+    )
     known = F.col("value").isNotNull()
-    tokens = F.array_distinct(F.regexp_extract_all("value", F.lit(PARTIAL_TOKEN), F.lit(0)))
-    distinct = F.approx_count_distinct("value") if approximate else F.count("value")
+    distinct = F.count("value")
     stats = values.groupBy("place").agg(
         F.sum("n").alias("record_count"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
         distinct.alias("unique_count"),
         F.array_join(_format_list(F.col("value")), " | ").alias("format_candidates"),
-        # the tokens are spellings of two words, so the set has a fixed size
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(tokens)))), " | ").alias("partial_tokens"),
+    )
+    # looked for in whole texts; the tokens are spellings of two words, so the set has a fixed size
+    found = F.array_distinct(F.regexp_extract_all("value", F.lit(PARTIAL_TOKEN), F.lit(0)))
+    tokens = long.filter(F.col("value").rlike(PARTIAL_TOKEN)).groupBy("place").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(found)))), " | ").alias("partial_tokens")
     )
     order = Window.partitionBy("place").orderBy("position", "value")
     first = values.filter(known).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= EXAMPLES)
@@ -110,8 +122,8 @@ def profile(
     kinds = F.array(*[F.lit(types[c]) for c in columns])
     variable = names[F.col("place")]
     role = field_role(variable)
-    # one row per column of the table on either side
-    return stats.join(F.broadcast(examples), "place", "left").select(
+    # one row per column of the table on each side
+    return stats.join(F.broadcast(examples), "place", "left").join(F.broadcast(tokens), "place", "left").select(
         F.lit(dataset).alias("source_dataset"),
         variable.alias("source_variable"),
         field_label(variable, labels).alias("label"),
@@ -124,7 +136,7 @@ def profile(
         F.lit(" | ".join(keys)).alias("keys"),
         role.alias("concept_roles"),
         "format_candidates",
-        "partial_tokens",
+        F.coalesce("partial_tokens", F.lit("")).alias("partial_tokens"),
         "record_count",
     )
 
@@ -170,10 +182,10 @@ def _unique_sets(df: DataFrame, sets: list[list[str]], rows: int) -> list[list[s
     if not sets:
         return []
     cells = [
-        F.struct(F.lit(i).alias("place"), F.array(*[F.trim(_text(c)) for c in s]).alias("value"))
+        F.struct(F.lit(i).alias("place"), F.array(*[F.struct(*_shuffled(F.trim(_text(c)))) for c in s]).alias("value"))
         for i, s in enumerate(sets)
     ]
-    distinct = df.select(F.inline(F.array(*cells))).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+    distinct = df.select(F.inline(F.array(*cells))).distinct()
     counts = {r["place"]: r["d"] for r in distinct.groupBy("place").agg(F.count(F.lit(1)).alias("d")).collect()}
     return [s for i, s in enumerate(sets) if counts.get(i, 0) == rows]
 
