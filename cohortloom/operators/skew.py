@@ -233,7 +233,7 @@ def flag_first(
     if not hot:
         counts = F.coalesce(eligible, F.lit(False))
         ranked = df.drop(*names).withColumn("__eligible", counts)
-        sort = [F.desc_nulls_last(c) if last else F.asc_nulls_last(c) for c in ordering]
+        sort = [F.desc_nulls_last(c) if last else F.asc_nulls_last(c) for c in ordering if c not in coarsest]
         for name in names:
             window = Window.partitionBy(*flags[name], "__eligible").orderBy(*sort)
             first = F.col("__eligible") & (F.row_number().over(window) == 1)
