@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ADAE_SQL, ADSL_SQL, PLAN, SEGMENTS, adae, adsl, ae, built, dose_dates, places, table
+from catalog.base import ADAE_SQL, ADSL_SQL, PLAN, SEGMENTS, SMALL_PIECES, adae, adsl, ae, built, dose_dates, places, table
 from cohortloom.functions.dates import iso_to_date, treatment_emergent
 from cohortloom.operators import aggregates
 from cohortloom.operators.joins import add_subject_vars
 from cohortloom.operators.rules import OCCURRENCE_FLAGS, union_all
 from cohortloom.operators.windows import first_occurrence
-from cohortloom.plans import lineage, study, tables
+from cohortloom.plans import analysis, lineage, study, tables
 from cohortloom.plans.example_mapping import DOMAIN_SOURCES, example_tasks
 from cohortloom.plans.mapping import build_domain
 from cohortloom.session import materialised
@@ -52,6 +52,13 @@ def event_analysis_table(spark, d):
     return e.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")}).select(*shown)
 
 
+def event_analysis_table_spread(spark, d):
+    """The same table with the subjects of many events cut up and spread."""
+    subjects = materialised(adsl(spark, d), "ADSL")
+    e = analysis.derive_events(ae(spark, d), subjects, PLAN, ordered=False, policy=SMALL_PIECES)
+    return e.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")}).select(*EVENT_COLUMNS)
+
+
 EVENT_COLUMNS = [
     "STUDYID", "USUBJID", "AESEQ", "AETERM", "AEDECOD", "AEBODSYS", "AESTDTC", "AEENDTC", "ASTDT", "AENDT", "TRTP", "TRTPN", "TRTA",
     "TRTAN", "TRTSDT", "TRTEDT", "SAFFL", "TRTEMFL", "AOCCFL", "AOCCSFL", "AOCCPFL",
@@ -183,6 +190,13 @@ def standard_vitals(spark, d):
     return vitals.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
 
 
+def standard_vitals_spread(spark, d):
+    """The same table with the subjects of many visits cut up and spread."""
+    subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
+    vitals = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects, policy=SMALL_PIECES)
+    return vitals.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
+
+
 def _term_sql(codelist, key):
     terms = list(CODELISTS[codelist].values())
     return f"[{', '.join(repr(t) for t in terms)}][{key} % {len(terms)} + 1]"
@@ -276,6 +290,8 @@ QUERIES = {
     "subject_table": (subject_table, f"""
       WITH {ADSL_SQL} SELECT * REPLACE (strftime("TRTSDT", '%Y-%m-%d') AS "TRTSDT", strftime("TRTEDT", '%Y-%m-%d') AS "TRTEDT") FROM adsl"""),
     "event_table": (event_analysis_table, f"WITH {ADAE_SQL} SELECT " + _sql_columns(EVENT_COLUMNS, ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")) + " FROM adae"),
+    "event_table_spread": (event_analysis_table_spread, f"WITH {ADAE_SQL} SELECT " + _sql_columns(EVENT_COLUMNS, ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")) + " FROM adae"),
+    "standard_vitals_spread": (standard_vitals_spread, STANDARD_VS_SQL),
     "demographic_table": (demographics, DEMOGRAPHICS_SQL),
     "event_summary": (event_summary, f"WITH {EVENT_CELLS_SQL} SELECT \"AEBODSYS\", \"AEDECOD\", \"Parameter\", soc_n, pt_n, grp, display FROM shown"),
     "event_summary_display": (event_display, f"WITH {EVENT_CELLS_SQL} SELECT \"Parameter\", '' AS \"Statistic\", " + ", ".join(

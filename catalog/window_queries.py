@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ADAE_SQL, SMALL_PIECES, adae, dose_dates, iso, table
+from catalog.base import ADAE_SQL, ADSL_SQL, SMALL_PIECES, adae, adsl, dose_dates, iso, table
 from catalog.reshape_queries import CONVERSIONS, FINDINGS, long_measures
 from cohortloom.operators import joins, ordering, skew, windows
 
@@ -100,6 +100,17 @@ def newest_orders(spark, d):
     return ordering.first_n(o, [F.desc("o_orderdate"), "o_orderkey"], 60).drop("o_orderdate")
 
 
+def subjects_in_order(spark, d):
+    """Subjects sorted by their unique keys, as the analysis table is written."""
+    return ordering.total_order(adsl(spark, d).select("STUDYID", "USUBJID", "SITEID", "TRT01P"), ["STUDYID", "USUBJID"])
+
+
+def levels_in_order(spark, d):
+    """Levels with their counts, Missing last."""
+    s = adsl(spark, d).select(F.coalesce("ETHNIC", F.lit("Missing")).alias("level"))
+    return ordering.missing_last(s.groupBy("level").agg(F.count(F.lit(1)).alias("n")), "level")
+
+
 QUERIES = {
     "sequence": (order_sequence, """
       SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq FROM orders"""),
@@ -128,6 +139,10 @@ QUERIES = {
     "common_decimals_by_nation": (customer_blocks, """
       SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN printf('%.1f', round_even(c_acctbal, 0) + 0.5)
         ELSE CAST(CAST(round_even(c_acctbal, 0) AS BIGINT) AS VARCHAR) END AS shown FROM customer"""),
+    "total_order": (subjects_in_order, f"""
+      WITH {ADSL_SQL} SELECT "STUDYID", "USUBJID", "SITEID", "TRT01P" FROM adsl"""),
+    "missing_last": (levels_in_order, f"""
+      WITH {ADSL_SQL} SELECT coalesce("ETHNIC", 'Missing') AS level, count(*) AS n FROM adsl GROUP BY 1"""),
     "count_ranking": (ranked_parts, "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey"),
     "newest_orders": (newest_orders, """
       SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 60"""),

@@ -15,6 +15,7 @@ from cohortloom.functions.dates import (
 )
 from cohortloom.operators.checks import require_columns
 from cohortloom.operators.joins import add_subject_vars, code_by_name_then_code
+from cohortloom.operators.ordering import total_order
 from cohortloom.operators.rules import OCCURRENCE_FLAGS
 from cohortloom.operators.schema import apply_labels
 from cohortloom.operators.skew import DEFAULT, SkewPolicy, find_hot
@@ -47,7 +48,7 @@ def derive_subjects(dm: DataFrame, plan: AnalysisPlan, ordered: bool = True) ->
         "SAFFL": dosed_population_flag(first),
     }).select(*specs.ADSL.order)
     if ordered:
-        adsl = adsl.orderBy("STUDYID", "USUBJID")
+        adsl = total_order(adsl, specs.ADSL.keys)
     return apply_labels(adsl, specs.ADSL)
 
 
@@ -65,5 +66,5 @@ def derive_events(
     require_columns(flagged, specs.ADAE.order, "ADAE")
     adae = flagged.select(*specs.ADAE.order)
     if ordered:
-        adae = adae.orderBy("STUDYID", "USUBJID", "AESEQ")
+        adae = total_order(adae, specs.ADAE.keys)
     return apply_labels(adae, specs.ADAE)
