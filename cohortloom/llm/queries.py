@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortloom.llm import minhash_dedup
+from cohortloom.llm import line_dedup, minhash_dedup
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -26,8 +27,8 @@ def near_duplicates_sql(source: str, prefix: str = "", threshold: int = minhash_
 {prefix}sets AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM {prefix}words WHERE len(w) > 0) x),
 {prefix}sizes AS (SELECT doc_id, count(*) AS n FROM {prefix}sets GROUP BY doc_id),
-{prefix}met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM {prefix}sets a JOIN {prefix}sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-{prefix}links AS (SELECT a, b FROM {prefix}met JOIN {prefix}sizes x ON x.doc_id = a JOIN {prefix}sizes y ON y.doc_id = b WHERE 100 * both >= {threshold} * (x.n + y.n - both)),
+{prefix}met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM {prefix}sets a JOIN {prefix}sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+{prefix}links AS (SELECT a, b FROM {prefix}met JOIN {prefix}sizes x ON x.doc_id = a JOIN {prefix}sizes y ON y.doc_id = b WHERE 100 * common >= {threshold} * (x.n + y.n - common)),
 {prefix}reach AS (SELECT doc_id AS a, doc_id AS b FROM {prefix}sizes UNION SELECT r.a, l.b FROM {prefix}reach r JOIN {prefix}links l ON l.a = r.b),
 {prefix}least AS (SELECT a AS doc_id, min(b) AS component_id FROM {prefix}reach GROUP BY a),
 {prefix}near AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
@@ -36,6 +37,35 @@ def near_duplicates_sql(source: str, prefix: str = "", threshold: int = minhash_
 
 OP9_SQL = f"WITH RECURSIVE {near_duplicates_sql('documents')} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near"
 
+
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+def line_dedup_sql(source: str, prefix: str = "") -> str:
+    """CTEs that end in ``{prefix}rest`` (doc_id, n_lines, n_dropped, text); ids are unique and not negative there."""
+    p = prefix
+    return f"""{p}parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM {source} WHERE text IS NOT NULL),
+{p}lines AS (SELECT doc_id, k, p[k] AS raw, trim(p[k], ' ') AS t, doc_id * 10000000 + k AS pos
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM {p}parts) x),
+{p}kinds AS (SELECT t, length(t) AS n, min(pos) AS pos FROM {p}lines WHERE length(t) >= {line_dedup.LEAST_CHARS} GROUP BY t),
+{p}lacking AS (SELECT t, n, pos, i, md5(substr(t, 1, i - 1) || substr(t, i + 1)) AS h
+  FROM (SELECT t, n, pos, unnest(range(1, n + 1)) AS i FROM {p}kinds WHERE n >= {line_dedup.LEAST_CHARS_NEAR}) y),
+{p}whole AS (SELECT pos, md5(t) AS h FROM {p}kinds WHERE n >= {line_dedup.LEAST_CHARS_NEAR}),
+{p}near AS (
+  SELECT t FROM (SELECT t, pos, min(pos) OVER (PARTITION BY n, i, h) AS first FROM {p}lacking) z WHERE first < pos
+  UNION SELECT t FROM {p}lacking l JOIN {p}whole w ON l.h = w.h AND w.pos < l.pos
+  UNION SELECT k.t FROM {p}kinds k JOIN {p}whole w ON w.pos = k.pos JOIN {p}lacking l ON l.h = w.h AND l.pos < w.pos),
+{p}gone AS (SELECT l.doc_id, l.k FROM {p}lines l JOIN {p}kinds c ON c.t = l.t WHERE l.pos > c.pos OR l.t IN (SELECT t FROM {p}near)),
+{p}rest AS (SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_dropped,
+    coalesce(string_agg(CASE WHEN g.k IS NULL THEN l.raw END, chr(10) ORDER BY l.k), '') AS text
+  FROM {p}lines l LEFT JOIN {p}gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id)"""
+
+
+OP6_SQL = f"WITH {line_dedup_sql('documents')} SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM rest"
+
 QUERIES = {
+    "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
 }
