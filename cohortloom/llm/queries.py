@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import line_dedup, minhash_dedup
+from cohortloom.llm import line_dedup, minhash_dedup, mixing, quality
+from cohortloom.llm.shared import fold
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -38,6 +39,74 @@ def near_duplicates_sql(source: str, prefix: str = "", threshold: int = minhash_
 OP9_SQL = f"WITH RECURSIVE {near_duplicates_sql('documents')} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near"
 
 
+def quality_network(spark: SparkSession, folder: str, labelled: DataFrame | None = None) -> quality.Network:
+    """Trained on documents and labels of the folder; ``labelled`` can hold a part of the labels."""
+    labels = table(spark, folder, "labels") if labelled is None else labelled
+    return quality.train(table(spark, folder, "documents"), labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    net = quality_network(spark, folder, table(spark, folder, "labels").where(fold("doc_id", 3) != 1))
+    out = quality.score(table(spark, folder, "documents").select("doc_id", "text"), net, ["doc_id"])
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Domains of the sources, for want of a column: the digit after "src" decides.
+def domain() -> Column:
+    group = F.regexp_extract("source", "^src([0-9])", 1)
+    return F.when(group == "", "other").when(group <= "1", "web").when(group <= "5", "books").otherwise("forum")
+
+
+DOMAIN_SQL = """CASE WHEN regexp_extract(source, '^src([0-9])', 1) = '' THEN 'other' WHEN regexp_extract(source, '^src([0-9])', 1) <= '1' THEN 'web'
+  WHEN regexp_extract(source, '^src([0-9])', 1) <= '5' THEN 'books' ELSE 'forum' END"""
+WEIGHTS = {"domain": {"web": 2, "books": 3, "forum": 2, "*": 1}, "lang": {"en": 4, "*": 2}, "source": {"*": 1}}
+SHARE = 0.8
+EPOCHS = 3
+SEED = 17
+
+
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), domain(), WEIGHTS, SHARE, EPOCHS, SEED)
+
+
+def _weight_sql(level: str) -> str:
+    named = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items() if k != "*")
+    return f"CASE name {named} ELSE {WEIGHTS[level]['*']} END" if named else str(WEIGHTS[level]["*"])
+
+
+def mixing_sql(source: str, epochs: int, prefix: str = "") -> str:
+    """CTEs that end in ``{prefix}mixed`` (domain, lang, source, doc_id, epoch, n_tokens, taken)."""
+    p, levels = prefix, ["domain", "lang", "source"]
+    out = f"""{p}counted AS (SELECT {DOMAIN_SQL} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id,
+    CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM {source} WHERE regexp_matches(text, '[^\x20\x09-\x0D]')),
+{p}leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM {p}counted GROUP BY ALL),
+{p}g0 AS (SELECT CAST(floor(CAST(sum(tokens) AS DOUBLE) * {SHARE}) AS BIGINT) AS budget FROM {p}leaves)"""
+    for n, level in enumerate(levels, 1):
+        above = levels[: n - 1]
+        keys = "".join(f"{c}, " for c in above)
+        on = " AND ".join(f"n.{c} = g.{c}" for c in above) or "true"
+        by = f"PARTITION BY {', '.join(above)} " if above else ""
+        out += f""",
+{p}n{n} AS (SELECT {''.join(f'n.{c}, ' for c in above)}name, {_weight_sql(level)} AS weight, capacity, budget
+  FROM (SELECT {keys}{level} AS name, CAST(sum(tokens) * {epochs} AS BIGINT) AS capacity FROM {p}leaves GROUP BY ALL) n JOIN {p}g{n - 1} g ON {on}),
+{p}o{n} AS (SELECT *, CAST(coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used,
+    CAST(sum(weight) OVER ({by}) - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest
+  FROM {p}n{n} WINDOW w AS ({by}ORDER BY CAST(capacity AS DOUBLE) / weight, name)),
+{p}f{n} AS (SELECT *, CAST(capacity AS DOUBLE) * rest <= CAST(weight AS DOUBLE) * (budget - used) AS fits FROM {p}o{n}),
+{p}s{n} AS (SELECT *, min(CASE WHEN NOT fits THEN used END) OVER ({by}) AS open_used, max(CASE WHEN NOT fits THEN rest END) OVER ({by}) AS open_rest FROM {p}f{n}),
+{p}g{n} AS (SELECT {keys}name AS {level}, CASE WHEN fits THEN capacity ELSE least(capacity,
+    greatest(0, CAST(floor(CAST(weight AS DOUBLE) * (budget - open_used) / open_rest) AS BIGINT))) END AS budget FROM {p}s{n})"""
+    return out + f""",
+{p}placed AS (SELECT c.*, budget, epoch, CAST('0x' || substr(md5('{SEED}:' || epoch || ':' || doc_id), 1, 15) AS BIGINT) AS place
+  FROM {p}counted c JOIN {p}g3 USING (domain, lang, source), (SELECT unnest(range(1, {epochs} + 1)) AS epoch) e),
+{p}ordered AS (SELECT *, budget - coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS still FROM {p}placed),
+{p}mixed AS (SELECT domain, lang, source, doc_id, CAST(epoch AS INTEGER) AS epoch, n_tokens, CAST(least(n_tokens, still) AS BIGINT) AS taken FROM {p}ordered WHERE still > 0)"""
+
+
+OP2_SQL = f"WITH {mixing_sql('documents', EPOCHS)} SELECT * FROM mixed"
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
@@ -66,6 +135,8 @@ def line_dedup_sql(source: str, prefix: str = "") -> str:
 OP6_SQL = f"WITH {line_dedup_sql('documents')} SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM rest"
 
 QUERIES = {
+    "op2_mixing": (op2_mixing, OP2_SQL),
+    "op5_quality": (op5_quality, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
 }
