@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import line_dedup, minhash_dedup, mixing, quality
+from cohortloom.llm import line_dedup, minhash_dedup, mixing, pieces, quality
 from cohortloom.llm.shared import fold
 
+#: The model file; another one can be passed to the query.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -134,9 +136,19 @@ def line_dedup_sql(source: str, prefix: str = "") -> str:
 
 OP6_SQL = f"WITH {line_dedup_sql('documents')} SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM rest"
 
+
+def op8_pieces(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> DataFrame:
+    vocabulary = pieces.load(model)
+    coded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
+    out = pieces.decode(coded, vocabulary)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                      F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 QUERIES = {
     "op2_mixing": (op2_mixing, OP2_SQL),
     "op5_quality": (op5_quality, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
+    "op8_pieces": (op8_pieces, None),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
 }

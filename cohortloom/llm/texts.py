@@ -69,7 +69,7 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_GOLDEN))
 
 
 def spans_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span: equal bytes have equal hashes wherever they stand.
+    """64-bit hash of the bytes (or code points) of each span: equal ones have equal hashes wherever they stand.
 
     A polynomial over random values of the bytes, modulo 2**64, from prefix sums.
     """
@@ -77,7 +77,14 @@ def spans_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
         return np.zeros(0, np.uint64)
     size = SLICE_BYTES if len(data) < SLICE_BYTES else 1 << (len(data)).bit_length()
     up, down = _powers(size + 1)
+    values = _BYTE[data] if data.dtype == np.uint8 else mixed(data.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(7))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(values * up[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(_GOLDEN))
 
+
+def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for ``length[0]`` numbers, then the same for each further run."""
+    total = np.cumsum(length)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - length), length)
+
