@@ -47,9 +47,9 @@ class Network:
 
 
 def _layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each filled up with zero bytes to whole cells (one at least), and their first cells."""
+    """Texts one after the other, each followed by ``WIDTH`` or more zero bytes up to whole cells, and their first cells."""
     size = np.diff(offsets)
-    cells = np.maximum(1, -(-size // CELL))
+    cells = -(-(size + WIDTH) // CELL)
     first = np.concatenate([[0], np.cumsum(cells)])
     out = np.zeros(first[-1] * CELL + WIDTH, np.uint8)
     out[np.arange(len(data)) + np.repeat(first[:-1] * CELL - offsets[:-1], size)] = data
@@ -66,11 +66,16 @@ def _chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + CHUNK, first[text + 1]), count
 
 
-def _windows(net: Network, padded: np.ndarray) -> np.ndarray:
-    """The embedded bytes that each filter position sees."""
+def _responses(net: Network, padded: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embedded bytes that each filter position sees, and what the filters give there; a position that reaches
+    from the zero bytes after a text into the next text gives nothing."""
     flat = net.embedding[padded].reshape(-1)
     n = (len(padded) - WIDTH) // STRIDE
-    return np.lib.stride_tricks.as_strided(flat, (n, WIDTH * CHANNELS), (4 * CHANNELS * STRIDE, 4))
+    seen = np.lib.stride_tricks.as_strided(flat, (n, WIDTH * CHANNELS), (4 * CHANNELS * STRIDE, 4))
+    out = seen @ net.filters
+    for k in range(1, WIDTH // STRIDE):
+        out[first[1:] * (CELL // STRIDE) - k] = -np.inf
+    return seen, out
 
 
 def _pooled(responses: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -89,7 +94,7 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
     """The probability of label 1 of each text, from all its bytes; an empty text is one cell of zeros."""
     padded, first = _layout(data, offsets)
     begin, end, count = _chunks(first)
-    active = np.maximum(_pooled(_windows(net, padded) @ net.filters, begin, end) + net.bias, 0)
+    active = np.maximum(_pooled(_responses(net, padded, first)[1], begin, end) + net.bias, 0)
     z = (_combined(active, count) @ net.top + net.shift[0]).astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -97,8 +102,7 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
 def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     padded, first = _layout(data, offsets)
     begin, end, count = _chunks(first)
-    seen = _windows(net, padded)
-    responses = seen @ net.filters
+    seen, responses = _responses(net, padded, first)
     best = _pooled(responses, begin, end)
     active = np.maximum(best + net.bias, 0)
     rep = _combined(active, count)

@@ -47,6 +47,14 @@ def test_every_chunk_counts():
         assert quality.probabilities(net, changed, np.array([0, 20_000]))[0] != plain
 
 
+def test_neighbours_do_not_matter():
+    net = quality.Network.start(3)
+    data = np.random.default_rng(2).integers(1, 256, 4000).astype(np.uint8)
+    cuts = np.array([0, 57, 121, 121, 185, 700, 764, 4000])
+    alone = [quality.probabilities(net, data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert np.allclose(quality.probabilities(net, data, cuts), alone, rtol=1e-5)
+
+
 def test_odd_rows_and_no_labels(spark):
     rows = [(1, None, "s"), (1, None, "s"), (2, "", "s"), (None, "x" * 500_000, "s"), (3, "abc", "s")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
