@@ -123,6 +123,18 @@ def mix(
     return out.select(*leaf, "doc_id", "epoch", "n_tokens", F.least("n_tokens", "left").alias("taken"))
 
 
-def first_words(text: str, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word."""
-    return F.regexp_extract(F.col(text), F.concat(F.lit(r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), n.cast("string"), F.lit("}")), 0)
+def taken_texts(docs: DataFrame, domain: Column, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each epoch that ``mixed`` takes them in, with the text cut to what is taken.
+
+    A cut text ends with its last taken word; n_chars, where there is such a column, is set to its length.
+    """
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keys = {"domain": name(domain), "lang": name(F.col("lang")), "source": name(F.col("source")), "doc_id": F.col("doc_id")}
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[v.alias(f"of_{k}") for k, v in keys.items()])
+    # rows that share a doc_id are taken alike, so one line of ``mixed`` stands for them
+    takes = mixed.groupBy(*keys, "epoch").agg(F.max("taken").alias("taken"), F.max("n_tokens").alias("n_tokens"))
+    both = rows.join(takes, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("taken") < F.col("n_tokens"), F.array_join(F.slice(words, 1, F.col("taken").cast("int")), "")).otherwise(F.col("row.text"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {})
+    return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

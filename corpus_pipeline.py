@@ -3,25 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortloom.llm import minhash_dedup
+from cohortloom.llm import line_dedup, minhash_dedup, mixing, pieces, quality
+from cohortloom.llm.queries import PIECE_MODEL, SEED, SHARE, WEIGHTS, domain, table
 from cohortloom.session import materialised
 
+LEAST_SCORE = 0.5
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score, from a network trained on all labels, is under ``LEAST_SCORE`` go; null texts score as empty ones."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs.withColumn("score", F.lit(0.0)), quality.train(docs, labels))
+    return scored.where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line repeats go, and with them documents of which nothing is left."""
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return out.where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies stays: the one with the smallest id."""
     return minhash_dedup.one_of_each(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that make up the weights of ``WEIGHTS``, none twice; the last one of a leaf ends where the budget does."""
+    mixed = mixing.mix(docs, domain(), WEIGHTS, SHARE, epochs=1, seed=SEED)
+    return mixing.taken_texts(docs, domain(), mixed)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids, how many those are, and whether they decode to the text again."""
+    model = pieces.load(PIECE_MODEL)
+    out = pieces.decode(pieces.encode(docs, model), model)
+    return out.select(*docs.columns, "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 STAGES = [
-    ("minhash_dedup", drop_near_duplicates),
+    ("quality_classifier", drop_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("piece_encoding", to_pieces),
 ]
 
+#: SQL can't express the network of the first stage or the Viterbi search of the last; tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialised(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
