@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import line_dedup, minhash_dedup, mixing, pieces, quality
+from cohortloom.llm import language, line_dedup, minhash_dedup, mixing, pieces, quality
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -53,6 +53,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    profiles = language.learn(docs.where(fold("doc_id", 4) != 2))
+    return language.predict(docs, profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 #: Domains of the sources, for want of a column: the digit after "src" decides.
 def domain() -> Column:
     group = F.regexp_extract("source", "^src([0-9])", 1)
@@ -146,6 +152,7 @@ def op8_pieces(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> Da
 
 
 QUERIES = {
+    "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
     "op5_quality": (op5_quality, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
