@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import language, line_dedup, minhash_dedup, mixing, pieces, quality
+from cohortloom.llm import language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -143,6 +143,49 @@ def line_dedup_sql(source: str, prefix: str = "") -> str:
 OP6_SQL = f"WITH {line_dedup_sql('documents')} SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM rest"
 
 
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), RULES)
+
+
+def _rule_sql(part: int) -> str:
+    cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[part]}'"
+             for v, h, p in sorted(RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)]
+    return f"CASE {' '.join(cases)} END"
+
+
+def urls_sql() -> str:
+    out = f"""WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
+split AS (SELECT page_id, {LOWER.format("h")} AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+base AS (SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS ruled FROM split),
+r0 AS (SELECT host, path, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad,
+  '' AS parent, '' AS template, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM base GROUP BY host, path)"""
+    for n in range(1, url_filter.DEPTH + 1):
+        out += f""",
+k{n} AS (SELECT host, template, count(DISTINCT s[{n}]) > {url_filter.BRANCHES} AS variable FROM r{n - 1} WHERE len(s) >= {n} GROUP BY host, template),
+r{n} AS (SELECT r.host, path, good, bad, s, CASE WHEN len(s) >= {n} THEN r.template ELSE parent END AS parent,
+  CASE WHEN len(s) >= {n} THEN r.template || '/' || CASE WHEN NOT variable THEN s[{n}] WHEN regexp_matches(s[{n}], '[0-9]')
+    THEN regexp_replace(s[{n}], '[0-9]+', '#', 'g') ELSE '*' END ELSE r.template END AS template
+  FROM r{n - 1} r LEFT JOIN k{n} k ON k.host = r.host AND k.template = r.template)"""
+    last = f"r{url_filter.DEPTH}"
+    return out + f""",
+leaf AS (SELECT host, path, good, bad, CASE WHEN len(s) > {url_filter.DEPTH} THEN template ELSE parent END AS parent,
+  CASE WHEN len(s) > {url_filter.DEPTH} THEN template || '/**' ELSE template END AS template FROM {last}),
+own AS (SELECT host, parent, template, sum(good) AS good, sum(bad) AS bad FROM leaf GROUP BY ALL),
+pool AS (SELECT *, CAST(good + bad AS DOUBLE) AS n, sum(good) OVER w AS ag, CAST(sum(good + bad) OVER w - (good + bad) AS DOUBLE) AS rest
+  FROM own WINDOW w AS (PARTITION BY host, parent)),
+tested AS (SELECT *, CASE WHEN n > 0 AND rest > 0 THEN (good / n - (ag - good) / rest) * (good / n - (ag - good) / rest)
+  <= {url_filter.ALIKE * url_filter.ALIKE!r} * (ag / (n + rest) * (1 - ag / (n + rest))) * (1 / n + 1 / rest) ELSE false END AS merged FROM pool),
+pure AS (SELECT host, template, CASE WHEN merged THEN sum(good) OVER w ELSE good END AS g, CASE WHEN merged THEN sum(bad) OVER w ELSE bad END AS b
+  FROM tested WINDOW w AS (PARTITION BY host, parent, merged))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN CAST(g + 1 AS DOUBLE) / CAST(g + b + 2 AS DOUBLE) < {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+  template, CAST(g + 1 AS DOUBLE) / CAST(g + b + 2 AS DOUBLE) AS purity
+FROM base JOIN leaf USING (host, path) JOIN pure USING (host, template)"""
+
+
 def op8_pieces(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> DataFrame:
     vocabulary = pieces.load(model)
     coded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
@@ -156,6 +199,7 @@ QUERIES = {
     "op2_mixing": (op2_mixing, OP2_SQL),
     "op5_quality": (op5_quality, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
+    "op7_urls": (op7_urls, urls_sql()),
     "op8_pieces": (op8_pieces, None),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
 }
