@@ -64,18 +64,19 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], sh
     """
     levels = ["domain", "lang", "source"]
     caps = leaves.withColumn("capacity", (F.col("tokens") * epochs).cast("decimal(38,0)"))
-    budget = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double") * share).cast("decimal(38,0)").alias("budget"))
     above: list[str] = []
-    given = budget
+    given = None
     for level in levels:
-        nodes = caps.groupBy(*above, level).agg(F.sum("capacity").cast("decimal(38,0)").alias("capacity"))
+        nodes = caps.groupBy(*above, level).agg(
+            F.sum("capacity").cast("decimal(38,0)").alias("capacity"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumnRenamed(level, "name").withColumn("weight", _weight(weights.get(level, {}), F.col("name")))
         if above:
             parts = [F.col(f"u_{c}") == F.col(c) for c in above]
             given = given.select(*[F.col(c).alias(f"u_{c}") for c in above], "budget")
             nodes = nodes.join(given, parts).select(*above, "name", "weight", "capacity", "budget")
         else:
-            nodes = nodes.crossJoin(F.broadcast(given))  # one row
+            everything = F.sum("tokens").over(Window.partitionBy()).cast("double")
+            nodes = nodes.withColumn("budget", F.floor(everything * share).cast("decimal(38,0)")).drop("tokens")
         given = share_out(nodes, above).withColumnRenamed("name", level).withColumnRenamed("got", "budget")
         above.append(level)
     return given
