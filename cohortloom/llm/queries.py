@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
+from cohortloom.llm import bit_sliced, language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -59,6 +59,18 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_sliced.nearest(table(spark, folder, "embeddings"))
+
+
+OP3_SQL = """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+
 #: Domains of the sources, for want of a column: the digit after "src" decides.
 def domain() -> Column:
     group = F.regexp_extract("source", "^src([0-9])", 1)
@@ -197,6 +209,7 @@ def op8_pieces(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> Da
 QUERIES = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
+    "op3_bit_sliced": (op3_bit_sliced, OP3_SQL),
     "op5_quality": (op5_quality, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_urls": (op7_urls, urls_sql()),
