@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bit_sliced, language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
+from cohortloom.llm import bit_sliced, itq_dedup, language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -206,6 +206,20 @@ def op8_pieces(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> Da
                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
+def op10_itq_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return itq_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+OP10_SQL = """WITH RECURSIVE d AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM d a JOIN d b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least l ON l.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id"""
+
 QUERIES = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
@@ -215,4 +229,5 @@ QUERIES = {
     "op7_urls": (op7_urls, urls_sql()),
     "op8_pieces": (op8_pieces, None),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
+    "op10_itq_dedup": (op10_itq_dedup, OP10_SQL),
 }
