@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bit_sliced, itq_dedup, language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
+from cohortloom.llm import bit_sliced, context_tree, itq_dedup, language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -71,6 +71,12 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 5"""
 
 
+def op4_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = context_tree.score(docs, fold("doc_id", 7) != 2)
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), *[c for c in out.columns if c != "doc_id"])
+
+
 #: Domains of the sources, for want of a column: the digit after "src" decides.
 def domain() -> Column:
     group = F.regexp_extract("source", "^src([0-9])", 1)
@@ -224,6 +230,7 @@ QUERIES = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
     "op3_bit_sliced": (op3_bit_sliced, OP3_SQL),
+    "op4_context_tree": (op4_context_tree, None),
     "op5_quality": (op5_quality, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_urls": (op7_urls, urls_sql()),
