@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm import texts
@@ -119,13 +119,35 @@ def _similar(threshold: int, a: str = "ids_a", b: str = "ids_b") -> Column:
     return 100 * both >= threshold * (F.size(a) + F.size(b) - both)
 
 
+def _sharing_rare(docs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (rep, centre) of different parts among ``docs`` (rep, n_shingles, part, ids) that can be similar.
+
+    Prefix filter: with shingles in one order, rarest first, two sets with similarity t share one of the first
+    n - ceil(2t / (1 + t) n) + 1 of the smaller set (of both, if they have equal sizes) and of the first n - ceil(t n) + 1 of
+    the larger one. What edits made is rare, so a copy edited too much shares none of them with any other.
+    """
+    t, n = threshold / 100, F.col("n_shingles")
+    rows = docs.select("rep", "n_shingles", "part", F.explode("ids").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle"))
+    rows = rows.join(often, "shingle").withColumn("rank", rank)
+    slack = 1e-9  # against rounding up what is whole
+    rows = rows.withColumn("short", n - F.ceil(2 * t / (1 + t) * n - slack) + 1).where(F.col("rank") <= n - F.ceil(t * n - slack) + 1)
+    small = rows.where("rank <= short").select("shingle", F.col("rep").alias("centre"), F.col("n_shingles").alias("size"), F.col("part").alias("of"))
+    large = rows.select("shingle", "rep", "n_shingles", "part", (F.col("rank") <= F.col("short")).alias("early"))
+    return large.join(small, "shingle").where(
+        "part <> of and (n_shingles > size or (n_shingles = size and early and rep > centre))"
+    ).where(100 * F.col("size") >= threshold * n)
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collections: int) -> DataFrame:
     """Links (u, v) between the class representatives that join all similar classes into components.
 
     Members of a table's key are compared with one centre first; who is linked to it is of its component. A
-    second round takes another centre in keys that still hold several components, and the last compares all
-    members of different components. Each pair is confirmed on the full sets once. So a group of many near
-    copies costs a few comparisons a copy, and pairs of the same component are not compared any more.
+    second round takes another centre in keys that still hold several components. For the members of keys that
+    are open even then, the last round finds every pair of different components that shares one of its rarest
+    shingles, without which two sets can't be similar. Each pair is confirmed on the full sets once. So a group
+    of many near copies costs a few comparisons a copy, and pairs of the same component are not compared any more.
     """
     rows = classes.select("rep", "n_shingles", F.explode(_tables(collections)).alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
@@ -137,17 +159,16 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collecti
     sets = materialised(sets.select(_class(), "ids"), "minhash-sets")
     links = spark.createDataFrame([], "u bigint, v bigint")
     tried = spark.createDataFrame([], "u bigint, v bigint")
-    for step in ("first", "second", "all"):
+    for step in ("first", "second", "rest"):
         found = components(links, "minhash-links")
         now = members.join(found, members.rep == found.node, "left").select(
             "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("part"))
         order = F.struct((F.col("rep") if step == "first" else F.xxhash64("rep")).alias("by"), "rep", "n_shingles", "part")
         open_keys = now.groupBy("key").agg(
             F.min("part").alias("low"), F.max("part").alias("high"), F.min(order).alias("centre")).where("low <> high")
-        if step == "all":
-            left = now.join(open_keys.select("key"), "key")
-            other = left.select("key", F.col("rep").alias("centre"), F.col("n_shingles").alias("size"), F.col("part").alias("of"))
-            pairs = left.join(other, "key").where("rep > centre")
+        if step == "rest":
+            left = now.join(open_keys.select("key"), "key").groupBy("rep").agg(F.min("n_shingles").alias("n_shingles"), F.min("part").alias("part"))
+            pairs = _sharing_rare(left.join(sets, "rep"), threshold)
         else:
             pairs = now.join(open_keys.select("key", F.col("centre.rep").alias("centre"), F.col("centre.n_shingles").alias("size"),
                                               F.col("centre.part").alias("of")), "key")
