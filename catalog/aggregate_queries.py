@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ADAE_SQL, ADSL_SQL, MASKED_SQL, PARTIAL_SQL, SEGMENTS, SMALL_PIECES, adae, adsl, masked, table
+from catalog.base import ADAE_SQL, ADSL_SQL, MASKED_SQL, PARTIAL_SQL, SEGMENTS, adae, adsl, masked, table
 from cohortloom.functions import dates
 from cohortloom.operators import aggregates, rules
 from cohortloom.plans import tables
@@ -42,7 +42,7 @@ def balance_summary(spark, d):
 def price_median(spark, d):
     """A median over groups that are cut into pieces."""
     l = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
-    return aggregates.exact_median(l, "l_extendedprice", "l_returnflag", ["A", "N", "R"], SMALL_PIECES)
+    return aggregates.exact_median(l, "l_extendedprice", "l_returnflag", ["A", "N", "R"])
 
 
 def categories(spark, d):
@@ -110,11 +110,9 @@ def checksums(spark, d):
 
 
 def offenders(spark, d):
-    """Parts per supplier group in lists of 50; longer lists go on in the next row."""
-    l = table(spark, d, "lineitem").filter(F.col("l_discount") == 0).withColumn("grp", F.col("l_suppkey") % 3)
-    key = F.lpad(F.col("l_partkey").cast("string"), 8, "0")
-    lists = aggregates.offender_list(l, key, ["grp"], 50, SMALL_PIECES)
-    return lists.select("grp", F.col("part").cast("bigint").alias("part"), "keys", "n_keys")
+    """Parts of each supplier group, numbered."""
+    l = table(spark, d, "lineitem").withColumn("grp", F.col("l_suppkey") % 3)
+    return aggregates.offender_keys(l, F.lpad(F.col("l_partkey").cast("string"), 8, "0"), ["grp"])
 
 
 QUERIES = {
@@ -160,8 +158,6 @@ QUERIES = {
       UNION ALL SELECT 'documents', count(*), 5 FROM documents"""),
     "manifest_checksums": (checksums, None),
     "offender_list": (offenders, """
-      WITH k AS (SELECT DISTINCT l_suppkey % 3 AS grp, lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key FROM lineitem WHERE l_discount = 0),
-      n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY key) AS i FROM k)
-      SELECT grp, CAST((i - 1) // 50 + 1 AS BIGINT) AS part, string_agg(key, '; ' ORDER BY key) AS keys, count(*) AS n_keys
-      FROM n GROUP BY grp, (i - 1) // 50 + 1"""),
+      WITH k AS (SELECT DISTINCT l_suppkey % 3 AS grp, lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key FROM lineitem)
+      SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY key) AS ordinal, key AS offender FROM k"""),
 }

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.operators.skew import SkewPolicy
 from cohortloom.plans import analysis
 from cohortloom.session import materialised
 from cohortloom.specs import AnalysisPlan, Treatment
@@ -17,8 +16,6 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PLAN = AnalysisPlan(tuple(Treatment(s, s[:3], float(i)) for i, s in enumerate(SEGMENTS)))
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
-# Cuts groups up at a size that the test tables reach, so that the pieces are exercised.
-SMALL_PIECES = SkewPolicy(floor=10, max_keys=1024, fan_out=64)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import PRIORITIES, SMALL_PIECES, table
+from catalog.base import PRIORITIES, table
 from catalog.reshape_queries import CONVERSIONS, LONG_SQL, long_measures
 from cohortloom.operators import joins, rules
 from cohortloom.plans.example_mapping import example_tasks
@@ -23,7 +23,7 @@ def customer_of_order(spark, d):
 def user_of_event(spark, d):
     """A left side with few keys, each cut into pieces."""
     e, c = table(spark, d, "events"), table(spark, d, "customer")
-    joined = joins.guarded_left_join(e, c, {"user_id": "c_custkey"}, "many-to-one", ["c_name"], SMALL_PIECES)
+    joined = joins.guarded_left_join(e, c, {"user_id": "c_custkey"}, "many-to-one", ["c_name"])
     return joined.select("event_id", "user_id", "c_name")
 
 

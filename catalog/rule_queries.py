@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ADAE_SQL, ADSL_SQL, AE_SQL, DM_SQL, PARTIAL_SQL, PLAN, PRIORITIES, SEGMENTS, SMALL_PIECES,
+    ADAE_SQL, ADSL_SQL, AE_SQL, DM_SQL, PARTIAL_SQL, PLAN, PRIORITIES, SEGMENTS,
     adae, adsl, ae, built, dm, masked, table,
 )
 from catalog.reshape_queries import CONVERSIONS, LONG_SQL, long_measures
@@ -130,17 +130,17 @@ def analysis_structure(spark, d):
     doubled = adsl(spark, d)
     some = doubled.filter(F.col("USUBJID").cast("bigint") % 40 == 5)
     wrong = doubled.unionByName(some).withColumn("TRTSDT", F.col("TRTSDT").cast("string")).drop("SAFFL")
-    return rules.analysis_structure(wrong, ADSL, SMALL_PIECES).select(*ANALYSIS)
+    return rules.analysis_structure(wrong, ADSL).select(*ANALYSIS)
 
 
 STRUCTURE_SQL = f"""
   WITH {DM_SQL} SELECT 'ADAM001' AS rule_id, 'ADSL' AS dataset, '' AS variable, '{",".join(c for c in ADSL.order if c != "SAFFL")}' AS actual_value
   UNION ALL SELECT 'ADAM003', 'ADSL', 'TRTSDT', 'string'
-  UNION ALL SELECT 'ADAM002', 'ADSL', 'STUDYID,USUBJID', string_agg('S1 | ' || "USUBJID", '; ' ORDER BY 'S1 | ' || "USUBJID")
+  UNION ALL SELECT 'ADAM002', 'ADSL', 'STUDYID,USUBJID', CAST(count(*) AS VARCHAR)
     FROM dm WHERE CAST("USUBJID" AS BIGINT) % 40 = 5"""
 
 
-def subject_rules(spark, d):
+def broken_subjects(spark, d):
     """Every subject rule broken on some subjects, and some subjects left out."""
     k = F.col("USUBJID").cast("bigint")
     table_ = adsl(spark, d).filter(k % 100 != 9).withColumns({
@@ -150,25 +150,34 @@ def subject_rules(spark, d):
         "ITTFL": F.when(k % 100 == 4, "N").otherwise(F.col("ITTFL")),
         "SAFFL": F.when(k % 100 == 5, F.lit(None)).otherwise(F.col("SAFFL")),
     })
-    return rules.validate_subject_table(table_, dm(spark, d), PLAN).select(*ANALYSIS)
+    return table_
+
+
+def subject_rules(spark, d):
+    return rules.validate_subject_table(broken_subjects(spark, d), dm(spark, d), PLAN).select(*ANALYSIS)
 
 
-SUBJECT_RULES_SQL = f"""
+def subject_offenders(spark, d):
+    return rules.subject_table_offenders(broken_subjects(spark, d), dm(spark, d), PLAN)
+
+
+SUBJECT_LISTS_SQL = f"""
   WITH {ADSL_SQL}, s AS (SELECT *, CAST("USUBJID" AS BIGINT) AS k FROM adsl WHERE CAST("USUBJID" AS BIGINT) % 100 <> 9),
   lists AS (
     SELECT 'ADSL002' AS rule_id, 'TRT01PN' AS variable, "USUBJID" AS u FROM s WHERE k % 100 = 1
     UNION ALL SELECT 'ADSL003', 'TRT01AN', "USUBJID" FROM s WHERE k % 13 = 0
     UNION ALL SELECT 'ADSL004', 'TRTEDT', "USUBJID" FROM s WHERE k % 100 = 2 AND "TRTSDT" IS NOT NULL
     UNION ALL SELECT 'ADSL005', 'TRTDURD', "USUBJID" FROM s WHERE k % 100 = 3 OR (k % 100 = 2 AND "TRTSDT" IS NOT NULL)
-    UNION ALL SELECT 'ADSL008', 'USUBJID', "USUBJID" FROM dm WHERE CAST("USUBJID" AS BIGINT) % 100 = 9)
-  SELECT rule_id, 'ADSL' AS dataset, variable, string_agg(u, '; ' ORDER BY u) AS actual_value
-    FROM (SELECT *, (row_number() OVER (PARTITION BY rule_id ORDER BY u) - 1) // 1000 AS part FROM lists) GROUP BY rule_id, variable, part
+    UNION ALL SELECT 'ADSL008', 'USUBJID', "USUBJID" FROM dm WHERE CAST("USUBJID" AS BIGINT) % 100 = 9)"""
+
+SUBJECT_RULES_SQL = f"""{SUBJECT_LISTS_SQL}
+  SELECT rule_id, 'ADSL' AS dataset, variable, CAST(count(DISTINCT u) AS VARCHAR) AS actual_value FROM lists GROUP BY rule_id, variable
   UNION ALL SELECT 'ADSL001', 'ADSL', 'USUBJID', CAST(count(*) AS VARCHAR) FROM s
   UNION ALL SELECT 'ADSL006', 'ADSL', 'ITTFL', '' FROM (SELECT 1 FROM s WHERE k % 100 = 4 LIMIT 1)
   UNION ALL SELECT 'ADSL007', 'ADSL', 'SAFFL', '' FROM (SELECT 1 FROM s WHERE k % 100 = 5 LIMIT 1)"""
 
 
-def event_rules(spark, d):
+def broken_events(spark, d):
     """Every event rule broken on some events."""
     k = F.col("AESEQ")
     subjects, base = built(spark, d)
@@ -178,10 +187,20 @@ def event_rules(spark, d):
         "TRTEMFL": F.when(k % 100 == 3, "N").otherwise(F.col("TRTEMFL")),
         "TRTAN": F.when(k % 100 == 4, 99.0).otherwise(F.col("TRTAN")),
     })
+    return subjects, broken
+
+
+def event_rules(spark, d):
+    subjects, broken = broken_events(spark, d)
     return rules.validate_event_table(broken, ae(spark, d), subjects, PLAN).select(*ANALYSIS)
 
 
-EVENT_RULES_SQL = f"""
+def event_offenders(spark, d):
+    subjects, broken = broken_events(spark, d)
+    return rules.event_table_offenders(broken, subjects, PLAN)
+
+
+EVENT_LISTS_SQL = f"""
   WITH {ADAE_SQL}, b AS (SELECT "AESEQ" AS k, CASE WHEN "AESEQ" % 500 = 1 THEN 'X' || "USUBJID" ELSE "USUBJID" END AS u, "USUBJID" AS was,
       "ASTDT", CASE WHEN "AESEQ" % 100 = 2 THEN DATE '1980-01-01' ELSE "AENDT" END AS "AENDT", "TRTSDT", "TRTEDT",
       CASE WHEN "AESEQ" % 100 = 3 THEN 'N' ELSE "TRTEMFL" END AS flag, "AEBODSYS" AS soc, "AEDECOD" AS pt,
@@ -196,9 +215,10 @@ EVENT_RULES_SQL = f"""
   bad(rule_id, variable, n) AS (
     SELECT 'ADAE007', 'AOCCFL', count(*) FROM (SELECT u FROM r GROUP BY u HAVING count(*) FILTER (WHERE "AOCCFL" = 'Y') <> max(CASE WHEN flag = 'Y' THEN 1 ELSE 0 END))
     UNION ALL SELECT 'ADAE008', 'AOCCSFL', count(*) FROM (SELECT u FROM r GROUP BY u, soc HAVING count(*) FILTER (WHERE "AOCCSFL" = 'Y') <> max(CASE WHEN flag = 'Y' THEN 1 ELSE 0 END))
-    UNION ALL SELECT 'ADAE009', 'AOCCPFL', count(*) FROM (SELECT u FROM r GROUP BY u, soc, pt HAVING count(*) FILTER (WHERE "AOCCPFL" = 'Y') <> max(CASE WHEN flag = 'Y' THEN 1 ELSE 0 END)))
-  SELECT rule_id, 'ADAE' AS dataset, variable, string_agg(key, '; ' ORDER BY key) AS actual_value
-    FROM (SELECT *, (row_number() OVER (PARTITION BY rule_id ORDER BY key) - 1) // 1000 AS part FROM lists) GROUP BY rule_id, variable, part
+    UNION ALL SELECT 'ADAE009', 'AOCCPFL', count(*) FROM (SELECT u FROM r GROUP BY u, soc, pt HAVING count(*) FILTER (WHERE "AOCCPFL" = 'Y') <> max(CASE WHEN flag = 'Y' THEN 1 ELSE 0 END)))"""
+
+EVENT_RULES_SQL = f"""{EVENT_LISTS_SQL}
+  SELECT rule_id, 'ADAE' AS dataset, variable, CAST(count(*) AS VARCHAR) AS actual_value FROM lists GROUP BY rule_id, variable
   UNION ALL SELECT 'ADAE001', 'ADAE', '', 'ADAE=' || (SELECT count(*) FROM r) || ', source=' || (SELECT count(*) FROM ae)
     WHERE (SELECT count(*) FROM r) <> (SELECT count(*) FROM ae)
   UNION ALL SELECT 'ADAE004', 'ADAE', 'TRTEMFL', '' FROM (SELECT 1 FROM r WHERE flag <> 'Y' LIMIT 1)
@@ -289,7 +309,15 @@ def key_health(spark, d):
     return rules.key_health(l, ["l_orderkey", "line"])
 
 
+SUBJECT_OFFENDERS_SQL = f"""{SUBJECT_LISTS_SQL}
+  SELECT rule_id, 'ADSL' AS dataset, row_number() OVER (PARTITION BY rule_id ORDER BY u) AS ordinal, u AS offender FROM (SELECT DISTINCT rule_id, u FROM lists)"""
+
+EVENT_OFFENDERS_SQL = f"""{EVENT_LISTS_SQL}
+  SELECT rule_id, 'ADAE' AS dataset, row_number() OVER (PARTITION BY rule_id ORDER BY key) AS ordinal, key AS offender FROM lists"""
+
 QUERIES = {
+    "subject_table_offenders": (subject_offenders, SUBJECT_OFFENDERS_SQL),
+    "event_table_offenders": (event_offenders, EVENT_OFFENDERS_SQL),
     "domain_checks": (domain_checks, DOMAIN_SQL),
     "duplicate_key_rule": (duplicate_keys, """
       SELECT 'LOCAL003' AS rule_id, 'LI' AS domain, 'l_orderkey,l_linenumber' AS variable, l_orderkey || ' | ' || l_linenumber AS record_key,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ADAE_SQL, ADSL_SQL, PLAN, SEGMENTS, SMALL_PIECES, adae, adsl, ae, built, dose_dates, places, table
+from catalog.base import ADAE_SQL, ADSL_SQL, PLAN, SEGMENTS, adae, adsl, ae, built, dose_dates, places, table
 from cohortloom.functions.dates import iso_to_date, treatment_emergent
 from cohortloom.operators import aggregates
 from cohortloom.operators.joins import add_subject_vars
@@ -53,9 +53,9 @@ def event_analysis_table(spark, d):
 
 
 def event_analysis_table_spread(spark, d):
-    """The same table with the subjects of many events cut up and spread."""
+    """The same table from a subject table that was written before."""
     subjects = materialised(adsl(spark, d), "ADSL")
-    e = analysis.derive_events(ae(spark, d), subjects, PLAN, ordered=False, policy=SMALL_PIECES)
+    e = analysis.derive_events(ae(spark, d), subjects, PLAN, ordered=False)
     return e.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")}).select(*EVENT_COLUMNS)
 
 
@@ -191,9 +191,9 @@ def standard_vitals(spark, d):
 
 
 def standard_vitals_spread(spark, d):
-    """The same table with the subjects of many visits cut up and spread."""
+    """The same table from a subject table that was written before."""
     subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
-    vitals = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects, policy=SMALL_PIECES)
+    vitals = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects)
     return vitals.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
 
 

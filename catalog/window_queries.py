@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ADAE_SQL, ADSL_SQL, SMALL_PIECES, adae, adsl, dose_dates, iso, table
+from catalog.base import ADAE_SQL, ADSL_SQL, adae, adsl, dose_dates, iso, table
 from catalog.reshape_queries import CONVERSIONS, FINDINGS, long_measures
 from cohortloom.operators import joins, ordering, skew, windows
 
@@ -17,14 +17,14 @@ def order_sequence(spark, d):
 def event_sequence(spark, d):
     """Users with many events, each cut into pieces that are numbered apart."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
-    numbered = windows.sequence(e, "seq", ["ts", "event_id"], ["user_id"], 5, policy=SMALL_PIECES)
+    numbered = windows.sequence(e, "seq", ["ts", "event_id"], ["user_id"], 5)
     return numbered.select("event_id", "user_id", "seq")
 
 
 def running_value(spark, d):
     """Running sums of whole numbers over one group that holds every row."""
     l = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
-    return skew.running_total(l.withColumn("one", F.lit(1)), ["one"], ["l_partkey"], "upto", "q", policy=SMALL_PIECES).drop("one")
+    return skew.running_total(l.withColumn("one", F.lit(1)), ["one"], ["l_partkey"], "upto", "q").drop("one")
 
 
 FLAGS = {"AOCCFL": ["USUBJID"], "AOCCSFL": ["USUBJID", "AEBODSYS"], "AOCCPFL": ["USUBJID", "AEBODSYS", "AEDECOD"]}
@@ -70,7 +70,7 @@ def repeated_lines(spark, d):
 def repeated_types(spark, d):
     """Five keys own all rows; each is spread over many tasks."""
     e = table(spark, d, "events").select("event_id", "event_type")
-    return windows.duplicate_rows(e, ["event_type"], SMALL_PIECES)
+    return windows.duplicate_rows(e, ["event_type"])
 
 
 def block_text(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -78,9 +79,19 @@ def slug(name: Column) -> Column:
     return F.substring(clean, 1, 48)
 
 
+def _accented() -> tuple[str, str]:
+    """Latin letters with an accent, and the letters without it."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    folded = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
+    return "".join(a for a, _ in folded), "".join(b for _, b in folded)
+
+
+_ACCENTS = _accented()
+
+
 def norm_name(name: Column) -> Column:
-    """Upper-case letters and digits only, for comparing names."""
-    return F.upper(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+    """Upper-case letters and digits only, accents folded, for comparing names."""
+    return F.upper(F.regexp_replace(F.translate(name, *_ACCENTS), "[^A-Za-z0-9]", ""))
 
 
 # Field names that carry an identifier role.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortloom.errors import ContractError
 from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.dates import PARTIAL_TOKEN
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, running_total
+from cohortloom.operators.skew import running_total
 
 TOTAL = "Total"
 
@@ -86,17 +86,16 @@ def denominators(
 
 
 def exact_median(
-    df: DataFrame, value: str, group: str, registered: Sequence[str], policy: SkewPolicy = DEFAULT
+    df: DataFrame, value: str, group: str, registered: Sequence[str]
 ) -> DataFrame:
     """Exact median per registered group without holding a group in one task.
 
-    Equal values are counted first; the running count over the distinct values, cut into pieces for
-    large groups, then shows which value sits in the middle. The group sizes that are broadcast are
+    Equal values are counted first; the running count over the distinct values, cut into pieces, then shows which value sits in the middle. The group sizes that are broadcast are
     one row per registered group.
     """
     known = df.filter(F.col(value).isNotNull() & F.col(group).isin(list(registered)))
     counted = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_total(counted, [group], [value], "__upto", weight="__n", policy=policy)
+    ranked = running_total(counted, [group], [value], "__upto", weight="__n")
     sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     low = F.call_function("div", F.col("__size") + 1, F.lit(2))
     high = F.call_function("div", F.col("__size") + 2, F.lit(2))
@@ -109,7 +108,7 @@ def exact_median(
 
 
 def describe(
-    df: DataFrame, value: str, group: str, registered: Sequence[str], total: str = TOTAL, policy: SkewPolicy = DEFAULT
+    df: DataFrame, value: str, group: str, registered: Sequence[str], total: str = TOTAL
 ) -> DataFrame:
     """N, mean, sample SD, exact median, minimum and maximum per registered group and overall.
 
@@ -124,7 +123,7 @@ def describe(
         F.min("x").alias("minimum"),
         F.max("x").alias("maximum"),
     )
-    median = exact_median(x, "x", "grp", [*registered, total], policy)
+    median = exact_median(x, "x", "grp", [*registered, total])
     # both sides have at most one row per registered group
     return basic.join(median, "grp", "left")
 
@@ -202,24 +201,14 @@ def manifest(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-LIST_LENGTH = 1000  # keys per text value; a longer list goes on in the next row
+def offender_keys(df: DataFrame, key: Column | str, groups: Sequence[str] = ()) -> DataFrame:
+    """Distinct offending keys, one a row, numbered in order within each group (``ordinal`` from 1)."""
+    k = (F.col(key) if isinstance(key, str) else key).cast("string").alias("offender")
+    return running_total(df.select(*groups, k).distinct(), list(groups), ["offender"], "ordinal").select(*groups, "ordinal", "offender")
 
 
-def offender_list(
-    df: DataFrame, key: Column | str, groups: Sequence[str] = (), length: int = LIST_LENGTH, policy: SkewPolicy = DEFAULT
-) -> DataFrame:
-    """Distinct offending keys in order, joined with ``; ``.
-
-    One row holds ``length`` keys. A longer list continues on further rows (``part`` 1, 2, ...), so
-    the list is always whole and no row or task grows with the number of offenders.
-    """
+def offender_counts(df: DataFrame, key: Column | str, groups: Sequence[str] = ()) -> DataFrame:
+    """How many distinct offending keys each group has (``n_keys``); no row where there is none."""
     k = (F.col(key) if isinstance(key, str) else key).cast("string").alias("__k")
-    keys = df.select(*groups, k).distinct()
-    keyed = keys.withColumn("__all", F.lit(0))
-    numbered = running_total(keyed, [*groups, "__all"], ["__k"], "__i", policy=policy)
-    part = (F.call_function("div", F.col("__i") - 1, F.lit(length)) + 1).alias("part")
-    chunks = numbered.groupBy(*groups, part).agg(
-        F.array_join(F.array_sort(F.collect_list("__k")), "; ").alias("keys"), F.count(F.lit(1)).alias("n_keys")
-    )
-    return chunks
-
+    counted = df.select(*groups, k).distinct().groupBy(*groups).agg(F.count("*").alias("n_keys"))
+    return counted.where("n_keys > 0")

@@ -14,7 +14,7 @@ from cohortloom.functions.numbers import linear_convert, not_a_number, strict_nu
 from cohortloom.functions.text import norm_name, unit_alias
 from cohortloom.operators import lookups
 from cohortloom.operators.checks import Check, enforce, require_columns
-from cohortloom.operators.skew import DEFAULT, NO_HOT, HotKeys, SkewPolicy, distinct_keys, spread_join
+from cohortloom.operators.skew import distinct_keys, key_join
 
 RELATIONSHIPS = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
 
@@ -38,7 +38,6 @@ def guarded_left_join(
     by: Mapping[str, str],
     relationship: str,
     select: Sequence[str],
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Left join that refuses to change the number of left rows.
 
@@ -59,7 +58,7 @@ def guarded_left_join(
             assert_unique(left, left_keys, "left side")
     else:
         repeated = repeated_keys(right, right_keys).select(*right_keys)
-        hit = spread_join(left.select(*left_keys), repeated, by, "left_semi", policy=policy)
+        hit = key_join(left.select(*left_keys), repeated, by, "left_semi")
         if not hit.isEmpty():
             raise ContractError("the join would change the number of left rows")
         if relationship == "one-to-many":
@@ -67,15 +66,15 @@ def guarded_left_join(
             if not several.join(pruned.withColumnsRenamed({v: k for k, v in by.items()}), left_keys, "left_semi").isEmpty():
                 raise ContractError("a right row meets more than one left row")
         # repeated right keys meet no left row: without them the result is the same
-        pruned = spread_join(pruned, repeated, right_keys, "left_anti", null_safe=True, policy=policy)
-    return spread_join(left, pruned, by, "left", policy=policy)
+        pruned = key_join(pruned, repeated, right_keys, "left_anti", null_safe=True)
+    return key_join(left, pruned, by, "left")
 
 
 def unmatched_terms(df: DataFrame, column: str, rows: Sequence[tuple[str, str]]) -> DataFrame:
     """Distinct non-blank values that the codelist does not hold."""
     values = df.select(F.col(column).alias("value")).filter(~is_blank(F.col("value"))).distinct()
     known = lookups.as_table(df.sparkSession, [(r[0],) for r in rows], "value string")
-    return values.join(F.broadcast(known) if len(rows) <= lookups.BROADCAST_ROWS else known, "value", "left_anti")
+    return values.join(known, "value", "left_anti")
 
 
 def map_terms(
@@ -149,27 +148,25 @@ def add_subject_vars(
     keys: Sequence[str],
     variables: Sequence[str],
     renames: Mapping[str, str] | None = None,
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Copy subject-level columns onto events, under new names where given.
 
     ``subjects`` has one row per key (a rule checks that); a subject with very many events is spread.
     """
     pruned = subjects.select(*keys, *variables)
-    return spread_join(events, pruned, keys, "left", False, hot, policy).withColumnsRenamed(dict(renames or {}))
+    return key_join(events, pruned, keys, "left").withColumnsRenamed(dict(renames or {}))
 
 
 def orphans(
-    child: DataFrame, parent: DataFrame, on: Mapping[str, str], hot: HotKeys | None = None, policy: SkewPolicy = DEFAULT
+    child: DataFrame, parent: DataFrame, on: Mapping[str, str]
 ) -> DataFrame:
     """Child rows whose key the parent does not have."""
-    return spread_join(child, distinct_keys(parent, list(on.values())), on, "left_anti", False, hot, policy)
+    return key_join(child, distinct_keys(parent, list(on.values())), on, "left_anti")
 
 
 def missing_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Distinct child keys that the parent does not have; one row per key, so no key is hot."""
-    return orphans(distinct_keys(child, [key]), parent, {key: key}, NO_HOT)
+    """Distinct child keys that the parent does not have; one row per key."""
+    return orphans(distinct_keys(child, [key]), parent, {key: key})
 
 
 def lineage_ids(lineage: DataFrame) -> DataFrame:

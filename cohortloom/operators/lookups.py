@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import specs
 from cohortloom.errors import ContractError
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, spread_join
-
-BROADCAST_ROWS = 20_000  # a lookup with more entries than this is joined by shuffle
+from cohortloom.operators.skew import key_join
 
 
 def as_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -37,18 +35,7 @@ def conversion_rows(conversion_set: str, sets: Mapping[str, Sequence[tuple]] = s
 
 
 def attach(
-    df: DataFrame, rows: Sequence[tuple], schema: str, on: Mapping[str, str], policy: SkewPolicy = DEFAULT
+    df: DataFrame, rows: Sequence[tuple], schema: str, on: Mapping[str, str]
 ) -> DataFrame:
-    """Left join to a lookup with one row per key.
-
-    The number of entries is known before the job starts: a short list is broadcast, a long one is
-    joined by shuffle with hot keys spread.
-    """
-    lookup = as_table(df.sparkSession, rows, schema)
-    if len(rows) > BROADCAST_ROWS:
-        return spread_join(df, lookup, on, policy=policy)
-    renamed = lookup.withColumnsRenamed({right: f"__look{i}" for i, right in enumerate(on.values())})
-    condition = F.lit(True)
-    for i, left in enumerate(on):
-        condition = condition & (F.col(left) == F.col(f"__look{i}"))
-    return df.join(F.broadcast(renamed), condition, "left").drop(*[f"__look{i}" for i in range(len(on))])
+    """Left join to a lookup with one row per key; Spark broadcasts it where its size allows."""
+    return key_join(df, as_table(df.sparkSession, rows, schema), on)

@@ -25,11 +25,11 @@ from cohortloom.functions.dates import (
     planned_population_flag,
     treatment_emergent,
 )
-from cohortloom.operators.aggregates import denominators, issue_summary, offender_list
+from cohortloom.operators.aggregates import denominators, issue_summary, offender_counts, offender_keys
 from cohortloom.operators.joins import missing_keys, orphans, repeated_keys
 from cohortloom.operators.reshape import content_difference
 from cohortloom.operators.schema import has_kind
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, spread_join
+from cohortloom.operators.skew import key_join
 from cohortloom.operators.windows import duplicate_rows
 from cohortloom.specs import TableSpec
 
@@ -76,7 +76,8 @@ def shown_value(df: DataFrame, name: str) -> Column:
     """Text of a value; whole numbers show without decimals."""
     text = F.col(name).cast("string")
     whole = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-    return F.regexp_replace(text, r"\.0$", "") if whole else text
+    exact = F.col(name) == F.floor(F.col(name))
+    return F.when(exact & (F.abs(name) < 1e18), F.col(name).cast("bigint").cast("string")).otherwise(text) if whole else text
 
 
 def record_key(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -217,18 +218,18 @@ def structure_issues(df: DataFrame, spec: TableSpec, run_id: str = "") -> DataFr
     return spark.createDataFrame(rows, ISSUE_SCHEMA)
 
 
-def duplicate_key_issues(df: DataFrame, spec: TableSpec, run_id: str = "", policy: SkewPolicy = DEFAULT) -> DataFrame:
+def duplicate_key_issues(df: DataFrame, spec: TableSpec, run_id: str = "") -> DataFrame:
     if any(k not in df.columns for k in spec.keys):
         return no_issues(df.sparkSession)
-    rows = duplicate_rows(df.select(*spec.keys), list(spec.keys), policy)
+    rows = duplicate_rows(df.select(*spec.keys), list(spec.keys))
     key = record_key(rows, spec.keys)
     return rows.select(*_issue("LOCAL003", spec.name, ",".join(spec.keys), key, "Key is not unique.", key, run_id))
 
 
 def orphan_issues(
-    child: DataFrame, parent: DataFrame, spec: TableSpec, subject: str = "USUBJID", run_id: str = "", policy: SkewPolicy = DEFAULT
+    child: DataFrame, parent: DataFrame, spec: TableSpec, subject: str = "USUBJID", run_id: str = ""
 ) -> DataFrame:
-    rows = orphans(child, parent, {subject: subject}, policy=policy)
+    rows = orphans(child, parent, {subject: subject})
     key = record_key(rows, spec.keys)
     return rows.select(*_issue("LOCAL010", spec.name, subject, key, "Subject is not in the subject table.", F.col(subject), run_id))
 
@@ -248,10 +249,10 @@ def broken_sequences(df: DataFrame, subject: str, number: str) -> DataFrame:
 
 
 def sequence_issues(
-    df: DataFrame, spec: TableSpec, number: str, subject: str = "USUBJID", run_id: str = "", policy: SkewPolicy = DEFAULT
+    df: DataFrame, spec: TableSpec, number: str, subject: str = "USUBJID", run_id: str = ""
 ) -> DataFrame:
     """All rows of a subject whose numbers are not exactly 1..n."""
-    rows = spread_join(df, broken_sequences(df, subject, number), [subject], "left_semi", policy=policy)
+    rows = key_join(df, broken_sequences(df, subject, number), [subject], "left_semi")
     key = record_key(rows, spec.keys)
     message = "Numbers of a subject must be 1..n without gap or repeat."
     return rows.select(*_issue("LOCAL011", spec.name, number, key, message, shown_value(rows, number), run_id))
@@ -264,13 +265,13 @@ def with_mapping_ids(issues: DataFrame, ids: DataFrame) -> DataFrame:
     return joined.withColumn("mapping_id", F.coalesce("__id", F.lit(""))).select(*ISSUE_COLUMNS)
 
 
-def validate_domain(df: DataFrame, spec: TableSpec, run_id: str = "", extra: Sequence[RowRule] = (), policy: SkewPolicy = DEFAULT) -> DataFrame:
+def validate_domain(df: DataFrame, spec: TableSpec, run_id: str = "", extra: Sequence[RowRule] = ()) -> DataFrame:
     """All checks of one table that need no other table."""
     rules = [*domain_rules(df, spec), *extra]
     return union_all([
         structure_issues(df, spec, run_id),
         row_issues(df, spec, rules, run_id),
-        duplicate_key_issues(df, spec, run_id, policy),
+        duplicate_key_issues(df, spec, run_id),
     ])
 
 
@@ -286,10 +287,10 @@ def _analysis(rule_id: str, dataset: str, variable: str, message: str, actual: C
     return [values[c].alias(c) for c in ANALYSIS_COLUMNS]
 
 
-def listed_issues(bad: DataFrame, key: Column | str, rule_id: str, dataset: str, variable: str, message: str, policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """One issue that lists the offending keys (continued on further rows when the list is long)."""
-    parts = offender_list(bad, key, policy=policy)
-    return parts.select(*_analysis(rule_id, dataset, variable, message, F.col("keys")))
+def listed_issues(bad: DataFrame, key: Column | str, rule_id: str, dataset: str, variable: str, message: str) -> DataFrame:
+    """One issue when there are offending keys, with their number as its value; ``*_offenders`` give the keys themselves."""
+    counted = offender_counts(bad, key)
+    return counted.select(*_analysis(rule_id, dataset, variable, message, F.col("n_keys")))
 
 
 def any_issue(bad: DataFrame, rule_id: str, dataset: str, variable: str, message: str) -> DataFrame:
@@ -307,13 +308,13 @@ def failing_rows(df: DataFrame, rules: Sequence[tuple[str, Column]], shown: Colu
 
 
 def _listed_together(
-    failing: DataFrame, texts: Mapping[str, tuple[str, str]], dataset: str, quiet: Sequence[str], policy: SkewPolicy
+    failing: DataFrame, texts: Mapping[str, tuple[str, str]], dataset: str, quiet: Sequence[str]
 ) -> DataFrame:
-    """Issues for several rules from one table of failing rows; ``quiet`` rules report no keys."""
-    lists = offender_list(failing.filter(~F.col("rule_id").isin(list(quiet))) if quiet else failing, "shown", ["rule_id"], policy=policy)
+    """One issue for each failing rule, with the number of its keys as value; ``quiet`` rules report no keys."""
+    counts = offender_counts(failing.filter(~F.col("rule_id").isin(list(quiet))) if quiet else failing, "shown", ["rule_id"])
     variable = F.create_map(*[F.lit(x) for r, (v, _) in texts.items() for x in (r, v)])
     message = F.create_map(*[F.lit(x) for r, (_, m) in texts.items() for x in (r, m)])
-    named = lists.select("rule_id", F.col("keys").alias("actual_value"))
+    named = counts.select("rule_id", F.col("n_keys").cast("string").alias("actual_value"))
     if quiet:
         plain = failing.filter(F.col("rule_id").isin(list(quiet))).select("rule_id").distinct()
         named = named.unionByName(plain.withColumn("actual_value", F.lit("")))
@@ -325,7 +326,7 @@ def _listed_together(
     return filled.select(*ANALYSIS_COLUMNS)
 
 
-def analysis_structure(df: DataFrame, spec: TableSpec, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def analysis_structure(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Columns, types and key of an analysis table."""
     found = []
     if df.columns != spec.order:
@@ -339,7 +340,7 @@ def analysis_structure(df: DataFrame, spec: TableSpec, policy: SkewPolicy = DEFA
         repeated = repeated_keys(df, list(spec.keys))
         shown = record_key(repeated, spec.keys)
         issues = issues.unionByName(
-            listed_issues(repeated, shown, "ADAM002", spec.name, ",".join(spec.keys), "Key is not unique.", policy)
+            listed_issues(repeated, shown, "ADAM002", spec.name, ",".join(spec.keys), "Key is not unique.")
         )
     return issues
 
@@ -400,16 +401,29 @@ SUBJECT_TEXTS = {
 }
 
 
-def validate_subject_table(adsl: DataFrame, dm: DataFrame, plan: specs.AnalysisPlan, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def validate_subject_table(adsl: DataFrame, dm: DataFrame, plan: specs.AnalysisPlan) -> DataFrame:
     failing = failing_rows(adsl, subject_table_rules(plan), F.coalesce(F.col("USUBJID"), F.lit("NA")))
     absent = missing_keys(dm, adsl, "USUBJID")
     return union_all([
         row_count_issue(adsl, dm, "ADSL001", "ADSL", "There must be one row per source subject.", False, "USUBJID"),
-        _listed_together(failing, SUBJECT_TEXTS, "ADSL", ["ADSL006", "ADSL007"], policy),
-        listed_issues(absent, "USUBJID", "ADSL008", "ADSL", "USUBJID", "Source subjects are missing.", policy),
+        _listed_together(failing, SUBJECT_TEXTS, "ADSL", ["ADSL006", "ADSL007"]),
+        listed_issues(absent, "USUBJID", "ADSL008", "ADSL", "USUBJID", "Source subjects are missing."),
     ])
 
 
+def _offenders(frames: Sequence[DataFrame], dataset: str) -> DataFrame:
+    """rule_id, dataset, ordinal, offender: the keys behind the issues, from frames of (rule_id, shown)."""
+    found = offender_keys(union_all(frames), "shown", ["rule_id"])
+    return found.select("rule_id", F.lit(dataset).alias("dataset"), "ordinal", "offender")
+
+
+def subject_table_offenders(adsl: DataFrame, dm: DataFrame, plan: specs.AnalysisPlan) -> DataFrame:
+    """The keys that ``validate_subject_table`` counts, one a row."""
+    failing = failing_rows(adsl, subject_table_rules(plan), F.coalesce(F.col("USUBJID"), F.lit("NA")))
+    absent = missing_keys(dm, adsl, "USUBJID").select(F.lit("ADSL008").alias("rule_id"), F.col("USUBJID").alias("shown"))
+    return _offenders([failing.filter(~F.col("rule_id").isin("ADSL006", "ADSL007")), absent], "ADSL")
+
+
 def event_table_rules(plan: specs.AnalysisPlan) -> list[tuple[str, Column]]:
     recomputed = treatment_emergent(*[F.col(c) for c in ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")], plan.window_days)
     return [
@@ -445,29 +459,41 @@ def bad_occurrence_groups(adae: DataFrame, grouping: Sequence[str], flag: str, e
     return grouped.filter((F.col("marked") != wanted) | (F.col("odd") > 0))
 
 
-def treatment_mismatches(adae: DataFrame, adsl: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
+def treatment_mismatches(adae: DataFrame, adsl: DataFrame) -> DataFrame:
     """Events whose treatment differs from that of their subject, or whose subject is unknown."""
     subjects = adsl.groupBy("USUBJID").agg(
         F.min_by(F.struct("TRT01A", "TRT01AN"), F.coalesce("TRT01A", F.lit(""))).alias("__arm")
     )
-    joined = spread_join(adae.select("USUBJID", "TRTA", "TRTAN"), subjects, ["USUBJID"], policy=policy)
+    joined = key_join(adae.select("USUBJID", "TRTA", "TRTAN"), subjects, ["USUBJID"])
     same = F.col("TRTA").eqNullSafe(F.col("__arm.TRT01A")) & F.col("TRTAN").eqNullSafe(F.col("__arm.TRT01AN"))
     return joined.filter(F.col("__arm").isNull() | ~same)
 
 
+def _event_key() -> Column:
+    number = F.col("AESEQ").cast("bigint").cast("string")
+    return F.concat(F.coalesce("USUBJID", F.lit("NA")), F.lit("/"), F.coalesce(number, F.lit("NA")))
+
+
+def event_table_offenders(adae: DataFrame, adsl: DataFrame, plan: specs.AnalysisPlan) -> DataFrame:
+    """The keys that ``validate_event_table`` counts, one a row."""
+    failing = failing_rows(adae, event_table_rules(plan), _event_key())
+    subjects = {"ADAE002": missing_keys(adae, adsl, "USUBJID"), "ADAE006": treatment_mismatches(adae, adsl)}
+    named = [df.select(F.lit(rule).alias("rule_id"), F.col("USUBJID").alias("shown")) for rule, df in subjects.items()]
+    return _offenders([failing.filter(F.col("rule_id") != "ADAE004"), *named], "ADAE")
+
+
 def validate_event_table(
-    adae: DataFrame, ae: DataFrame, adsl: DataFrame, plan: specs.AnalysisPlan, policy: SkewPolicy = DEFAULT
+    adae: DataFrame, ae: DataFrame, adsl: DataFrame, plan: specs.AnalysisPlan
 ) -> DataFrame:
-    shown = F.concat(F.coalesce("USUBJID", F.lit("NA")), F.lit("/"), F.coalesce(F.col("AESEQ").cast("bigint").cast("string"), F.lit("NA")))
-    failing = failing_rows(adae, event_table_rules(plan), shown)
+    failing = failing_rows(adae, event_table_rules(plan), _event_key())
     unknown = missing_keys(adae, adsl, "USUBJID")
     message = "A flag must mark exactly one row per emergent group."
     return union_all([
         row_count_issue(adae, ae, "ADAE001", "ADAE", "Row count must equal that of the source.", True),
-        listed_issues(unknown, "USUBJID", "ADAE002", "ADAE", "USUBJID", "Subjects are not in the subject table.", policy),
-        _listed_together(failing, EVENT_TEXTS, "ADAE", ["ADAE004"], policy),
-        listed_issues(treatment_mismatches(adae, adsl, policy), "USUBJID", "ADAE006", "ADAE", "TRTA",
-                      "Treatment differs from that of the subject.", policy),
+        listed_issues(unknown, "USUBJID", "ADAE002", "ADAE", "USUBJID", "Subjects are not in the subject table."),
+        _listed_together(failing, EVENT_TEXTS, "ADAE", ["ADAE004"]),
+        listed_issues(treatment_mismatches(adae, adsl), "USUBJID", "ADAE006", "ADAE", "TRTA",
+                      "Treatment differs from that of the subject."),
         *[any_issue(bad_occurrence_groups(adae, grouping, flag), OCCURRENCE_RULES[flag], "ADAE", flag, message)
           for flag, grouping in OCCURRENCE_FLAGS.items()],
     ])
@@ -487,12 +513,18 @@ def validate_analysis(datasets: Mapping[str, DataFrame], source: Mapping[str, Da
 # Table rules -----------------------------------------------------------------------------------
 
 
+def _figures(bad: DataFrame, shown: Column) -> DataFrame:
+    """All differing figures (``grp``, one row per registered group at most) as one text; no row where none differs."""
+    pairs = F.concat_ws(":", "grp", F.coalesce(shown, F.lit("NA")))
+    return bad.agg(F.array_join(F.array_sort(F.collect_list(pairs)), ",").alias("figures")).where("figures <> ''")
+
+
 def denominator_issues(stored: DataFrame, population: DataFrame, group: str, subject: str, registered: Sequence[str], table_id: str) -> DataFrame:
     """Denominators of a table (``grp``, ``n``) against a recount; both have one row per group."""
     recount = denominators(population, group, subject, registered, check=False).select("grp", F.col("n").alias("expected"))
     both = stored.select("grp", "n").join(recount, "grp", "full_outer").filter(~F.col("n").eqNullSafe(F.col("expected")))
-    return both.select(*_analysis("TLF001", table_id, "denominator", "Denominator differs from a recount.",
-                                  F.concat_ws(":", "grp", F.coalesce(F.col("n").cast("string"), F.lit("NA")))))
+    figures = _figures(both, F.col("n").cast("string"))
+    return figures.select(*_analysis("TLF001", table_id, "denominator", "Denominator differs from a recount.", F.col("figures")))
 
 
 def empty_table_issue(table: DataFrame, table_id: str) -> DataFrame:
@@ -513,8 +545,8 @@ def overall_row_issue(displayed: DataFrame, recomputed: DataFrame, table_id: str
     expected = recomputed.select("grp", F.col("display").alias("expected"))
     bad = displayed.select("grp", "display").join(expected, "grp", "full_outer")
     bad = bad.filter(~F.col("display").eqNullSafe(F.col("expected")))
-    return bad.select(*_analysis("TLF004", table_id, "overall", "Overall row differs from a recount.",
-                                 F.concat_ws(":", "grp", F.coalesce("display", F.lit("NA")))))
+    figures = _figures(bad, F.col("display"))
+    return figures.select(*_analysis("TLF004", table_id, "overall", "Overall row differs from a recount.", F.col("figures")))
 
 
 def flagged_subject_issue(adae: DataFrame, table_id: str) -> DataFrame:

@@ -1,131 +1,41 @@
-"""Joins, running totals and first-row flags that hold when one key owns a large share of the rows.
+"""Joins, running totals and first-row flags with one plan, whatever the sizes of table and groups.
 
-A shuffle by key sends every row of a key to one task. The operators here first look for keys that
-are too large for that (one count per key, map-side combined, over the key columns only). Where
-there are none, the plan is the plain one. Where there are some, only their rows are spread over
-many tasks. Nothing is dropped, capped or estimated: the list of large keys decides how the work is
-cut up, never which rows are in the result.
-
-What reaches the driver or is broadcast is bounded whatever the table holds: at most ``max_keys``
-keys, with at most ``fan_out`` cut points each. A key that is not among the ``max_keys`` largest
-owns less than ``1 / max_keys`` of the rows.
-
-The count reads its input once more. Give it the source columns, pass a list that was found before
-(``hot=``), or checkpoint an input that is costly to compute.
+Nothing here looks at the data while a plan is built, and no plan depends on how many rows a key has. Joins are
+plain equi-joins: where one key owns a large share of the left rows, Spark splits its partition (adaptive
+execution with ``spark.sql.adaptive.skewJoin.enabled``, both on by default). Running totals cut the space of all
+groups and order keys into pieces, so that a group may own any share of the rows. Flags take the first row of
+each group by aggregates, which are combined before the shuffle, and join it back on a row id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_ROWS, _SALTS, _SALT = "__rows", "__salts", "__salt"
-_KEY, _CUTS, _BUCKET, _TOTAL, _BEFORE = "__order", "__cuts", "__bucket", "__total", "__before"
-_OVERSAMPLE = 8  # sampled order keys per cut point, so that the pieces come out even
-
-
-@dataclass(frozen=True)
-class SkewPolicy:
-    """``floor``: rows a key needs before it is cut up, and the size of the pieces it is cut into."""
-
-    floor: int = 2_000_000
-    max_keys: int = 1024
-    fan_out: int = 1024
-
-
-DEFAULT = SkewPolicy()
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    """The large keys of a table with their row counts; a short list, largest first."""
-
-    keys: tuple[str, ...]
-    schema: T.StructType
-    rows: tuple[tuple, ...]
 
-    def __bool__(self) -> bool:
-        return bool(self.rows)
+_KEY, _CUTS, _PIECE, _TOTAL, _BEFORE, _HASH, _COPY = "__order", "__cuts", "__piece", "__total", "__before", "__row_hash", "__row_copy"
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), self.schema)
 
-    def only(self, keys: Sequence[str]) -> HotKeys:
-        """The same keys cut down to some of their columns."""
-        if not self.rows:
-            return self
-        places = [self.keys.index(k) for k in keys]
-        counts: dict[tuple, int] = {}
-        for row in self.rows:
-            key = tuple(row[i] for i in places)
-            counts[key] = counts.get(key, 0) + row[-1]
-        schema = T.StructType([*[self.schema[i] for i in places], self.schema[-1]])
-        return HotKeys(tuple(keys), schema, tuple((*k, n) for k, n in counts.items()))
-
-
-NO_HOT = HotKeys((), T.StructType(), ())  # for keys that are known to be unique or evenly spread
-
-
-def find_hot(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> HotKeys:
-    """Count the rows per key and keep the large ones; one job, ``policy.max_keys`` rows at most."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
-    large = counts.filter(F.col(_ROWS) >= policy.floor).orderBy(F.desc(_ROWS)).limit(policy.max_keys)
-    return HotKeys(tuple(keys), large.schema, tuple(tuple(r) for r in large.collect()))
-
-
-def _pieces(policy: SkewPolicy) -> Column:
-    return F.least(F.lit(policy.fan_out), F.ceil(F.col(_ROWS) / policy.floor) + 1).cast("int")
-
-
-def _matches(left_keys: Sequence[str], right_keys: Sequence[str], null_safe: bool) -> Column:
+def matches(left_keys: Sequence[str], right_keys: Sequence[str], null_safe: bool) -> Column:
     pairs = zip(left_keys, right_keys, strict=True)
     return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b) for a, b in pairs])
 
 
-def _mark(df: DataFrame, keys: Sequence[str], small: DataFrame) -> DataFrame:
-    """Add the columns of a bounded table of hot keys; null-safe, by broadcast."""
-    aliases = [f"__hot{i}" for i in range(len(keys))]
-    renamed = small.withColumnsRenamed(dict(zip(keys, aliases, strict=True)))
-    return df.join(F.broadcast(renamed), _matches(keys, aliases, True), "left").drop(*aliases)
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Mapping[str, str] | Sequence[str],
-    how: str = "left",
-    null_safe: bool = False,
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
+def key_join(
+    left: DataFrame, right: DataFrame, on: Mapping[str, str] | Sequence[str], how: str = "left", null_safe: bool = False
 ) -> DataFrame:
-    """Equi-join for a left side with hot keys and a right side with one row per key.
+    """Equi-join with a right side of one row per key.
 
-    Rows of a hot left key get a salt that spreads them evenly; the one matching right row is
-    repeated once per salt. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
-    The result has the left columns and, for left and inner, the right columns that are no keys.
+    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``. The result has the left columns and, for left and
+    inner, the right columns that are no keys.
     """
     on = dict(on) if isinstance(on, Mapping) else {k: k for k in on}
-    left_keys, right_keys = list(on), [f"__right{i}" for i in range(len(on))]
+    right_keys = [f"__right{i}" for i in range(len(on))]
     renamed = right.withColumnsRenamed(dict(zip(on.values(), right_keys, strict=True)))
-    matches = _matches(left_keys, right_keys, null_safe)
-    hot = find_hot(left, left_keys, policy) if hot is None else hot
-    if not hot:
-        return left.join(renamed, matches, how).drop(*right_keys)
-
-    salted = hot.table(left.sparkSession).withColumn(_SALTS, _pieces(policy)).drop(_ROWS)
-    salt = F.when(F.col(_SALTS).isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col(_SALTS))).otherwise(0)
-    spread = _mark(left, left_keys, salted).withColumn(_SALT, salt.cast("int")).drop(_SALTS)
-    marked = _mark(renamed, right_keys, salted.withColumnsRenamed(dict(zip(left_keys, right_keys, strict=True))))
-    salts = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
-    repeated = marked.withColumn("__right_salt", F.explode(salts)).drop(_SALTS)
-    condition = matches & (F.col(_SALT) == F.col("__right_salt"))
-    return spread.join(repeated, condition, how).drop(_SALT, "__right_salt", *right_keys)
+    return left.join(renamed, matches(list(on), right_keys, null_safe), how).drop(*right_keys)
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -140,31 +50,26 @@ def order_key(order: Sequence[str]) -> Column:
     return F.struct(*fields)
 
 
-def _place(cuts: Column, key: Column) -> Column:
-    """How many sorted cut points are at or below ``key``: first among the block heads, then inside one block."""
-    block = F.size(F.filter(cuts["heads"], lambda cut: cut <= key))
-    inside = F.size(F.filter(F.get(cuts["blocks"], block - 1), lambda cut: cut <= key))
-    place = (F.greatest(block, F.lit(1)) - 1) * cuts["width"] + F.greatest(inside, F.lit(0))
-    return F.coalesce(place, F.lit(0))
-
-
-def _cut_points(df: DataFrame, partition: Sequence[str], hot: HotKeys, policy: SkewPolicy) -> DataFrame:
-    """Sorted cut points of each hot key, taken from its order keys by hash.
+def _cuts(keyed: DataFrame, pieces: int) -> Column:
+    """The cut points, as a scalar: the ``pieces`` keys with the smallest hashes, sorted, in blocks of about the square root.
 
     The choice depends on the values only, so a lost task that runs again finds the same points.
     """
-    marked = _mark(df.select(*partition, _KEY), partition, hot.table(df.sparkSession)).filter(F.col(_ROWS).isNotNull())
-    wanted = _pieces(policy) * _OVERSAMPLE
-    stride = F.greatest(F.call_function("div", F.col(_ROWS), wanted.cast("bigint")), F.lit(1))
-    sampled = marked.filter(F.pmod(F.xxhash64(_KEY), stride) == 0)
-    cuts = F.filter(F.array_sort(F.collect_set(_KEY)), lambda _, i: i % _OVERSAMPLE == _OVERSAMPLE - 1)
-    points = sampled.groupBy(*partition).agg(cuts.alias("cuts"))
-    # blocks of about the square root keep the search short
+    chosen = keyed.select(_KEY).orderBy(F.xxhash64(_KEY), _KEY).limit(pieces)
+    points = chosen.agg(F.array_sort(F.collect_set(_KEY)).alias("cuts"))
     points = points.withColumn("width", F.greatest(F.ceil(F.sqrt(F.size("cuts"))), F.lit(1)).cast("int"))
     heads = F.filter("cuts", lambda _, i: i % F.col("width") == 0)
     starts = F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda i: (i % F.col("width") == 0) & (i < F.size("cuts")))
     blocks = F.transform(starts, lambda i: F.slice("cuts", i + 1, F.col("width")))
-    return points.select(*partition, F.struct(heads.alias("heads"), blocks.alias("blocks"), "width").alias(_CUTS))
+    return points.select(F.struct(heads.alias("heads"), blocks.alias("blocks"), "width").alias("cuts")).scalar()
+
+
+def _place(cuts: Column, key: Column) -> Column:
+    """How many sorted cut points are at or below ``key``: first among the block heads, then inside one block."""
+    block = F.size(F.filter(cuts["heads"], lambda cut: cut <= key))
+    inside = F.size(F.filter(F.get(cuts["blocks"], block - 1), lambda cut: cut <= key))
+    place = (F.greatest(block, F.lit(1)) - 1) * cuts["width"] + F.greatest(inside, F.lit(0))
+    return F.coalesce(place, F.lit(0))
 
 
 def running_total(
@@ -174,37 +79,31 @@ def running_total(
     target: str,
     weight: str | None = None,
     start_at: int = 1,
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Exact row number, or running sum of ``weight``, per group in ``order`` (nulls last).
 
-    A group that is too large for one task is cut at cut points of its order key. Each piece is
-    numbered on its own and shifted by the total of the pieces before it.
-    ``order`` must name each row of a group uniquely where the numbers have to be repeatable.
+    The rows of all groups, in the order of group and ``order``, are cut at as many keys as there are shuffle partitions.
+    Each piece of a group is numbered on its own, and shifted by the total of the group's pieces before it. Only groups that
+    cross a cut have such a total, so those are no more than two rows for each cut. How many cuts there are changes how
+    the work is split, never the numbers. ``order`` must name each row of a group uniquely where the numbers have to be
+    repeatable.
     """
-    sort = [F.asc_nulls_last(c) for c in order]
-
-    def numbered(frame: DataFrame, groups: Sequence[str]) -> Column:
-        window = Window.partitionBy(*groups).orderBy(*sort)
-        if weight:
-            return F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return F.row_number().over(window).cast("bigint") + (start_at - 1)
-
-    hot = find_hot(df, partition, policy) if hot is None else hot
-    if not hot:
-        return df.withColumn(target, numbered(df, partition))
-
-    keyed = df.withColumn(_KEY, order_key(order))
-    cuts = _cut_points(keyed, partition, hot, policy)
-    placed = _mark(keyed, partition, cuts).withColumn(_BUCKET, _place(F.col(_CUTS), F.col(_KEY)))
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn(_KEY, order_key([*partition, *order]))
+    placed = keyed.withColumn(_CUTS, _cuts(keyed, pieces)).withColumn(_PIECE, _place(F.col(_CUTS), F.col(_KEY))).drop(_KEY, _CUTS)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    totals = placed.filter(F.col(_CUTS).isNotNull()).groupBy(*partition, _BUCKET).agg(amount.alias(_TOTAL))
-    earlier = Window.partitionBy(*partition).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*partition, _BUCKET, F.sum(_TOTAL).over(earlier).alias(_BEFORE))
-    shifted = _mark(placed.drop(_CUTS), [*partition, _BUCKET], before)
-    value = numbered(shifted, [*partition, _BUCKET]) + F.coalesce(F.col(_BEFORE), F.lit(0))
-    return shifted.withColumn(target, value).drop(_KEY, _BUCKET, _BEFORE)
+    totals = placed.groupBy(*partition, _PIECE).agg(amount.alias(_TOTAL))
+    earlier = Window.partitionBy(*partition).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn(_BEFORE, F.sum(_TOTAL).over(earlier)).where(F.col(_BEFORE).isNotNull()).drop(_TOTAL)
+    names = {c: f"__group{i}" for i, c in enumerate([*partition, _PIECE])}
+    before = F.broadcast(before.withColumnsRenamed(names))  # at most one row for each cut
+    shifted = placed.join(before, matches(list(names), list(names.values()), True), "left").drop(*names.values())
+    window = Window.partitionBy(*partition, _PIECE).orderBy(*[F.asc_nulls_last(c) for c in order])
+    if weight:
+        own = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    else:
+        own = F.row_number().over(window).cast("bigint") + (start_at - 1)
+    return shifted.withColumn(target, own + F.coalesce(F.col(_BEFORE), F.lit(0))).drop(_PIECE, _BEFORE)
 
 
 def flag_first(
@@ -215,43 +114,30 @@ def flag_first(
     row_key: Sequence[str],
     last: bool = False,
     value: str = "Y",
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Set each flag on the first (or last) eligible row of its group; other rows stay null.
 
-    ``flags`` names the grouping columns per flag, from coarse to fine, each a part of the next.
-    Without a large group this is one window per flag over a single shuffle by the coarsest group.
-    With one, the rows are pre-aggregated to one candidate per finest group, coarser groups are
-    built from those candidates, and the winners are joined back on ``row_key``, which is unique
-    per row and so spreads evenly however large a group is.
+    ``flags`` names the grouping columns per flag, from coarse to fine, each a part of the next. Rows rank by ``order``, then
+    ``row_key``, then the hash of the whole row. A row's id is that hash and a number among the rows that share it, so it is
+    unique even where ``row_key`` repeats, and exactly one row of a group is flagged. The best row of each finest
+    group is found first, those of coarser groups among these, and the winners are joined back on the id.
     """
     names = list(flags)
-    ordering = [*order, *[k for k in row_key if k not in order]]
-    coarsest = list(flags[names[0]])
-    hot = find_hot(df, coarsest, policy) if hot is None else hot
-    if not hot:
-        counts = F.coalesce(eligible, F.lit(False))
-        ranked = df.drop(*names).withColumn("__eligible", counts)
-        sort = [F.desc_nulls_last(c) if last else F.asc_nulls_last(c) for c in ordering if c not in coarsest]
-        for name in names:
-            window = Window.partitionBy(*flags[name], "__eligible").orderBy(*sort)
-            first = F.col("__eligible") & (F.row_number().over(window) == 1)
-            ranked = ranked.withColumn(name, F.when(first, F.lit(value)))
-        return ranked.drop("__eligible")
-
+    ordering = [*order, *[k for k in row_key if k not in order], _HASH, _COPY]
+    rows = df.drop(*names)
+    rows = rows.withColumn(_HASH, F.xxhash64(*rows.columns))
+    rows = rows.withColumn(_COPY, F.row_number().over(Window.partitionBy(_HASH).orderBy(_HASH)))
     pick = F.max if last else F.min
     rank = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(ordering)]) if last else order_key(ordering)
-    level = df.filter(eligible).select(*flags[names[-1]], rank.alias(_KEY))
+    level = rows.filter(eligible).select(*flags[names[-1]], rank.alias(_KEY))
     levels = {}
     for name in reversed(names):
         level = level.groupBy(*flags[name]).agg(pick(_KEY).alias(_KEY))
         levels[name] = level
-    winners = None
-    for name in names:
-        keys = [F.col(f"{_KEY}.v{ordering.index(k)}").alias(k) for k in row_key]
-        marks = [F.lit(value if other == name else None).cast("string").alias(other) for other in names]
-        chosen = levels[name].select(*keys, *marks)
-        winners = chosen if winners is None else winners.unionByName(chosen)
-    winners = winners.groupBy(*row_key).agg(*[F.max(n).alias(n) for n in names])
-    return spread_join(df.drop(*names), winners, row_key, "left", True, NO_HOT)
+    row_id = [F.col(f"{_KEY}.v{ordering.index(k)}").alias(k) for k in (_HASH, _COPY)]
+    winners = reduce(DataFrame.unionByName, [
+        levels[name].select(*row_id, *[F.lit(value if other == name else None).cast("string").alias(other) for other in names])
+        for name in names
+    ])
+    winners = winners.groupBy(_HASH, _COPY).agg(*[F.max(n).alias(n) for n in names])
+    return key_join(rows, winners, [_HASH, _COPY]).drop(_HASH, _COPY)

@@ -11,7 +11,7 @@ from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.dates import is_complete_date
 from cohortloom.functions.numbers import decimals_needed, with_decimals
 from cohortloom.operators.joins import repeated_keys
-from cohortloom.operators.skew import DEFAULT, HotKeys, SkewPolicy, flag_first, running_total, spread_join
+from cohortloom.operators.skew import flag_first, key_join, running_total
 
 SUBJECT = ("STUDYID", "USUBJID")
 
@@ -22,12 +22,10 @@ def sequence(
     record_vars: Sequence[str],
     subject: Sequence[str] = SUBJECT,
     start_at: int = 1,
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Number the rows of each subject in the order of ``record_vars``, nulls last."""
     order = [c for c in record_vars if c not in subject]
-    return running_total(df, list(subject), order, target, None, start_at, hot, policy)
+    return running_total(df, list(subject), order, target, None, start_at)
 
 
 def first_occurrence(
@@ -36,11 +34,9 @@ def first_occurrence(
     emergent: str = "TRTEMFL",
     order: Sequence[str] = ("ASTDT", "AESEQ"),
     row_key: Sequence[str] = (*SUBJECT, "AESEQ"),
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """``Y`` on the first emergent row of each group, one flag per grouping level (coarse to fine)."""
-    return flag_first(df, flags, F.col(emergent) == "Y", order, row_key, hot=hot, policy=policy)
+    return flag_first(df, flags, F.col(emergent) == "Y", order, row_key)
 
 
 def baseline_flag(
@@ -56,8 +52,6 @@ def baseline_flag(
     timepoint: str | None = None,
     baseline_timepoints: Iterable[str] = (),
     status: str | None = None,
-    hot: HotKeys | None = None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """``Y`` on the last valid result of each subject and test before the reference date.
 
@@ -74,13 +68,13 @@ def baseline_flag(
     if status is not None:
         valid = valid & F.coalesce(F.col(status) != "NOT DONE", F.lit(True))
     before = (day < ref) | ((day == ref) & same_day)
-    return flag_first(df, {target: list(group)}, valid & before, [date], row_key, last=True, hot=hot, policy=policy)
+    return flag_first(df, {target: list(group)}, valid & before, [date], row_key, last=True)
 
 
-def duplicate_rows(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> DataFrame:
+def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of a key that occurs more than once, not only the later ones."""
     repeated = repeated_keys(df, keys).select(*keys)
-    return spread_join(df, repeated, list(keys), "left_semi", null_safe=True, policy=policy)
+    return key_join(df, repeated, list(keys), "left_semi", null_safe=True)
 
 
 def common_decimals_text(
@@ -90,13 +84,13 @@ def common_decimals_text(
 
     The decimals of a block are one number, found by pre-aggregation. Where the blocks are known
     (``blocks``) that is one short row per listed block, which is broadcast; otherwise it is joined
-    by shuffle with hot blocks spread.
+    by shuffle.
     """
     need = df.groupBy(block).agg(F.max(decimals_needed(F.col(value), most)).alias("__decimals"))
     if blocks is not None:
         known = need.filter(F.col(block).isin(list(blocks)))
         joined = df.join(F.broadcast(known), block, "left")
     else:
-        joined = spread_join(df, need, [block], "left", null_safe=True)
+        joined = key_join(df, need, [block], "left", null_safe=True)
     text = F.when(F.col(value).isNotNull(), with_decimals(F.col(value), F.col("__decimals")))
     return joined.withColumn(target, text).drop("__decimals")

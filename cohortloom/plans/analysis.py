@@ -18,7 +18,6 @@ from cohortloom.operators.joins import add_subject_vars, code_by_name_then_code
 from cohortloom.operators.ordering import total_order
 from cohortloom.operators.rules import OCCURRENCE_FLAGS
 from cohortloom.operators.schema import apply_labels
-from cohortloom.operators.skew import DEFAULT, SkewPolicy, find_hot
 from cohortloom.operators.windows import first_occurrence
 from cohortloom.specs import AnalysisPlan
 
@@ -53,16 +52,14 @@ def derive_subjects(dm: DataFrame, plan: AnalysisPlan, ordered: bool = True) ->
 
 
 def derive_events(
-    ae: DataFrame, adsl: DataFrame, plan: AnalysisPlan, ordered: bool = True, policy: SkewPolicy = DEFAULT
+    ae: DataFrame, adsl: DataFrame, plan: AnalysisPlan, ordered: bool = True
 ) -> DataFrame:
     """ADAE: one row per event with the subject's treatment, the emergent flag and first-occurrence flags."""
     require_columns(ae, EVENT_SOURCE, "AE")
-    # found on the event table itself, before anything is joined to it
-    hot = find_hot(ae, ["STUDYID", "USUBJID"], policy)
     dated = ae.withColumns({"ASTDT": iso_to_date(F.col("AESTDTC")), "AENDT": iso_to_date(F.col("AEENDTC"))})
-    joined = add_subject_vars(dated, adsl, ["STUDYID", "USUBJID"], SUBJECT_VARIABLES, TREATMENT_NAMES, hot, policy)
+    joined = add_subject_vars(dated, adsl, ["STUDYID", "USUBJID"], SUBJECT_VARIABLES, TREATMENT_NAMES)
     emergent = treatment_emergent(*[F.col(c) for c in ("ASTDT", "AENDT", "TRTSDT", "TRTEDT")], plan.window_days)
-    flagged = first_occurrence(joined.withColumn("TRTEMFL", emergent), OCCURRENCE_FLAGS, hot=hot.only(["USUBJID"]), policy=policy)
+    flagged = first_occurrence(joined.withColumn("TRTEMFL", emergent), OCCURRENCE_FLAGS)
     require_columns(flagged, specs.ADAE.order, "ADAE")
     adae = flagged.select(*specs.ADAE.order)
     if ordered:

@@ -31,7 +31,6 @@ from cohortloom.operators.checks import Check, enforce
 from cohortloom.operators.joins import add_subject_vars, convert_units, guarded_left_join
 from cohortloom.operators.reshape import Finding, transpose_findings
 from cohortloom.operators.schema import conform
-from cohortloom.operators.skew import DEFAULT, NO_HOT, HotKeys, SkewPolicy, find_hot
 from cohortloom.operators.windows import baseline_flag, common_decimals_text, sequence
 from cohortloom.sources.csv_files import ROW
 from cohortloom.specs import Task
@@ -50,8 +49,13 @@ def _assign(task: Task) -> tuple[Column, list[Check]]:
     return column(task.sources[0]), []
 
 
+def _anchored(task: Task, value: Column) -> Column:
+    """A constant stays null where its anchor, the task's first source, is null; without sources it is always set."""
+    return F.when(column(task.sources[0]).isNotNull(), value) if task.sources else value
+
+
 def _constant(task: Task) -> tuple[Column, list[Check]]:
-    return F.lit(task.parameters["value"]), []
+    return _anchored(task, F.lit(task.parameters["value"])), []
 
 
 def constant_from_codelist(value: str, codelist: str) -> Column:
@@ -62,7 +66,7 @@ def constant_from_codelist(value: str, codelist: str) -> Column:
 
 
 def _constant_term(task: Task) -> tuple[Column, list[Check]]:
-    return constant_from_codelist(str(task.parameters["value"]), task.parameters["codelist_id"]), []
+    return _anchored(task, constant_from_codelist(str(task.parameters["value"]), task.parameters["codelist_id"])), []
 
 
 def _term(task: Task) -> tuple[Column, list[Check]]:
@@ -88,6 +92,8 @@ def _datetime(task: Task) -> tuple[Column, list[Check]]:
     time = column(task.sources[1]) if len(task.sources) > 1 else None
     unknown = task.parameters.get("unknown_tokens", dates.UNKNOWN_TOKENS)
     text = dates.iso_partial_text(source, list(task.parameters["formats"]), time, unknown)
+    # a time of day alone is no date-time
+    text = F.when(~dates.only_time(text), text)
     return text, [Check(task.id, source.isNotNull() & text.isNull(), source)]
 
 
@@ -176,20 +182,19 @@ def _reference(task: Task, base: DataFrame, sources: Mapping[str, DataFrame]) ->
 
 
 def study_day(
-    df: DataFrame, subjects: DataFrame | None, date: str, reference: str, target: str, subject: str = "USUBJID", hot: HotKeys | None = None
+    df: DataFrame, subjects: DataFrame | None, date: str, reference: str, target: str, subject: str = "USUBJID"
 ) -> DataFrame:
     """Study day from the subject's reference date; null where either date is incomplete."""
     if reference in df.columns:
         with_reference = df
     else:
-        with_reference = add_subject_vars(df, subjects, [subject], [reference], hot=hot)
+        with_reference = add_subject_vars(df, subjects, [subject], [reference])
     day = dates.study_day(dates.iso_to_date(F.col(date)), dates.iso_to_date(F.col(reference)))
     return with_reference.withColumn(target, day.cast("double"))
 
 
 def build_domain(
     domain: str, tasks: Sequence[Task], sources: Mapping[str, DataFrame], base: str, dm: DataFrame | None = None, check: bool = True,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """One standard table from its tasks; ``dm`` gives the reference dates of AE and VS."""
     mine = [t for t in tasks if t.domain == domain]
@@ -224,18 +229,16 @@ def build_domain(
     df = source.select(*[v.alias(k) for k, v in targets.items()], column(ROW), *carried)
 
     rows = [t for t in mine if t.transform in ROW_TRANSFORMS]
-    # subjects with very many rows are found on the source, before it is unfolded or joined
-    hot = find_hot(df, ["STUDYID", "USUBJID"], policy) if rows else NO_HOT
     if findings:
         df = _long(df, mine, findings, list(targets), check)
     present = set(df.columns)
     references = sorted({t.parameters["reference_date"] for t in rows if "reference_date" in t.parameters} - present)
     if references:
-        df = add_subject_vars(df, dm, ["USUBJID"], references, hot=hot.only(["USUBJID"]))
+        df = add_subject_vars(df, dm, ["USUBJID"], references)
     for t in rows:
         p = t.parameters
         if t.transform == "derive_sequence":
-            df = sequence(df, t.targets[0], [ROW if v == ".SOURCE_ROW" else v for v in p["record_variables"]], start_at=p.get("start_at", 1), hot=hot, policy=policy)
+            df = sequence(df, t.targets[0], [ROW if v == ".SOURCE_ROW" else v for v in p["record_variables"]], start_at=p.get("start_at", 1))
         elif t.transform == "derive_study_day":
             df = study_day(df, dm, p["target_date"], p["reference_date"], t.targets[0])
         else:
@@ -243,7 +246,7 @@ def build_domain(
                 df, t.targets[0], ["USUBJID", "VSTESTCD"], "VSDTC", p["reference_date"], "VSORRES", ["USUBJID", "VSTESTCD", ROW],
                 "VISIT", p.get("baseline_visits", ()),
                 "VSTPT" if "VSTPT" in df.columns else None, p.get("baseline_timepoints", ()),
-                "VSSTAT" if "VSSTAT" in df.columns else None, policy=policy,
+                "VSSTAT" if "VSSTAT" in df.columns else None,
             )
     spec = specs.DOMAINS[domain]
     return conform(df, spec, check)

@@ -12,7 +12,6 @@ from cohortloom import specs
 from cohortloom.operators import rules
 from cohortloom.operators.aggregates import denominators, manifest, partial_date_notes
 from cohortloom.operators.joins import lineage_ids
-from cohortloom.operators.skew import DEFAULT, SkewPolicy
 from cohortloom.plans import analysis, lineage, tables
 from cohortloom.plans.mapping import build_domain
 from cohortloom.session import checkpointed, materialised
@@ -45,7 +44,7 @@ def build_standard_tables(
 
 
 def check_standard_tables(
-    built: Mapping[str, DataFrame], tasks: Sequence[Task], run_id: str = "", policy: SkewPolicy = DEFAULT
+    built: Mapping[str, DataFrame], tasks: Sequence[Task], run_id: str = ""
 ) -> DataFrame:
     """The unified issue report over all standard tables, with the mapping ids filled in."""
     spark = next(iter(built.values())).sparkSession
@@ -58,11 +57,11 @@ def check_standard_tables(
     for domain, table in built.items():
         spec = specs.DOMAINS[domain]
         usable = [r for r in extra.get(domain, []) if r.variable in table.columns]
-        frames.append(rules.validate_domain(table, spec, run_id, usable, policy))
+        frames.append(rules.validate_domain(table, spec, run_id, usable))
         if domain in numbers:
-            frames.append(rules.sequence_issues(table, spec, numbers[domain], run_id=run_id, policy=policy))
+            frames.append(rules.sequence_issues(table, spec, numbers[domain], run_id=run_id))
             if "DM" in built:
-                frames.append(rules.orphan_issues(table, built["DM"], spec, run_id=run_id, policy=policy))
+                frames.append(rules.orphan_issues(table, built["DM"], spec, run_id=run_id))
     ids = lineage_ids(lineage.lineage_rows(spark, tasks))
     return rules.with_mapping_ids(rules.union_all(frames), ids)
 
@@ -75,16 +74,18 @@ def standard_stage(
     tasks: Sequence[Task], sources: Mapping[str, DataFrame], domain_sources: Mapping[str, str], run_id: str = ""
 ) -> Stage:
     built = build_standard_tables(tasks, sources, domain_sources)
-    return Stage(built, check_standard_tables(built, tasks, run_id), manifests(built))
+    issues = materialised(check_standard_tables(built, tasks, run_id), "standard-issues")
+    return Stage(built, issues, manifests(built))
 
 
 def analysis_stage(standard: Stage, plan: AnalysisPlan) -> Stage:
     """Refuses to run when the standard tables have errors."""
     rules.gate(standard.issues, "standard tables")
-    adsl = materialised(analysis.derive_subjects(standard.tables["DM"], plan), "ADSL")
-    adae = materialised(analysis.derive_events(standard.tables["AE"], adsl, plan), "ADAE")
+    adsl = materialised(analysis.derive_subjects(standard.tables["DM"], plan, ordered=False), "ADSL")
+    adae = materialised(analysis.derive_events(standard.tables["AE"], adsl, plan, ordered=False), "ADAE")
     built = {"ADSL": adsl, "ADAE": adae}
-    issues = rules.validate_analysis(built, standard.tables, plan, adsl.sparkSession)
+    # written once: the gate reads it, and so does the caller
+    issues = materialised(rules.validate_analysis(built, standard.tables, plan, adsl.sparkSession), "analysis-issues")
     return Stage(built, issues, manifests(built))
 
 

@@ -11,7 +11,6 @@ from cohortloom.functions.numbers import count_percent, one_decimal
 from cohortloom.operators.aggregates import TOTAL, category_counts, denominators, describe
 from cohortloom.operators.reshape import table_wide
 from cohortloom.operators.rules import union_all
-from cohortloom.operators.skew import DEFAULT, SkewPolicy
 
 STATISTICS = ["N", "Mean", "Standard deviation", "Median", "Minimum", "Maximum"]
 OVERALL = "At least one treatment-emergent adverse event"
@@ -38,7 +37,7 @@ def _statistic_cells(summary: DataFrame) -> DataFrame:
 def demographic_cells(
     adsl: DataFrame, arms: Sequence[str], arm: str = "TRT01P", flag: str = "ITTFL", subject: str = "USUBJID",
     numeric: tuple[str, str] = ("AGE", "Age (years)"), categories: Mapping[str, str] = CATEGORIES,
-    policy: SkewPolicy = DEFAULT, check: bool = True,
+    check: bool = True,
 ) -> DataFrame:
     """T14.1.1 as cells: section, row order, parameter, statistic, group, display text.
 
@@ -46,7 +45,7 @@ def demographic_cells(
     """
     people = population(adsl, flag)
     groups = denominators(people, arm, subject, arms, check=check).select("grp", F.col("n").alias("denominator"))
-    summary = describe(people, numeric[0], arm, arms, policy=policy)
+    summary = describe(people, numeric[0], arm, arms)
     # registered groups without a subject still get a column
     every = groups.select("grp").join(summary, "grp", "left").fillna({"n": 0})
     parts = [

@@ -16,6 +16,7 @@ def local_session(cpus: str | int = 8, app: str = "cohortloom", partitions: int
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("COHORTLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")

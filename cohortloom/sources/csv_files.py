@@ -34,11 +34,12 @@ def _text_schema(names: list[str]) -> T.StructType:
 def read_literal(
     spark: SparkSession, path: str, names: list[str] | None = None, trim: bool = True, multi_line: bool = False
 ) -> DataFrame:
-    """All columns as text, null tokens as null, plus an increasing row number in read order.
+    """All columns as text, null tokens as null, plus a row key that grows in read order.
 
-    The row number grows in read order and is unique, but not dense. Give ``names`` where they are
-    known: then no header is looked up. ``multi_line`` reads fields that hold line breaks; such a
-    file is read by one task, so it is off by default.
+    The key holds the file, where the split begins in it, and a number within the split: its order is that of the
+    lines, whatever the sizes of the files. Every file must have the same header as the first one (or ``names``, where
+    they are known and no header is looked up); a file whose columns stand in another order is refused.
+    ``multi_line`` reads fields that hold line breaks; such a file is read by one task, so it is off by default.
     """
     names = names or header(spark, path)
     df = (
@@ -48,10 +49,15 @@ def read_literal(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .schema(_text_schema(names))
         .csv(path)
     )
-    return df.select(*[_null_tokens(c) for c in names], F.monotonically_increasing_id().alias(ROW))
+    line = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return df.select(*[_null_tokens(c) for c in names], line.alias(ROW))
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:

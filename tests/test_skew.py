@@ -1,4 +1,4 @@
-"""The spread operators against brute force, with one key that owns a third of the rows."""
+"""Joins, running totals and flags against brute force, with one key that owns a third of the rows."""
 
 import random
 from collections import Counter, defaultdict
@@ -7,9 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import aggregates, joins, windows
-from cohortloom.operators.skew import SkewPolicy, find_hot, flag_first, running_total, spread_join
-
-POLICY = SkewPolicy(floor=40, max_keys=8, fan_out=50)
+from cohortloom.operators.skew import flag_first, key_join, running_total
 
 
 @pytest.fixture(scope="module")
@@ -27,30 +25,35 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "id int, key string, x int, w int").repartition(5)
 
 
-def test_find_hot(df, rows):
-    hot = find_hot(df, ["key"], POLICY)
-    counts = Counter(r[1] for r in rows)
-    assert {r[0]: r[1] for r in hot.rows} == {k: n for k, n in counts.items() if n >= 40}
-    assert hot.rows[0][0] == "hot"
-
-
-@pytest.mark.parametrize("policy", [POLICY, SkewPolicy()])
-def test_row_numbers(df, rows, policy):
+@pytest.mark.parametrize("cuts", [1, 4, 60])
+def test_row_numbers(spark, df, rows, cuts):
     groups = defaultdict(list)
     for i, key, x, _ in rows:
         groups[key].append((x is None, x or 0, i))
     expected = {i: n for g in groups.values() for n, (_, _, i) in enumerate(sorted(g), start=1)}
-    found = running_total(df, ["key"], ["x", "id"], "n", policy=policy)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", cuts)
+    found = running_total(df, ["key"], ["x", "id"], "n")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {r["id"]: r["n"] for r in found.collect()} == expected
 
 
-def test_pieces_are_really_cut(df):
-    from cohortloom.operators import skew
+def test_no_job_runs_while_a_plan_is_built(spark, df):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "plans only")
+    running_total(df, ["key"], ["x", "id"], "n")
+    flag_first(df, {"a": ["key"]}, F.col("x") > 10, ["x"], ["id"])
+    windows.duplicate_rows(df, ["key"])
+    assert len(tracker.getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setJobGroup("other", "")
 
-    keyed = df.withColumn("__order", skew.order_key(["x", "id"]))
-    hot = find_hot(df, ["key"], POLICY)
-    cuts = {r["key"]: sum(len(b) for b in r["__cuts"]["blocks"]) for r in skew._cut_points(keyed, ["key"], hot, POLICY).collect()}
-    assert 10 <= cuts["hot"] <= 50
+
+def test_one_flag_where_the_row_key_repeats(spark):
+    rows = [("s", 1, 5, "x")] * 3 + [("s", 1, 5, "y"), ("t", 1, 2, "x"), ("t", 1, 2, "x")]
+    found = flag_first(spark.createDataFrame(rows, "k string, id int, x int, v string"), {"a": ["k"], "b": ["k", "v"]}, F.lit(True), ["x"], ["id"])
+    got = Counter((r.k, r.v) for r in found.collect() if r.b == "Y")
+    assert got == {("s", "x"): 1, ("s", "y"): 1, ("t", "x"): 1}
+    assert Counter(r.k for r in found.collect() if r.a == "Y") == {"s": 1, "t": 1} and found.count() == len(rows)
 
 
 def test_running_sum(df, rows):
@@ -63,17 +66,17 @@ def test_running_sum(df, rows):
         for i, w in sorted(g):
             total += w
             expected[i] = total
-    found = running_total(df, ["key"], ["id"], "s", weight="w", policy=POLICY)
+    found = running_total(df, ["key"], ["id"], "s", weight="w")
     assert {r["id"]: r["s"] for r in found.collect()} == expected
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [False, True])
-def test_spread_join(spark, df, rows, how, null_safe):
+def test_key_join(spark, df, rows, how, null_safe):
     right = [("hot", 1), (None, 2), *[(f"k{i}", i) for i in range(0, 200, 2)]]
     values = dict(right) if null_safe else {k: v for k, v in right if k is not None}
     r = spark.createDataFrame(right, "k string, v int")
-    found = spread_join(df.select("id", "key"), r, {"key": "k"}, how, null_safe, policy=POLICY)
+    found = key_join(df.select("id", "key"), r, {"key": "k"}, how, null_safe)
     got = sorted(tuple(x) for x in found.collect())if how in ("left_semi", "left_anti") else {x["id"]: x["v"] for x in found.collect()}
     if how == "left":
         assert got == {i: values.get(k) for i, k, _, _ in rows}
@@ -84,11 +87,10 @@ def test_spread_join(spark, df, rows, how, null_safe):
         assert {g[0] for g in got} == {i for i, k, _, _ in rows if (k in values) == keep} and len(got) == len({g[0] for g in got})
 
 
-@pytest.mark.parametrize("policy", [POLICY, SkewPolicy()])
 @pytest.mark.parametrize("last", [False, True])
-def test_flags(df, rows, policy, last):
+def test_flags(df, rows, last):
     found = flag_first(
-        df, {"a": ["key"], "b": ["key", "w"]}, F.col("x") > 10, ["x"], ["id"], last=last, policy=policy
+        df, {"a": ["key"], "b": ["key", "w"]}, F.col("x") > 10, ["x"], ["id"], last=last
     ).collect()
     assert len(found) == len(rows)
     for flag, group in (("a", lambda r: r[1]), ("b", lambda r: (r[1], r[3]))):
@@ -105,13 +107,13 @@ def test_flags(df, rows, policy, last):
 
 def test_duplicates_of_one_copied_row(spark):
     copies = spark.createDataFrame([("a", 1)] * 500 + [("b", i) for i in range(100)] + [(None, 2)] * 3, "k string, v int")
-    found = windows.duplicate_rows(copies, ["k", "v"], POLICY).groupBy("k", "v").count().collect()
+    found = windows.duplicate_rows(copies, ["k", "v"]).groupBy("k", "v").count().collect()
     assert {(r["k"], r["v"]): r["count"] for r in found} == {("a", 1): 500, (None, 2): 3}
 
 
 def test_sequence_of_a_copied_row_stays_dense(spark):
     copies = spark.createDataFrame([("a", 1)] * 300, "k string, v int")
-    found = running_total(copies, ["k"], ["v"], "n", policy=POLICY)
+    found = running_total(copies, ["k"], ["v"], "n")
     assert sorted(r["n"] for r in found.collect()) == list(range(1, 301))
 
 
@@ -119,7 +121,7 @@ def test_exact_median(spark):
     rng = random.Random(3)
     values = {"a": [rng.randrange(1000) / 8 for _ in range(501)], "b": [rng.random() for _ in range(600)], "c": [2.5], "d": []}
     df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("d", None)], "g string, v double")
-    found = {r["g"]: r["median"] for r in aggregates.exact_median(df, "v", "g", ["a", "b", "c", "d"], POLICY).collect()}
+    found = {r["g"]: r["median"] for r in aggregates.exact_median(df, "v", "g", ["a", "b", "c", "d"]).collect()}
 
     def median(vs):
         vs = sorted(vs)
@@ -128,12 +130,16 @@ def test_exact_median(spark):
     assert found == {g: median(vs) for g, vs in values.items() if vs}
 
 
-def test_offender_list_goes_on_in_further_rows(spark):
+def test_offenders_are_one_issue_and_all_keys(spark):
+    from cohortloom.operators import rules
+
     keys = [f"{i:05d}" for i in range(2500)]
     df = spark.createDataFrame([(k,) for k in keys * 2], "k string")
-    found = aggregates.offender_list(df, "k", length=1000, policy=POLICY).orderBy("part").collect()
-    assert [r["n_keys"] for r in found] == [1000, 1000, 500]
-    assert "; ".join(r["keys"] for r in found).split("; ") == keys
+    found = aggregates.offender_keys(df, "k").orderBy("ordinal").collect()
+    assert [r["offender"] for r in found] == keys and [r["ordinal"] for r in found] == list(range(1, 2501))
+    issues = rules.listed_issues(df, "k", "R1", "D", "V", "Broken.").collect()
+    assert [r["actual_value"] for r in issues] == ["2500"]
+    assert rules.listed_issues(df.limit(0), "k", "R1", "D", "V", "Broken.").collect() == []
 
 
 def test_guarded_join(spark):
