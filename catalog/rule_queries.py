@@ -356,8 +356,8 @@ QUERIES = {
       SELECT * FROM g WHERE (eligible > 0 AND marked <> 1) OR (eligible = 0 AND marked <> 0)"""),
     "denominator_rule": (denominator_check, f"""
       WITH {ADSL_SQL}, p AS (SELECT * FROM adsl WHERE "SAFFL" = 'Y')
-      SELECT 'TLF001' AS rule_id, 'T1' AS dataset, 'denominator' AS variable, 'BUILDING:' || (count(DISTINCT "USUBJID") + 1) AS actual_value FROM p WHERE "TRT01P" = 'BUILDING'
-      UNION ALL SELECT 'TLF001', 'T1', 'denominator', 'Total:' || (count(DISTINCT "USUBJID") + 1) FROM p"""),
+      SELECT 'TLF001' AS rule_id, 'T1' AS dataset, 'denominator' AS variable,
+        'BUILDING:' || (count(DISTINCT "USUBJID") FILTER (WHERE "TRT01P" = 'BUILDING') + 1) || ',Total:' || (count(DISTINCT "USUBJID") + 1) AS actual_value FROM p"""),
     "stored_table_rule": (stored_table_check, """
       SELECT 'TLF003' AS rule_id, 'T1' AS dataset, '' AS variable, '' AS actual_value WHERE (SELECT count(*) FROM orders) > 0"""),
     "empty_table_rule": (empty_table_check, """
@@ -371,7 +371,8 @@ QUERIES = {
       n AS (SELECT grp, count(DISTINCT "USUBJID") FILTER (WHERE "AOCCFL" = 'Y') AS f,
         count(DISTINCT "USUBJID") FILTER (WHERE "SAFFL" = 'Y' AND "TRTEMFL" = 'Y' AND "AESEQ" % 2 = 0) AS e
         FROM groups JOIN adae ON grp = 'Total' OR grp = "TRTP" GROUP BY grp)
-      SELECT 'TLF004' AS rule_id, 'T1' AS dataset, 'overall' AS variable, grp || ':' || f AS actual_value FROM n WHERE f <> e"""),
+      SELECT 'TLF004' AS rule_id, 'T1' AS dataset, 'overall' AS variable, string_agg(grp || ':' || f, ',' ORDER BY grp || ':' || f) AS actual_value
+      FROM n WHERE f <> e HAVING count(*) > 0"""),
     "classify_issue": (classified, CLASS_SQL),
     "study_id_mismatch": (other_nations, """
       SELECT DISTINCT n_name AS value FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name <> 'NATION_3'"""),
