@@ -115,6 +115,24 @@ def offenders(spark, d):
     return aggregates.offender_keys(l, F.lpad(F.col("l_partkey").cast("string"), 8, "0"), ["grp"])
 
 
+_CHECKED = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+}
+
+
+def _checksum_sql(name, columns):
+    text = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'v' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in columns)
+    half = "sum(CAST(CAST('0x' || substr(h, {}, 16) AS UBIGINT) AS HUGEINT))"
+    return f"""SELECT '{name}' AS dataset, count(*) AS records, {len(columns)} AS variables,
+      count(*) || '-' || {half.format(1)} || '-' || {half.format(17)} AS checksum FROM (SELECT md5({text}) AS h FROM {name})"""
+
+
+CHECKSUMS_SQL = " UNION ALL ".join(_checksum_sql(n, c) for n, c in _CHECKED.items())
+
 QUERIES = {
     "partial_tokens": (tokens, f"""
       WITH {MASKED_SQL} SELECT DISTINCT unnest(regexp_extract_all(raw, 'UNK|\\bUN\\b')) AS token FROM masked"""),
@@ -156,7 +174,7 @@ QUERIES = {
       SELECT 'orders' AS dataset, count(*) AS records, CAST(6 AS BIGINT) AS variables FROM orders
       UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem UNION ALL SELECT 'customer', count(*), 5 FROM customer
       UNION ALL SELECT 'documents', count(*), 5 FROM documents"""),
-    "manifest_checksums": (checksums, None),
+    "manifest_checksums": (checksums, CHECKSUMS_SQL),
     "offender_list": (offenders, """
       WITH k AS (SELECT DISTINCT l_suppkey % 3 AS grp, lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key FROM lineitem)
       SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY key) AS ordinal, key AS offender FROM k"""),
