@@ -141,7 +141,7 @@ def _sharing_rare(docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collections: int) -> DataFrame:
-    """Links (u, v) between the class representatives that join all similar classes into components.
+    """node, component: the components of similar classes, by their representatives.
 
     Members of a table's key are compared with one centre first; who is linked to it is of its component. A
     second round takes another centre in keys that still hold several components. For the members of keys that
@@ -159,8 +159,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collecti
     sets = materialised(sets.select(_class(), "ids"), "minhash-sets")
     links = spark.createDataFrame([], "u bigint, v bigint")
     tried = spark.createDataFrame([], "u bigint, v bigint")
+    found = components(links, "minhash-links")
     for step in ("first", "second", "rest"):
-        found = components(links, "minhash-links")
         now = members.join(found, members.rep == found.node, "left").select(
             "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("part"))
         order = F.struct((F.col("rep") if step == "first" else F.xxhash64("rep")).alias("by"), "rep", "n_shingles", "part")
@@ -182,9 +182,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collecti
             .join(sets.select(F.col("rep").alias("v"), F.col("ids").alias("ids_b")), "v")
             .where(_similar(threshold)).select("u", "v")
         )
-        links = links.union(materialised(confirmed, "minhash-confirmed"))
+        # what was joined before is one edge a node by now
+        links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(confirmed)
+        found = materialised(components(links, "minhash-links"), "minhash-found")
         tried = tried.union(pairs)
-    return links
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, collections: int = COLLECTIONS, hashes: int = HASHES) -> DataFrame:
@@ -205,7 +207,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, collections: in
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialised(
         usable.groupBy(_class(), "n_shingles", *numbers).agg(F.min("doc_id").alias("first_doc")), "minhash-classes")
-    joined = components(linked_classes(docs, classes, threshold, collections), "minhash-components")
+    joined = linked_classes(docs, classes, threshold, collections)
     groups = classes.join(joined, classes.rep == joined.node, "left").select(
         "rep", "first_doc", F.coalesce("component", "rep").alias("group"))
     heads = groups.groupBy("group").agg(F.min("first_doc").alias("head"))
