@@ -108,7 +108,7 @@ def test_nothing_to_learn_and_empty_table(spark):
 
 
 def test_held_out_texts_cost_less_than_by_token_counts(spark):
-    rows = op4_context_tree(spark, "/root/testdata/sf0.01").collect()
+    rows = op4_context_tree(spark, "/root/testdata/sf0.1").collect()
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows)
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
