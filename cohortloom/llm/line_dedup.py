@@ -122,8 +122,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         F.col("near") | ~F.col("first_at").eqNullSafe(at)).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines taken out that an earlier line repeats, and two more columns: n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the lines taken out that an earlier line repeats, and two more columns, named by ``counts`` (they replace
+    columns of those names): how many lines there were, and how many are gone.
 
     Lines are what newlines part; spaces at a line's ends don't count. Lines under 10 characters stay, those under
     20 characters go only as exact repeats, longer ones also if one character is inserted, deleted or replaced.
@@ -136,8 +137,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rest = F.transform(F.array(F.split("text", "\n")), lambda parts: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line_dedup_gone")), lambda i: parts[i]), "\n"))[0]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    new = {"n_lines": n_lines.cast("bigint"), "n_dropped": F.coalesce(F.size("line_dedup_gone"), F.lit(0)).cast("bigint"),
+    new = {counts[0]: n_lines.cast("bigint"), counts[1]: F.coalesce(F.size("line_dedup_gone"), F.lit(0)).cast("bigint"),
            "text": F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(rest)}
     out = out.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
     out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    return out.select(*docs.columns, *[c for c in counts if c not in docs.columns])

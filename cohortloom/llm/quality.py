@@ -188,24 +188,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Networ
     return fit(samples, counts.get(1, 0) / sum(counts.values()))
 
 
-def score(docs: DataFrame, net: Network, keep: list[Column | str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row (all, if None) and score, the probability of label 1 from the whole text.
+def score(docs: DataFrame, net: Network, keep: list[Column | str] | None = None, target: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row (all, if None) and ``target``, the probability of label 1 from the whole text.
 
-    A null text scores as the empty one. A column named score is replaced. Repeated rows score alike.
+    A null text scores as the empty one. A column named as the target is replaced. Repeated rows score alike.
     """
     base = docs.select(*keep) if keep is not None else docs
-    names = [c for c in base.columns if c != "score"]
-    source = docs.select(*[c for c in (keep if keep is not None else docs.columns) if c != "score"], F.col("text").alias("score"))
+    names = [c for c in base.columns if c != target]
+    source = docs.select(*[c for c in (keep if keep is not None else docs.columns) if c != target], F.col("text").alias(target))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts.flat(batch.column("score"))
+            data, offsets = texts.flat(batch.column(target))
             parts = [
                 probabilities(net, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for i, j in texts.slices(offsets, 1 << 18)
             ]
             out = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out)], names=[*names, target])
 
-    schema = T.StructType([source.schema[c] for c in names] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(target, T.DoubleType())])
     return source.mapInArrow(run, schema)

@@ -15,14 +15,14 @@ LEAST_SCORE = 0.5
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, from a network trained on all labels, is under ``LEAST_SCORE`` go; null texts score as empty ones."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score(docs.withColumn("score", F.lit(0.0)), quality.train(docs, labels))
-    return scored.where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    scored = quality.score(docs, quality.train(docs, labels), target="quality_stage_score")
+    return scored.where(F.col("quality_stage_score") >= LEAST_SCORE).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go, and with them documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return out.where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    out = line_dedup.dedup_lines(docs, ("line_stage_lines", "line_stage_dropped"))
+    return out.where("line_stage_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids, how many those are, and whether they decode to the text again."""
+    """The documents with ids, n_tokens (their number) and round_trip (whether they decode to the text again); columns of
+    these names are replaced."""
     model = pieces.load(PIECE_MODEL)
     out = pieces.decode(pieces.encode(docs, model), model)
-    return out.select(*docs.columns, "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+    return out.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")], "ids", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 

@@ -85,6 +85,17 @@ def test_run_gives_the_last_stage(stages, spark):
     assert rows(corpus_pipeline.run(spark, FOLDER).toPandas(), COLUMNS) == rows(stages[-1][1], COLUMNS)
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20).selectExpr(
+        "*", "1 as score", "2 as n_dropped", "3 as minhash", "4 as row", "5 as domain", "6 as taken", "7 as component_id", "8 as decoded")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns, name
+        assert {(r.score, r.n_dropped, r.row, r.domain, r.taken, r.component_id) for r in after.collect()} == {(1, 2, 4, 5, 6, 7)}, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs.withColumn("ids", docs.doc_id), FOLDER)
+    assert last.where("round_trip").count() == 20
+
+
 def test_odd_rows(spark, tmp_path):
     docs = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "x", 0), (None, "a b c", "en", "src1", 5), (3, "word " * 30_000, "en", "src1", 1)]
     kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
