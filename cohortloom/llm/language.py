@@ -142,7 +142,8 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Profiles:
     known = docs.where("lang is not null").select("doc_id", "text", "lang")
     shares = known.groupBy("lang").agg(F.least(F.lit(1.0), rows / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) / 1e6
-    sample = known.join(shares, "lang").where(place < F.col("share")).select("lang", "text")
+    # one row for each language, as many as the driver gets profiles
+    sample = known.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text")
     grams = sample.mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     found = grams.withColumn("rank", rank).where(F.col("rank") < PROFILE).select("lang", "gram", "rank").collect()
