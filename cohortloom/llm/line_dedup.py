@@ -117,7 +117,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     mine = texts.select("line_key", F.col("line").alias("mine"))
     theirs = texts.select(F.col("line_key").alias("other_key"), F.col("line").alias("theirs"))
     near = pairs.join(mine, "line_key").join(theirs, "other_key").where(F.levenshtein("mine", "theirs", 1) >= 0).select("line_key").distinct().withColumn("near", F.lit(True))
-    known = distinct.select("line_key", "first_at").join(near, "line_key", "left")
+    # written, so that both sides of the join below are plain shuffles and a line that many documents hold can be split
+    known = materialised(distinct.select("line_key", "first_at").join(near, "line_key", "left"), "line-known")
     return lines.select("doc_id", "line_no", "line_key").join(known, "line_key").where(
         F.col("near") | ~F.col("first_at").eqNullSafe(at)).select("doc_id", "line_no")
 
