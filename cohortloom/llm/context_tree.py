@@ -302,6 +302,26 @@ class Model:
         return np.where(self.words[spot] == words, self.counts[spot], -1)
 
 
+class Remembered:
+    """Log2 probabilities of grams by a table of 2**21 places, in which a gram overwrites another of its place."""
+
+    def __init__(self, model: Model, bits: int = 21):
+        self.model, self.shift = model, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits)
+
+    def log2(self, keys: np.ndarray) -> np.ndarray:
+        place = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        out = self.values[place]
+        missing = np.flatnonzero(self.keys[place] != keys)
+        if len(missing):
+            new, inverse = np.unique(keys[missing], return_inverse=True)
+            values = self.model.log2(new)
+            out[missing] = values[inverse]
+            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+            self.keys[at], self.values[at] = new, values
+        return out
+
+
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs`` (text; null is empty), and the counts (key, n) of the words that are not frequent."""
     counts = docs.select("text").mapInArrow(_count_corpus, "kind int, key bigint, n bigint")
@@ -325,13 +345,13 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        tree = Remembered(model)
         for batch in batches:
             data, offsets = texts.flat(batch.column("text"))
             for i, j in texts.slices(offsets, _SLICE, 1 << 30):
                 n = j - i
                 stream, at, words, text = token_stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                keys, inverse = np.unique(grams(stream, at), return_inverse=True)
-                score = np.add.reduceat(model.log2(keys)[inverse], at[:-1]) * np.log10(2)
+                score = np.add.reduceat(tree.log2(grams(stream, at)), at[:-1]) * np.log10(2)
                 count = model.known(words)
                 some = count >= 0
                 base = np.bincount(text[some], np.log10(count[some] + 1), n) + np.log10(model.n_texts + 1)
