@@ -59,6 +59,20 @@ def digests(ids: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def bitmaps(ids: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """256 bits of each set in four numbers: each shingle turns one bit over. Two sets differ in at least as many
+    shingles as their bitmaps in bits."""
+    some = count > 0
+    start = (np.cumsum(count) - count)[some]
+    out = {f"b{k}": np.zeros(len(count), np.uint64) for k in range(4)}
+    if len(start):
+        spread = texts.mixed(ids + np.uint64(3))
+        bit = np.uint64(1) << ((spread >> np.uint64(8)) & np.uint64(63))
+        for k in range(4):
+            out[f"b{k}"][some] = np.bitwise_xor.reduceat(np.where((spread & np.uint64(3)) == k, bit, np.uint64(0)), start)
+    return out
+
+
 def _signatures(collections: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +107,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, count = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
-                {k: pa.array(v.view(np.int64)) for k, v in digests(ids, count).items()}
+                {k: pa.array(v.view(np.int64)) for k, v in (digests(ids, count) | bitmaps(ids, count)).items()}
                 | {"ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int64)))}
             )
 
@@ -120,24 +134,27 @@ def _similar(threshold: int, a: str = "ids_a", b: str = "ids_b") -> Column:
 
 
 def _sharing_rare(docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (rep, centre) of different parts among ``docs`` (rep, n_shingles, part, ids) that can be similar.
+    """Pairs (rep, centre) of different parts among ``docs`` (rep, n_shingles, part, bitmaps, ids) that can be similar.
 
     Prefix filter: with shingles in one order, rarest first, two sets with similarity t share one of the first
     n - ceil(2t / (1 + t) n) + 1 of the smaller set (of both, if they have equal sizes) and of the first n - ceil(t n) + 1 of
-    the larger one. What edits made is rare, so a copy edited too much shares none of them with any other.
+    the larger one. What edits made is rare, so a copy edited too much shares none of them with any other. Of those
+    that do, pairs go whose bitmaps differ in more bits than similar sets of their sizes can differ in shingles.
     """
     t, n = threshold / 100, F.col("n_shingles")
-    rows = docs.select("rep", "n_shingles", "part", F.explode("ids").alias("shingle"))
+    bits = ["b0", "b1", "b2", "b3"]
+    rows = docs.select("rep", "n_shingles", "part", *bits, F.explode("ids").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle"))
     rows = rows.join(often, "shingle").withColumn("rank", rank)
     slack = 1e-9  # against rounding up what is whole
     rows = rows.withColumn("short", n - F.ceil(2 * t / (1 + t) * n - slack) + 1).where(F.col("rank") <= n - F.ceil(t * n - slack) + 1)
-    small = rows.where("rank <= short").select("shingle", F.col("rep").alias("centre"), F.col("n_shingles").alias("size"), F.col("part").alias("of"))
-    large = rows.select("shingle", "rep", "n_shingles", "part", (F.col("rank") <= F.col("short")).alias("early"))
+    small = rows.where("rank <= short").select("shingle", F.col("rep").alias("centre"), F.col("n_shingles").alias("size"), F.col("part").alias("of"), *[F.col(b).alias(f"of_{b}") for b in bits])
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"of_{b}"))) for b in bits), F.lit(0))
+    large = rows.select("shingle", "rep", "n_shingles", "part", *bits, (F.col("rank") <= F.col("short")).alias("early"))
     return large.join(small, "shingle").where(
         "part <> of and (n_shingles > size or (n_shingles = size and early and rep > centre))"
-    ).where(100 * F.col("size") >= threshold * n)
+    ).where((100 * F.col("size") >= threshold * n) & ((100 + threshold) * apart <= (100 - threshold) * (n + F.col("size"))))
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collections: int) -> DataFrame:
@@ -155,8 +172,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collecti
     spark = docs.sparkSession
     wanted = classes.join(members.select("rep").distinct(), "rep").select("first_doc").distinct()
     own = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, F.col("doc_id") == F.col("first_doc"), "left_semi")
-    sets = own.select("text").mapInArrow(_sets, "d1 bigint, d2 bigint, ids array<bigint>")
-    sets = materialised(sets.select(_class(), "ids"), "minhash-sets")
+    sets = own.select("text").mapInArrow(_sets, "d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, ids array<bigint>")
+    sets = materialised(sets.select(_class(), "b0", "b1", "b2", "b3", "ids"), "minhash-sets")
     links = spark.createDataFrame([], "u bigint, v bigint")
     tried = spark.createDataFrame([], "u bigint, v bigint")
     found = components(links, "minhash-links")
@@ -226,5 +243,5 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, collections: in
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of its group; rows without an id stay."""
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("minhash_gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("minhash_gone_id"), "left_anti")
