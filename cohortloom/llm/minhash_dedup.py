@@ -173,7 +173,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, threshold: int, collecti
     wanted = classes.join(members.select("rep").distinct(), "rep").select("first_doc").distinct()
     own = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, F.col("doc_id") == F.col("first_doc"), "left_semi")
     sets = own.select("text").mapInArrow(_sets, "d1 bigint, d2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, ids array<bigint>")
-    sets = materialised(sets.select(_class(), "b0", "b1", "b2", "b3", "ids"), "minhash-sets")
+    # rows that repeat a doc_id give a class several times
+    sets = materialised(sets.select(_class(), "b0", "b1", "b2", "b3", "ids").dropDuplicates(["rep"]), "minhash-sets")
     links = spark.createDataFrame([], "u bigint, v bigint")
     tried = spark.createDataFrame([], "u bigint, v bigint")
     found = components(links, "minhash-links")
