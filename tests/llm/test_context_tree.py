@@ -73,6 +73,27 @@ class Plain:
         return total
 
 
+def sum_log10(plain, text):
+    """As ``Plain.log10``, but with every context that was seen."""
+    def bit(node, d, padded, i):
+        a, b = plain.counts.get(node(d), (0, 0)) if d <= DEPTH else (0, 0)
+        if not a + b:
+            return None
+        deeper = bit(node, d + 1, padded, i)
+        stop = 1.0 if d == DEPTH else math.exp(math.log(0.5) + log_kt(a, b) - plain.weighted(node(d)))
+        own = (b + 0.5) / (a + b + 1)
+        return own if deeper is None else stop * own + (1 - stop) * deeper
+
+    padded, total = b"\n" * DEPTH + coded(text), 0.0
+    for i in range(DEPTH, len(padded)):
+        bits = f"{padded[i]:08b}"
+        for k in range(8):
+            p = bit(lambda d, i=i, bits=bits, k=k: (padded[i - d : i], bits[:k]), 0, padded, i)
+            p = 0.5 if p is None else p
+            total += math.log10(p if bits[k] == "1" else 1 - p)
+    return total
+
+
 def test_matches_plain_recursion(spark):
     rows = [(i, t) for i, t in enumerate(["The cat sat", "the  CAT\tsat on the mat", None, "", " \n", "été là-bas", "a", "the cat", "cat " * 40, "Zebra"])] * 2
     rows += [(None, "the mat"), (20, "x" * 300)]
@@ -100,6 +121,28 @@ def test_rare_words_are_joined(spark, monkeypatch):
     assert [r[:4] for r in got] == [r[:4] for r in want] and all(a[4:] == pytest.approx(b[4:]) for a, b in zip(got, want, strict=True))
 
 
+def test_scores_do_not_depend_on_what_tasks_hold(spark, monkeypatch):
+    rows = [(i, f"the cat {i} sat on mat {i * i} once{i}") for i in range(60)] + [(3, "the cat 3 sat on mat 9 once3"), (61, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = Plain([t for i, t in rows if i % 3 != 2])
+    for bits in (22, 4):
+        monkeypatch.setattr(context_tree, "SLOT_BITS", bits)
+        got = context_tree.score(df.repartition(3), F.col("doc_id") % 3 != 2).collect()
+        want = dict(rows)
+        assert len(got) == len(rows)
+        for r in got:
+            score = plain.log10(want[r.doc_id])
+            assert r.score == pytest.approx(score, rel=1e-5) and r.bits_per_byte == pytest.approx(-score / math.log10(2) / len(coded(want[r.doc_id])), rel=1e-5)
+
+
+def test_contexts_seen_once_count(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "abd")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in context_tree.score(df, F.col("doc_id") == 1).collect()}
+    plain = Plain(["abc"])
+    plain_once = {i: sum_log10(plain, t) for i, t in ((1, "abc"), (2, "abd"))}
+    assert got == {i: pytest.approx(x, rel=1e-5) for i, x in plain_once.items()}
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in context_tree.score(df, F.lit(False)).collect()}
