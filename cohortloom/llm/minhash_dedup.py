@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, collections: in
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, collections: int = COLLECTIONS) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of its group; rows without an id stay."""
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("minhash_gone_id")).distinct()
+    gone = near_duplicates(docs, threshold, collections).where("not kept").select(F.col("doc_id").alias("minhash_gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("minhash_gone_id"), "left_anti")

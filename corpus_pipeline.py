@@ -10,6 +10,8 @@ from cohortloom.llm.queries import PIECE_MODEL, SEED, SHARE, WEIGHTS, domain, ta
 from cohortloom.session import materialised
 
 LEAST_SCORE = 0.5
+NEAR = 80  # per cent of 5-word shingles that near copies share at least
+NEAR_COLLECTIONS = 16  # of them a pair at 0.80 is missed with a probability of 0.0002
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    return minhash_dedup.one_of_each(docs)
+    return minhash_dedup.one_of_each(docs, NEAR, NEAR_COLLECTIONS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,15 @@ def test_near_duplicates(stages):
     assert list(after.columns) == COLUMNS and rows(after, COLUMNS) == sorted(want)
 
 
+def test_near_duplicates_from_0_80_on(spark):
+    words = [f"w{i}" for i in range(104)]
+    edited = ["x" if i in (20, 60) else w for i, w in enumerate(words)]  # 90 of 110 shingles: 0.82
+    other = ["x" if i in (20, 60, 80) else w for i, w in enumerate(words)]  # 85 of 115 with the first, 95 of 105 with the second
+    for texts, kept in (([words, edited], {0}), ([words, other], {0, 1}), ([words, edited, other], {0})):
+        docs = spark.createDataFrame([(i, " ".join(t), "en", "src1", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()} == kept
+
+
 def test_mixing(stages):
     before, after = stages[3]
     want = {r[0]: r[1] for r in sql(before, f"WITH {mixing_sql('d', 1)} SELECT doc_id, taken FROM mixed")}
