@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bit_sliced, context_tree, itq_dedup, language, line_dedup, minhash_dedup, mixing, pieces, quality, url_filter
+from cohortloom.llm import bit_sliced, context_tree, itq_dedup, language, line_dedup, merkle, minhash_dedup, mixing, pieces, quality, url_filter
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -226,6 +226,47 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN least l ON l.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id"""
 
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(table(spark, folder, "documents"), fold("doc_id", 7) == 0)
+
+
+def _leaf_sql(changed: str) -> str:
+    fields = [f"CAST({changed if f == 'n_chars' else f} AS VARCHAR)" for f in merkle.FIELDS]
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f})) || ':' || {f} END" for f in fields) + ")"
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """A recursive CTE of all nodes of the trees that ``start`` (tree, pos, h, n) begins."""
+    return f"""{name} AS (SELECT tree, 0 AS level, pos, h, n FROM ({start}) s0
+  UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+
+
+def _path_sql(name: str, nodes: str, start: str) -> str:
+    """A recursive CTE that walks from (id, tree, pos, x, seen) of ``start`` to the root: x folds, seen collects the siblings."""
+    return f"""{name} AS (SELECT id, tree, 0 AS level, pos, x, seen FROM ({start}) s1
+  UNION ALL SELECT p.id, p.tree, p.level + 1, p.pos // 2,
+    sha256(CASE WHEN p.pos % 2 = 1 THEN b.h ELSE '' END || p.x || CASE WHEN p.pos % 2 = 0 THEN coalesce(b.h, '') ELSE '' END), p.seen || coalesce(b.h, '')
+  FROM {name} p JOIN {nodes} own ON own.tree = p.tree AND own.level = p.level AND own.pos = p.pos AND own.n > 1
+  LEFT JOIN {nodes} b ON b.tree = p.tree AND b.level = p.level AND b.pos = CASE WHEN p.pos % 2 = 1 THEN p.pos - 1 ELSE p.pos + 1 END)"""
+
+
+#: crc32 of the decimal id, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, d: list_reduce(list_prepend(xor(c, d), [CAST(k AS BIGINT) for k in range(8)]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP13_SQL = f"""WITH RECURSIVE base AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS tree, {_leaf_sql("n_chars")} AS leaf,
+  CASE WHEN {CRC_SQL} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM base),
+{_tree_sql("nodes", "SELECT tree, pos, leaf AS h, n FROM placed")},
+{_tree_sql("upper_nodes", "SELECT 't' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n FROM nodes WHERE n = 1")},
+named AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM nodes WHERE n = 1),
+{_path_sql("inner_path", "nodes", "SELECT doc_id AS id, tree, pos, changed AS x, '' AS seen FROM placed")},
+ends AS (SELECT i.id, i.x, i.seen, m.pos, m.h AS subroot FROM inner_path i JOIN nodes t ON t.tree = i.tree AND t.level = i.level AND t.n = 1 JOIN named m ON m.tree = i.tree),
+{_path_sql("outer_path", "upper_nodes", "SELECT id, 't' AS tree, pos, x, seen FROM ends")}
+SELECT p.doc_id, p.leaf, e.subroot, r.h AS root, sha256(o.seen) AS proof_sha256, o.x AS folded_root, o.x = r.h AS verified
+FROM placed p JOIN ends e ON e.id = p.doc_id JOIN upper_nodes r ON r.n = 1 JOIN outer_path o ON o.id = p.doc_id AND o.level = r.level"""
+
 QUERIES = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
@@ -237,4 +278,5 @@ QUERIES = {
     "op8_pieces": (op8_pieces, None),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
     "op10_itq_dedup": (op10_itq_dedup, OP10_SQL),
+    "op13_merkle": (op13_merkle, OP13_SQL),
 }
