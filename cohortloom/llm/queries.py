@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bit_sliced, context_tree, itq_dedup, language, line_dedup, merkle, minhash_dedup, mixing, pieces, quality, url_filter
+from cohortloom.llm import bit_sliced, context_tree, itq_dedup, language, line_dedup, merkle, minhash_dedup, mixing, pieces, quality, ranked_search, repeats, url_filter
 from cohortloom.llm.shared import fold
 
 #: The model file; another one can be passed to the query.
@@ -227,6 +227,45 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e JOIN least l ON l.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id"""
 
 
+def op11_run_length(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, folder, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS i FROM d),
+g AS (SELECT doc_id, i, CASE WHEN 2 * i + {2 * repeats.WIDTH} <= length(x) THEN substr(x, 2 * i + 1, {2 * repeats.WIDTH}) END AS gram, substr(x, 2 * i + 1, 2) AS own FROM b),
+f AS (SELECT doc_id, i, own, gram IS NOT NULL AND min(doc_id) OVER (PARTITION BY gram) < doc_id AS found FROM g),
+r AS (SELECT doc_id, i, own, bool_or(found) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {repeats.WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM r),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE head) AS n_spans,
+  sha256(unhex(coalesce(string_agg(CASE WHEN NOT gone THEN own END, '' ORDER BY i), ''))) AS kept_sha256 FROM s GROUP BY doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _terms_sql(column: str) -> str:
+    return f"regexp_extract_all({LOWER.format(column)}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+OP12_SQL = f"""WITH terms AS (SELECT doc_id, unnest({_terms_sql("text")}) AS term FROM documents),
+freq AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+size AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM freq GROUP BY doc_id),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM size),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_terms_sql("text")}) AS term FROM benchmark) x GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM freq WHERE term IN (SELECT term FROM asked) GROUP BY term) d, total),
+score AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (term) JOIN freq USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audit(table(spark, folder, "documents"), fold("doc_id", 7) == 0)
 
@@ -278,5 +317,7 @@ QUERIES = {
     "op8_pieces": (op8_pieces, None),
     "op9_minhash_dedup": (op9_minhash_dedup, OP9_SQL),
     "op10_itq_dedup": (op10_itq_dedup, OP10_SQL),
+    "op11_run_length": (op11_run_length, OP11_SQL),
+    "op12_ranked": (op12_ranked, OP12_SQL),
     "op13_merkle": (op13_merkle, OP13_SQL),
 }

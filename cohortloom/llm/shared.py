@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.session import materialised
+from cohortloom.session import materialised, shared_folder
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -40,3 +42,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def _all_stars(edges: DataFrame) -> bool:
     n, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
     return n == nodes and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in as many buckets of ``key`` as there are shuffle partitions.
+
+    A join on ``key`` then moves the other side only. The table's name leaves the catalog at once; its files stay.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{label}").saveAsTable(label)
+    out = spark.table(label)
+    out.schema  # resolved while the name is known
+    spark.sql(f"DROP TABLE {label}")
+    return out
