@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm import texts
@@ -23,7 +23,9 @@ WIDTH = 50
 CORE = 16
 #: Cores that groups with too many strings are split by, one after the other; the last one is the gram itself.
 FINER = (33, 42, 48, 50)
-GROUP = 4096  # strings that one index may hold of a group
+#: Core that tells within a group which strings can have a gram in common at all.
+NEAR = 42
+GROUP = 16384  # strings that one index may hold of a group
 TASK = 8192  # strings of small groups that go together
 SLICE = 8 << 20
 CHUNK = (1 << 20) - 64
@@ -71,10 +73,11 @@ def gram_runs(data: np.ndarray, offsets: np.ndarray, q: int = CORE) -> Iterator[
         first = whole & np.concatenate([[True], ~whole[:-1] | (least[1:] != least[:-1])])
         start = np.flatnonzero(first)
         stop = np.flatnonzero(whole & np.concatenate([first[1:] | ~whole[1:], [True]])) + 1
-        pieces = -(-(stop - start) // MOST)
+        most = MOST if q < WIDTH else 1  # a core as long as a gram: equal grams are equal strings
+        pieces = -(-(stop - start) // most)
         nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start, stop = np.repeat(start, pieces) + MOST * nth, np.repeat(stop, pieces)
-        count = np.minimum(stop - start, MOST)
+        start, stop = np.repeat(start, pieces) + most * nth, np.repeat(stop, pieces)
+        count = np.minimum(stop - start, most)
         yield start + a, count, texts.mixed(least[start]), texts.spans_hash(part, start, start + count + WIDTH - 1)
 
 
@@ -194,91 +197,119 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = wanted[row].values
             start, count = own.field("start").to_numpy(), own.field("count").to_numpy()
             yield pa.RecordBatch.from_pydict({
-                "key": own.field("key"), "string": own.field("string"), "doc": own.field("doc"),
+                "slice": pa.array(np.full(len(start), s.number)), "key": own.field("key"), "string": own.field("string"), "doc": own.field("doc"),
                 "bytes": pa.array([s.data[i : i + n + WIDTH - 1].tobytes() for i, n in zip(start, count, strict=True)], pa.binary())})
 
 
+def _part(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = offsets[chosen + 1] - offsets[chosen]
+    return data[texts.runs(offsets[chosen], length)], np.concatenate([[0], np.cumsum(length)])
+
+
+def _can_match(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The strings that share a ``NEAR``-byte core with a string of another document of their group."""
+    start, _, key, _ = _all_runs(data, offsets, NEAR)
+    own = np.searchsorted(offsets, start, "right") - 1
+    key = texts.mixed(key + group[own].astype(np.uint64) * _ODD[0])
+    distinct, several = _distinct(key, doc[own])
+    return np.unique(own[several[np.searchsorted(distinct, key)]])
+
+
 def earlier_grams(rows: pa.Table) -> pa.Table:
-    """For the strings (key, string, doc, bytes) of some groups, a bit for each gram that an earlier document's string has.
+    """For the strings (slice, key, string, doc, bytes) of some groups, a bit for each gram that an earlier document's string has.
 
     Strings of a group stand in the order of their documents. In round b, those whose number has bit b are streamed against
     a run-length index of those that agree above bit b and have 0 there; each pair of documents meets in exactly one round.
+    Strings without such a gram are left out.
     """
     key, doc = rows["key"].to_numpy(), rows["doc"].to_numpy()
     order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
     column = rows["bytes"].combine_chunks().take(pa.array(order))
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(new_key) - 1
-    steps = np.cumsum(new_key | np.concatenate([[True], doc[1:] != doc[:-1]]))
-    number = steps - steps[np.flatnonzero(new_key)][group]
+    key, doc = key[order], doc[order]
+    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+    near = _can_match(data[offsets[0] : offsets[-1]], offsets - offsets[0], group, doc)
+    order, key, doc, group = order[near], key[near], doc[near], group[near]
+    data, offsets = _part(data, offsets, near)
     mask = np.zeros(len(key), np.uint64)
-
-    def part(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        length = offsets[chosen + 1] - offsets[chosen]
-        return data[texts.runs(offsets[chosen], length)], np.concatenate([[0], np.cumsum(length)])
-
-    for b in range(int(number.max(initial=0)).bit_length()):
-        block = (group << 32) | (number >> (b + 1))
-        odd = (number >> b) & 1 > 0
-        asked = np.flatnonzero(odd)
-        wanted = np.unique(block[asked])
-        held = np.flatnonzero(~odd & np.isin(block, wanted))
-        index = RunLengthIndex(*part(held), np.searchsorted(wanted, block[held]))
-        found, place = index.statistics(*part(asked), np.searchsorted(wanted, block[asked]), WIDTH)
-        np.bitwise_or.at(mask, asked[found], np.uint64(1) << place.astype(np.uint64))
-    return pa.table({"key": pa.array(key), "string": rows["string"].take(pa.array(order)), "mask": _signed(mask)})
+    if len(key):
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.cumsum(new_key) - 1
+        steps = np.cumsum(new_key | np.concatenate([[True], doc[1:] != doc[:-1]]))
+        number = steps - steps[np.flatnonzero(new_key)][group]
+        for b in range(int(number.max()).bit_length()):
+            block = (group << 32) | (number >> (b + 1))
+            odd = (number >> b) & 1 > 0
+            asked = np.flatnonzero(odd)
+            wanted = np.unique(block[asked])
+            held = np.flatnonzero(~odd & np.isin(block, wanted))
+            index = RunLengthIndex(*_part(data, offsets, held), np.searchsorted(wanted, block[held]))
+            found, place = index.statistics(*_part(data, offsets, asked), np.searchsorted(wanted, block[asked]), WIDTH)
+            np.bitwise_or.at(mask, asked[found], np.uint64(1) << place.astype(np.uint64))
+    some = mask != 0
+    at = pa.array(order[some])
+    return pa.table({"slice": rows["slice"].take(at), "key": pa.array(key[some]), "string": rows["string"].take(at), "doc": pa.array(doc[some]), "mask": _signed(mask[some])})
 
 
 def _split(q: int):
+    """Strings cut into runs by a longer core; the bytes stay where they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts.flat(batch.column("bytes").cast(pa.large_binary()).cast(pa.binary()))
+            data, offsets = texts.flat(batch.column("bytes"))
             start, count, key, string = _all_runs(data, offsets, q)
-            own = np.searchsorted(offsets, start, "right") - 1
+            own = pa.array(np.searchsorted(offsets, start, "right") - 1)
             yield pa.RecordBatch.from_pydict({
-                "of_key": batch.column("key").take(pa.array(own)), "of_string": batch.column("string").take(pa.array(own)),
-                "doc": batch.column("doc").take(pa.array(own)), "place": pa.array(start - offsets[own]), "count": pa.array(count),
-                "key": _signed(key), "string": _signed(string),
-                "bytes": pa.array([data[i : i + n + WIDTH - 1].tobytes() for i, n in zip(start, count, strict=True)], pa.binary())})
+                "slice": batch.column("slice").take(own), "of_key": batch.column("key").take(own), "of_string": batch.column("string").take(own),
+                "doc": batch.column("doc").take(own), "place": pa.array(start - offsets[own.to_numpy()]), "count": pa.array(count),
+                "key": _signed(key), "string": _signed(string)})
 
     return run
 
 
-def _all_bits(count: str) -> Column:
-    """A mask with as many bits as a string has grams; 64 bits are -1."""
-    return F.expr(f"if({count} >= {MOST}, -1L, shiftleft(1L, cast({count} as int)) - 1L)")
+#: As many bits as a string has grams; 64 bits are -1.
+_ALL_BITS = f"if(count >= {MOST}, -1L, shiftleft(1L, cast(count as int)) - 1L)"
+
+
+_MASKS = "slice bigint, key bigint, string bigint, doc bigint, mask bigint"
+
 
+def _indexed(strings: DataFrame, n: int) -> DataFrame:
+    """``earlier_grams`` of strings whose groups are of bounded size, many small groups in a task."""
+    tasks = F.pmod(F.xxhash64("key"), F.lit(n // TASK + 1)).alias("task")
+    return strings.select("slice", "key", "string", "doc", "bytes").groupBy(tasks).applyInArrow(earlier_grams, _MASKS)
 
-def _masks(strings: DataFrame, depth: int = 0) -> DataFrame:
-    """key, string, mask: the grams of distinct strings (key, string, doc of the first holder, bytes) that an earlier string has.
 
-    Groups of up to ``GROUP`` strings are indexed, many small ones in a task. Larger ones are cut into finer strings by longer
-    cores, of which equal ones are one again, and so on until a core is a whole gram and no group holds two strings.
+def _finer(strings: DataFrame, depth: int = 0) -> DataFrame:
+    """``earlier_grams`` of strings of groups that are too large for one index.
+
+    They are cut into finer strings by longer cores, of which equal ones are one again (its later holders lose it whole),
+    and so on until a core is a whole gram and no group holds two strings. Bytes are fetched for the finer strings only
+    that share their core with another one.
     """
-    strings = materialised(strings, "repeat-strings")
-    sizes = strings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    tasks = strings.count() // TASK + 1
-    small = strings.join(sizes.where(F.col("size") <= GROUP).select("key"), "key")
-    small = small.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"))
-    found = materialised(small.applyInArrow(earlier_grams, "key bigint, string bigint, mask bigint"), "repeat-masks")
-    large = strings.join(sizes.where(F.col("size") > GROUP).select("key"), "key")
-    if large.isEmpty():
-        return found
-    kinds = "of_key bigint, of_string bigint, doc bigint, place bigint, count bigint, key bigint, string bigint, bytes binary"
-    parts = materialised(large.mapInArrow(_split(FINER[depth]), kinds), "repeat-parts")
-    distinct = parts.groupBy("key", "string").agg(F.min(F.struct("doc", "bytes")).alias("first")).select("key", "string", "first.*")
-    firsts = distinct.select("key", "string", F.col("doc").alias("first"))
+    kinds = "slice bigint, of_key bigint, of_string bigint, doc bigint, place bigint, count bigint, key bigint, string bigint"
+    parts = strings.mapInArrow(_split(FINER[depth]), kinds)
+    first = F.min("doc").over(Window.partitionBy("key", "string")).alias("first")
+    parts = materialised(parts.select("*", first), "repeat-parts")
+    marks = parts.where("doc > first").select("slice", "of_key", "of_string", "doc", F.expr(f"shiftleft({_ALL_BITS}, cast(place as int))").alias("mask"))
     if depth + 1 < len(FINER):
-        firsts = firsts.join(_masks(distinct, depth + 1), ["key", "string"], "left")
-    else:
-        firsts = firsts.withColumn("mask", F.lit(0).cast("bigint"))
-    known = parts.drop("bytes").join(firsts, ["key", "string"])
-    bits = F.when(F.col("doc") > F.col("first"), _all_bits("count")).otherwise(F.coalesce("mask", F.lit(0)))
-    shifted = known.select(F.col("of_key").alias("key"), F.col("of_string").alias("string"), F.call_function("shiftleft", bits, F.col("place").cast("int")).alias("mask"))
-    return found.unionByName(shifted.groupBy("key", "string").agg(F.bit_or("mask").alias("mask")))
+        heads = parts.where("doc = first").dropDuplicates(["key", "string"])
+        sizes = heads.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        heads = materialised(heads.join(sizes, "key"), "repeat-heads")
+        of = strings.select(F.col("key").alias("of_key"), F.col("string").alias("of_string"), F.col("slice"), "bytes")
+        cut = heads.join(of, ["of_key", "of_string", "slice"]).withColumn("bytes", F.expr(f"substring(bytes, cast(place + 1 as int), cast(count + {WIDTH - 1} as int))"))
+        cut = materialised(cut.select("slice", "key", "string", "doc", "bytes", "size"), "repeat-finer")
+        found = _indexed(cut.where(F.col("size") <= GROUP), heads.count())
+        large = cut.where(F.col("size") > GROUP)
+        if not large.isEmpty():
+            found = found.unionByName(_finer(large, depth + 1))
+        # all holders in the first document have the mask of its string
+        own = found.select("key", "string", "doc", F.col("mask").alias("own")).distinct()
+        marks = marks.unionByName(parts.join(own, ["key", "string", "doc"]).select(
+            "slice", "of_key", "of_string", "doc", F.expr("shiftleft(own, cast(place as int))").alias("mask")))
+    named = marks.select("slice", F.col("of_key").alias("key"), F.col("of_string").alias("string"), "doc", "mask")
+    return named.groupBy("slice", "key", "string", "doc").agg(F.bit_or("mask").alias("mask"))
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +323,8 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, string, first, mask = [own.field(c).to_numpy() for c in ("key", "string", "first", "mask")]
                 code = lambda k, h: k ^ texts.mixed(h)
                 known = code(key.view(np.uint64), string.view(np.uint64))
-                order = np.argsort(known)
+                order = np.lexsort((mask != 0, known))  # of two rows of a string, the last one has its mask
+                order = order[np.concatenate([known[order][1:] != known[order][:-1], [True]])]
                 known, key, string, first, mask = known[order], key[order], string[order], first[order], mask[order]
                 start, count, k, h, doc = s.runs()
                 at = np.minimum(np.searchsorted(known, code(k, h)), len(known) - 1)
@@ -321,6 +353,11 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "kept": pa.Array.from_buffers(pa.binary(), len(s.ids), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(s.data[~gone].tobytes())])})
 
 
+def _bytes_of(slices: DataFrame, heads: DataFrame) -> DataFrame:
+    wanted = heads.groupBy("slice").agg(F.collect_list(F.struct("key", "string", "doc", "start", "count")).alias("wanted"))
+    return slices.join(wanted, "slice").mapInArrow(_cut_out, "slice bigint, key bigint, string bigint, doc bigint, bytes binary")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Remove every byte covered by a passage of ``WIDTH`` bytes that also starts in a document with a smaller doc_id.
 
@@ -333,7 +370,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     know without moving texts again. (1) Each slice sends the distinct keys of its grams; keys of one document only
     end here. (2) What is left are strings of neighbouring grams with one key; equal ones have one first document, and
     all later holders lose them whole. (3) Keys with several strings get a run-length index, against which the strings of
-    later documents are streamed. (4) Each slice takes its marks and cuts its texts. A slice is ``SLICE`` bytes of
+    later documents are streamed; groups too large for one index are split by longer cores first. (4) Each slice takes its marks and cuts its texts. A slice is ``SLICE`` bytes of
     whole texts or one longer text; texts are hashed in pieces of a megabyte.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
@@ -344,15 +381,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     replies = keys.groupBy("bucket").applyInArrow(_shared_keys, "bucket bigint, slice bigint, shared binary")
     replies = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "shared")).alias("replies"))
     kinds = "slice bigint, key bigint, string bigint, doc bigint, latest bigint, start bigint, count bigint"
-    held = materialised(slices.join(replies, "slice").mapInArrow(_shared_runs(buckets), kinds), "repeat-runs")
-    firsts = held.groupBy("key", "string").agg(F.min(F.struct("doc", "slice", "start", "count")).alias("first"))
-    firsts = materialised(firsts.select("key", "string", "first.*"), "repeat-firsts")
-    several = firsts.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1").select("key")
-    wanted = firsts.join(several, "key").groupBy("slice").agg(F.collect_list(F.struct("key", "string", "doc", "start", "count")).alias("wanted"))
-    cut = slices.join(wanted, "slice").mapInArrow(_cut_out, "key bigint, string bigint, doc bigint, bytes binary")
-    known = firsts.select("key", "string", F.col("doc").alias("first")).join(_masks(cut), ["key", "string"], "left")
-    known = held.select("slice", "key", "string", "latest").join(known, ["key", "string"]).where("latest > first or mask <> 0")
-    marks = known.groupBy("slice").agg(F.collect_list(F.struct("key", "string", "first", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))).alias("marks"))
+    held = slices.join(replies, "slice").mapInArrow(_shared_runs(buckets), kinds)
+    # a string has one row in each slice, whatever the number of its holders
+    first = F.min("doc").over(Window.partitionBy("key", "string")).alias("first")
+    held = materialised(held.select("*", first), "repeat-runs")
+    heads = held.where("doc = first")
+    sizes = heads.groupBy("key").agg(F.count("*").alias("size"), F.min("string").alias("low"), F.max("string").alias("high")).where("low <> high")
+    heads = materialised(heads.join(sizes, "key").select("slice", "key", "string", "doc", "start", "count", "size"), "repeat-heads")
+    found = _indexed(_bytes_of(slices, heads.where(F.col("size") <= GROUP)), heads.count())
+    large = heads.where(F.col("size") > GROUP)
+    if not large.isEmpty():
+        found = found.unionByName(_finer(materialised(_bytes_of(slices, large), "repeat-large")))
+    marks = held.where("latest > first").select("slice", "key", "string", "first", F.lit(0).cast("bigint").alias("mask"))
+    marks = marks.unionByName(found.select("slice", "key", "string", F.col("doc").alias("first"), "mask"))
+    marks = marks.groupBy("slice").agg(F.collect_list(F.struct("key", "string", "first", "mask")).alias("marks"))
     kinds = "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
     out = slices.join(marks, "slice", "left").mapInArrow(_marked, kinds)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")

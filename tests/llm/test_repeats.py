@@ -63,7 +63,7 @@ def test_removed_passages_match_brute_force(spark, seed):
 
 def test_slices_pieces_and_large_groups_change_nothing(spark, monkeypatch):
     # tasks import the module anew, so the sizes are changed where they are bound at run time only for the plan: groups
-    rows = sample(4) + [(2000 + i, f"{i:03d}{'q' * (i % 13)}" + "a passage that very many documents hold, word for word, as one line") for i in range(150)]
+    rows = [(3000 + i, "x" * (60 + 7 * i) + f"<{i}>" + "y" * (90 - i)) for i in range(30)] + sample(4) + [(2000 + i, f"{i:03d}{'q' * (i % 13)}" + "a passage that very many documents hold, word for word, as one line") for i in range(150)]
     expected = brute(rows)
     monkeypatch.setattr(repeats, "GROUP", 3)
     monkeypatch.setattr(repeats, "TASK", 10)
