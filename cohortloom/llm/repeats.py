@@ -23,9 +23,9 @@ WIDTH = 50
 CORE = 16
 #: Cores that groups with too many strings are split by, one after the other; the last one is the gram itself.
 FINER = (33, 42, 48, 50)
-#: Core that tells within a group which strings can have a gram in common at all.
+#: Core by which strings of a group are cut once more before they are indexed.
 NEAR = 42
-GROUP = 16384  # strings that one index may hold of a group
+GROUP = 1 << 16  # strings of a group that one task may hold
 TASK = 8192  # strings of small groups that go together
 SLICE = 8 << 20
 CHUNK = (1 << 20) - 64
@@ -183,9 +183,10 @@ def _shared_runs(buckets: int):
                 new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])[: len(k)]
                 first = keep[new]
                 latest = d[np.concatenate([np.flatnonzero(new)[1:], [len(k)]]) - 1] if len(k) else d
+                place = (start[first] << 8) | (count[first] << 1) | (latest > doc[first])
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array(np.full(len(first), s.number)), "key": _signed(key[first]), "string": _signed(string[first]),
-                    "doc": pa.array(doc[first]), "latest": pa.array(latest), "start": pa.array(start[first]), "count": pa.array(count[first])})
+                    "doc": pa.array(doc[first]), "place": pa.array(place)})
 
     return run
 
@@ -195,61 +196,76 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch.column("wanted")
         for row, s in enumerate(_rows(batch)):
             own = wanted[row].values
-            start, count = own.field("start").to_numpy(), own.field("count").to_numpy()
+            place = own.field("place").to_numpy()
+            start, count = place >> 8, (place >> 1) & 127
             yield pa.RecordBatch.from_pydict({
                 "slice": pa.array(np.full(len(start), s.number)), "key": own.field("key"), "string": own.field("string"), "doc": own.field("doc"),
                 "bytes": pa.array([s.data[i : i + n + WIDTH - 1].tobytes() for i, n in zip(start, count, strict=True)], pa.binary())})
 
 
-def _part(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    length = offsets[chosen + 1] - offsets[chosen]
-    return data[texts.runs(offsets[chosen], length)], np.concatenate([[0], np.cumsum(length)])
+def _part(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data[texts.runs(begin, end - begin)], np.concatenate([[0], np.cumsum(end - begin)])
 
 
-def _can_match(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The strings that share a ``NEAR``-byte core with a string of another document of their group."""
-    start, _, key, _ = _all_runs(data, offsets, NEAR)
-    own = np.searchsorted(offsets, start, "right") - 1
-    key = texts.mixed(key + group[own].astype(np.uint64) * _ODD[0])
-    distinct, several = _distinct(key, doc[own])
-    return np.unique(own[several[np.searchsorted(distinct, key)]])
+def _streamed(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A bit for each gram of each string that a string of an earlier document of its group has.
+
+    Strings come in the order of group and document. In round b, those whose number in the group has bit b are streamed against
+    a run-length index of those that agree above bit b and have 0 there; each pair of documents meets in exactly one round.
+    """
+    mask = np.zeros(len(doc), np.uint64)
+    new_group = np.concatenate([[True], group[1:] != group[:-1]])
+    group = np.cumsum(new_group) - 1
+    steps = np.cumsum(new_group | np.concatenate([[True], doc[1:] != doc[:-1]]))
+    number = steps - steps[np.flatnonzero(new_group)][group]
+    for b in range(int(number.max(initial=0)).bit_length()):
+        block = (group << 32) | (number >> (b + 1))
+        odd = (number >> b) & 1 > 0
+        asked = np.flatnonzero(odd)
+        wanted = np.unique(block[asked])
+        held = np.flatnonzero(~odd & np.isin(block, wanted))
+        index = RunLengthIndex(*_part(data, offsets[held], offsets[held + 1]), np.searchsorted(wanted, block[held]))
+        found, place = index.statistics(*_part(data, offsets[asked], offsets[asked + 1]), np.searchsorted(wanted, block[asked]), WIDTH)
+        np.bitwise_or.at(mask, asked[found], np.uint64(1) << place.astype(np.uint64))
+    return mask
 
 
 def earlier_grams(rows: pa.Table) -> pa.Table:
     """For the strings (slice, key, string, doc, bytes) of some groups, a bit for each gram that an earlier document's string has.
 
-    Strings of a group stand in the order of their documents. In round b, those whose number has bit b are streamed against
-    a run-length index of those that agree above bit b and have 0 there; each pair of documents meets in exactly one round.
+    Strings are cut once more, by a longer core. Equal pieces of a group are one, of the first document that has it: later ones
+    lose it whole. Cores with several pieces are indexed, and the pieces of later documents streamed against the index.
     Strings without such a gram are left out.
     """
     key, doc = rows["key"].to_numpy(), rows["doc"].to_numpy()
-    order = np.lexsort((doc, key))
-    column = rows["bytes"].combine_chunks().take(pa.array(order))
+    column = rows["bytes"].combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)
-    key, doc = key[order], doc[order]
-    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-    near = _can_match(data[offsets[0] : offsets[-1]], offsets - offsets[0], group, doc)
-    order, key, doc, group = order[near], key[near], doc[near], group[near]
-    data, offsets = _part(data, offsets, near)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    start, count, core, piece = _all_runs(data, offsets, NEAR)
+    own = np.searchsorted(offsets, start, "right") - 1
+    core = texts.mixed(core + texts.mixed(key[own].view(np.uint64)))  # groups stay apart
+    order = np.lexsort((doc[own], piece, core))
+    start, count, core, piece, own = start[order], count[order], core[order], piece[order], own[order]
+    holder = doc[own]
+    new_core = np.concatenate([[True], core[1:] != core[:-1]])
+    new_piece = new_core | np.concatenate([[True], piece[1:] != piece[:-1]])
+    heads, number = np.flatnonzero(new_piece), np.cumsum(new_piece) - 1
+    group = (np.cumsum(new_core) - 1)[heads]
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    several = several[np.lexsort((holder[heads[several]], group[several]))]
+    chosen = heads[several]
+    bits = np.zeros(len(heads), np.uint64)
+    if len(chosen):
+        part, bounds = _part(data, start[chosen], start[chosen] + count[chosen] + WIDTH - 1)
+        bits[several] = _streamed(part, bounds, group[several], holder[chosen])
+    whole = np.where(count >= MOST, ~np.uint64(0), (np.uint64(1) << (count % MOST).astype(np.uint64)) - np.uint64(1))
+    found = np.where(holder > holder[heads][number], whole, bits[number])
     mask = np.zeros(len(key), np.uint64)
-    if len(key):
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.cumsum(new_key) - 1
-        steps = np.cumsum(new_key | np.concatenate([[True], doc[1:] != doc[:-1]]))
-        number = steps - steps[np.flatnonzero(new_key)][group]
-        for b in range(int(number.max()).bit_length()):
-            block = (group << 32) | (number >> (b + 1))
-            odd = (number >> b) & 1 > 0
-            asked = np.flatnonzero(odd)
-            wanted = np.unique(block[asked])
-            held = np.flatnonzero(~odd & np.isin(block, wanted))
-            index = RunLengthIndex(*_part(data, offsets, held), np.searchsorted(wanted, block[held]))
-            found, place = index.statistics(*_part(data, offsets, asked), np.searchsorted(wanted, block[asked]), WIDTH)
-            np.bitwise_or.at(mask, asked[found], np.uint64(1) << place.astype(np.uint64))
-    some = mask != 0
-    at = pa.array(order[some])
-    return pa.table({"slice": rows["slice"].take(at), "key": pa.array(key[some]), "string": rows["string"].take(at), "doc": pa.array(doc[some]), "mask": _signed(mask[some])})
+    np.bitwise_or.at(mask, own, found << (start - offsets[own]).astype(np.uint64))
+    at = np.flatnonzero(mask)
+    take = pa.array(at)
+    return pa.table({"slice": rows["slice"].take(take), "key": pa.array(key[at]), "string": rows["string"].take(take), "doc": pa.array(doc[at]), "mask": _signed(mask[at])})
 
 
 def _split(q: int):
@@ -354,7 +370,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes_of(slices: DataFrame, heads: DataFrame) -> DataFrame:
-    wanted = heads.groupBy("slice").agg(F.collect_list(F.struct("key", "string", "doc", "start", "count")).alias("wanted"))
+    wanted = heads.groupBy("slice").agg(F.collect_list(F.struct("key", "string", "doc", "place")).alias("wanted"))
     return slices.join(wanted, "slice").mapInArrow(_cut_out, "slice bigint, key bigint, string bigint, doc bigint, bytes binary")
 
 
@@ -380,19 +396,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keys = slices.mapInArrow(_keys(buckets), "bucket bigint, slice bigint, keys binary, several binary")
     replies = keys.groupBy("bucket").applyInArrow(_shared_keys, "bucket bigint, slice bigint, shared binary")
     replies = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "shared")).alias("replies"))
-    kinds = "slice bigint, key bigint, string bigint, doc bigint, latest bigint, start bigint, count bigint"
+    # place: where a string starts, its grams, and whether the slice has a later holder too
+    kinds = "slice bigint, key bigint, string bigint, doc bigint, place bigint"
     held = slices.join(replies, "slice").mapInArrow(_shared_runs(buckets), kinds)
     # a string has one row in each slice, whatever the number of its holders
     first = F.min("doc").over(Window.partitionBy("key", "string")).alias("first")
     held = materialised(held.select("*", first), "repeat-runs")
     heads = held.where("doc = first")
     sizes = heads.groupBy("key").agg(F.count("*").alias("size"), F.min("string").alias("low"), F.max("string").alias("high")).where("low <> high")
-    heads = materialised(heads.join(sizes, "key").select("slice", "key", "string", "doc", "start", "count", "size"), "repeat-heads")
+    heads = materialised(heads.join(sizes, "key").select("slice", "key", "string", "doc", "place", "size"), "repeat-heads")
     found = _indexed(_bytes_of(slices, heads.where(F.col("size") <= GROUP)), heads.count())
     large = heads.where(F.col("size") > GROUP)
     if not large.isEmpty():
         found = found.unionByName(_finer(materialised(_bytes_of(slices, large), "repeat-large")))
-    marks = held.where("latest > first").select("slice", "key", "string", "first", F.lit(0).cast("bigint").alias("mask"))
+    marks = held.where("doc > first or place % 2 = 1").select("slice", "key", "string", "first", F.lit(0).cast("bigint").alias("mask"))
     marks = marks.unionByName(found.select("slice", "key", "string", F.col("doc").alias("first"), "mask"))
     marks = marks.groupBy("slice").agg(F.collect_list(F.struct("key", "string", "first", "mask")).alias("marks"))
     kinds = "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
