@@ -234,15 +234,19 @@ def op11_run_length(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP11_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS i FROM d),
-g AS (SELECT doc_id, i, CASE WHEN 2 * i + {2 * repeats.WIDTH} <= length(x) THEN substr(x, 2 * i + 1, {2 * repeats.WIDTH}) END AS gram, substr(x, 2 * i + 1, 2) AS own FROM b),
-f AS (SELECT doc_id, i, own, gram IS NOT NULL AND min(doc_id) OVER (PARTITION BY gram) < doc_id AS found FROM g),
-r AS (SELECT doc_id, i, own, bool_or(found) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {repeats.WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
-s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM r),
-k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE head) AS n_spans,
-  sha256(unhex(coalesce(string_agg(CASE WHEN NOT gone THEN own END, '' ORDER BY i), ''))) AS kept_sha256 FROM s GROUP BY doc_id)
+p AS (SELECT doc_id, c, substr(x, 2000 * c + 1, {2000 + 2 * repeats.WIDTH - 2}) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2000 + 1)) AS c FROM d) a),
+g AS (SELECT doc_id, 1000 * c + j AS i, md5_number(substr(y, 2 * j + 1, {2 * repeats.WIDTH})) AS gram
+  FROM (SELECT doc_id, c, y, unnest(range(0, least(1000, length(y) // 2 - {repeats.WIDTH - 1}))) AS j FROM p) b),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+m AS (SELECT DISTINCT doc_id, i FROM g JOIN f USING (gram) WHERE first < doc_id),
+o AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {repeats.WIDTH}, true) AS fresh FROM m),
+n AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS b, max(i) + {repeats.WIDTH} AS e FROM n GROUP BY ALL),
+t AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS last FROM r),
+k AS (SELECT t.doc_id, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(x, 2 * last + 1, 2 * (b - last)), '' ORDER BY b) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM t JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id)
 SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
 def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
