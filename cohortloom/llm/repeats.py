@@ -20,7 +20,7 @@ from cohortloom.llm.shared import bucketed
 from cohortloom.session import materialised
 
 WIDTH = 50
-CORE = 16
+CORE = 20
 #: Cores that groups with too many strings are split by, one after the other; the last one is the gram itself.
 FINER = (33, 42, 48, 50)
 #: Core by which strings of a group are cut once more before they are indexed.
@@ -138,6 +138,17 @@ def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
 
 
+def _packed_keys(key: np.ndarray) -> bytes:
+    """Six bytes of each key; those of one bucket that agree in them are taken as shared, which only costs work."""
+    return key.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked_keys(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def _keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +159,7 @@ def _keys(buckets: int):
                 bounds = [*first, len(key)]
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(own, pa.int64()), "slice": pa.array(np.full(len(own), s.number)),
-                    "keys": pa.array([key[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary()),
+                    "keys": pa.array([_packed_keys(key[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                     "several": pa.array([np.packbits(several[i:j]).tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())})
 
     return run
@@ -156,7 +167,7 @@ def _keys(buckets: int):
 
 def _shared_keys(rows: pa.Table) -> pa.Table:
     """For each slice, which of its keys of one bucket another document has too."""
-    own = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
+    own = [_unpacked_keys(k) for k in rows["keys"].to_pylist()]
     several = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for b, k in zip(rows["several"].to_pylist(), own, strict=True)]
     _, where, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     flagged = np.bincount(where, weights=np.concatenate(several)) > 0
@@ -403,7 +414,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     first = F.min("doc").over(Window.partitionBy("key", "string")).alias("first")
     held = materialised(held.select("*", first), "repeat-runs")
     heads = held.where("doc = first")
-    sizes = heads.groupBy("key").agg(F.count("*").alias("size"), F.min("string").alias("low"), F.max("string").alias("high")).where("low <> high")
+    sizes = heads.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     heads = materialised(heads.join(sizes, "key").select("slice", "key", "string", "doc", "place", "size"), "repeat-heads")
     found = _indexed(_bytes_of(slices, heads.where(F.col("size") <= GROUP)), heads.count())
     large = heads.where(F.col("size") > GROUP)
