@@ -5,8 +5,10 @@
 
 from catalog import (
     aggregate_queries,
+    check_queries,
     column_queries,
     join_queries,
+    lineage_queries,
     profile_queries,
     reshape_queries,
     rule_queries,
@@ -18,6 +20,6 @@ from catalog import (
 QUERIES = {}
 for _module in (
     source_queries, column_queries, join_queries, aggregate_queries, profile_queries,
-    window_queries, reshape_queries, rule_queries, table_queries,
+    window_queries, reshape_queries, rule_queries, table_queries, check_queries, lineage_queries,
 ):
     QUERIES.update(_module.QUERIES)

@@ -12,7 +12,7 @@ from cohortloom.operators.rules import OCCURRENCE_FLAGS, union_all
 from cohortloom.operators.windows import first_occurrence
 from cohortloom.plans import analysis, lineage, study, tables
 from cohortloom.plans.example_mapping import DOMAIN_SOURCES, example_tasks
-from cohortloom.plans.mapping import build_domain
+from cohortloom.plans.mapping import build_domain, draft_domain
 from cohortloom.session import materialised
 from cohortloom.specs import ADAE, CODELISTS
 
@@ -179,19 +179,22 @@ def standard_subjects(spark, d):
 
 
 def standard_events(spark, d):
-    subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
-    events = build_domain("AE", example_tasks(), {"ae_raw": raw_events(spark, d)}, "ae_raw", subjects)
-    return events.withColumn("AESEQ", F.col("AESEQ").cast("bigint"))
+    subjects = draft_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
+    events = draft_domain("AE", example_tasks(), {"ae_raw": raw_events(spark, d)}, "ae_raw", subjects.finish(subjects.rows))
+    events.watch.include(subjects.watch)
+    return events.write().withColumn("AESEQ", F.col("AESEQ").cast("bigint"))
 
 
 def standard_vitals(spark, d):
-    subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
-    vitals = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects)
-    return vitals.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
+    """Subjects and vital signs in one plan: each source is read once, all checks ride on the one write."""
+    subjects = draft_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
+    vitals = draft_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects.finish(subjects.rows))
+    vitals.watch.include(subjects.watch)
+    return vitals.write().withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
 
 
 def standard_vitals_spread(spark, d):
-    """The same table from a subject table that was written before."""
+    """The same table from a subject table that was written and checked before."""
     subjects = build_domain("DM", example_tasks(), {"dm_raw": raw_subjects(spark, d)}, "dm_raw")
     vitals = build_domain("VS", example_tasks(), {"vs_raw": raw_vitals(spark, d)}, "vs_raw", subjects)
     return vitals.withColumn("VSSEQ", F.col("VSSEQ").cast("bigint"))
@@ -264,15 +267,19 @@ def table_manifests(spark, d):
 
 def lineage_report(spark, d):
     """Field lineage of the mapping, joined to the size of each table that was built from the driver tables."""
-    sizes = union_all([aggregates.manifest(df, n) for n, df in {
-        "DM": raw_subjects(spark, d), "AE": raw_events(spark, d), "VS": raw_vitals(spark, d)}.items()])
-    rows = lineage.field_lineage(lineage.task_table(spark, example_tasks(), DOMAIN_SOURCES), sizes)
+    raw = {"DM": raw_subjects(spark, d), "AE": raw_events(spark, d), "VS": raw_vitals(spark, d)}
+    sizes, subjects = [], None
+    for domain, source in raw.items():
+        done = build_domain(domain, example_tasks(), {DOMAIN_SOURCES[domain]: source}, DOMAIN_SOURCES[domain], subjects)
+        subjects = done if domain == "DM" else subjects
+        sizes.append(done.agg(F.lit(domain).alias("dataset"), F.count(F.lit(1)).alias("records"), F.lit("").alias("checksum")))
+    rows = lineage.field_lineage(lineage.task_table(spark, example_tasks(), DOMAIN_SOURCES), union_all(sizes))
     return rows.groupBy("target_domain", "transform_id").agg(F.count(F.lit(1)).alias("n_steps"), F.max("records_created").alias("records"))
 
 
 LINEAGE_SQL = """
   WITH n AS (SELECT 'DM' AS target_domain, count(*) AS records FROM customer UNION ALL SELECT 'AE', count(*) FROM orders WHERE o_orderstatus = 'O'
-    UNION ALL SELECT 'VS', count(*) FROM orders WHERE o_orderstatus = 'F'),
+    UNION ALL SELECT 'VS', 4 * count(*) + 2 * count(*) FILTER (WHERE o_orderkey % 3 <> 2) FROM orders WHERE o_orderstatus = 'F'),
   s(target_domain, transform_id, n_steps) AS (VALUES
     ('DM', 'assign_no_ct', 8), ('DM', 'hardcode_no_ct', 1), ('DM', 'derive_usubjid', 1), ('DM', 'assign_ct', 3), ('DM', 'to_iso8601_date', 3),
     ('DM', 'extract_delimited_part', 1), ('DM', 'hardcode_ct', 1),

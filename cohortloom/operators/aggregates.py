@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from cohortloom.errors import ContractError
 from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.dates import PARTIAL_TOKEN
+from cohortloom.operators.checks import Check, Watch
 from cohortloom.operators.skew import running_total
+from cohortloom.session import held
 
 TOTAL = "Total"
 
@@ -77,10 +79,15 @@ def subject_counts(
 
 
 def denominators(
-    population: DataFrame, group: str, subject: str, registered: Sequence[str], total: str = TOTAL, check: bool = True
+    population: DataFrame, group: str, subject: str, registered: Sequence[str], total: str = TOTAL, check: bool = True,
+    watch: Watch | None = None,
 ) -> DataFrame:
-    """Distinct subjects per registered group plus the total; an unregistered group is an error."""
-    if check:
+    """Distinct subjects per registered group plus the total; an unregistered group is an error, with a ``watch`` when
+    the result is written."""
+    if check and watch is not None:
+        stray = F.col(group).isNotNull() & ~F.col(group).isin(list(registered))
+        population = watch.on(population, [Check("group", stray, F.col(group), "unregistered group")])
+    elif check:
         _registered(population, group, registered)
     return subject_counts(population, [], group, subject, registered, total)
 
@@ -90,13 +97,13 @@ def exact_median(
 ) -> DataFrame:
     """Exact median per registered group without holding a group in one task.
 
-    Equal values are counted first; the running count over the distinct values, cut into pieces, then shows which value sits in the middle. The group sizes that are broadcast are
-    one row per registered group.
+    Equal values are counted first and written, so the table is read once; the running count over the distinct values, cut
+    into pieces, then shows which value sits in the middle. The group sizes that are broadcast are one row per registered group.
     """
     known = df.filter(F.col(value).isNotNull() & F.col(group).isin(list(registered)))
-    counted = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted = held(known.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n")), "median")
     ranked = running_total(counted, [group], [value], "__upto", weight="__n")
-    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = counted.groupBy(group).agg(F.sum("__n").alias("__size"))
     low = F.call_function("div", F.col("__size") + 1, F.lit(2))
     high = F.call_function("div", F.col("__size") + 2, F.lit(2))
     first = F.col("__upto") - F.col("__n") + 1

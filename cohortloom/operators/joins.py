@@ -13,7 +13,7 @@ from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.numbers import linear_convert, not_a_number, strict_number
 from cohortloom.functions.text import norm_name, unit_alias
 from cohortloom.operators import lookups
-from cohortloom.operators.checks import Check, enforce, require_columns
+from cohortloom.operators.checks import Check, Watch, enforce, require_columns
 from cohortloom.operators.skew import distinct_keys, key_join
 
 RELATIONSHIPS = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
@@ -38,6 +38,7 @@ def guarded_left_join(
     by: Mapping[str, str],
     relationship: str,
     select: Sequence[str],
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Left join that refuses to change the number of left rows.
 
@@ -45,13 +46,18 @@ def guarded_left_join(
     needs a unique left side too. The other two allow repeated keys as long as they meet nothing:
     a repeated right key that a left row has would multiply rows and is refused. With that checked,
     each left row meets at most one right row.
+
+    Without a ``watch`` the keys are looked at now. With one, nothing runs now: the right side is reduced to one row a key
+    with its number of rows (the join shuffles it by the key anyway), and the numbers are judged when the table is written.
     """
     if relationship not in RELATIONSHIPS:
         raise ContractError(f"unknown relationship {relationship!r}")
     require_columns(left, by.keys(), "left side")
     require_columns(right, [*by.values(), *select], "right side")
     left_keys, right_keys = list(by.keys()), list(by.values())
-    pruned = right.select(*dict.fromkeys([*right_keys, *select]))
+    pruned = right.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*right_keys, *select])])
+    if watch is not None:
+        return _watched_left_join(left, pruned, by, relationship, [c for c in pruned.columns if c not in right_keys], watch)
     if relationship in ("many-to-one", "one-to-one"):
         assert_unique(right, right_keys, "right side")
         if relationship == "one-to-one":
@@ -70,6 +76,40 @@ def guarded_left_join(
     return key_join(left, pruned, by, "left")
 
 
+def _shown_keys(names: Sequence[str]) -> Column:
+    return F.concat_ws(" | ", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("None")) for n in names])
+
+
+def _watched_left_join(
+    left: DataFrame, right: DataFrame, by: Mapping[str, str], relationship: str, select: Sequence[str], watch: Watch
+) -> DataFrame:
+    left_keys, right_keys = list(by.keys()), list(by.values())
+    n, picked, met = "__n_right", "__picked", "__n_left"
+
+    def unique(side: str) -> str:
+        return f"{side} is not unique by {', '.join(right_keys if side == 'right side' else left_keys)}"
+
+    one = right.groupBy(*[f"`{k}`" for k in right_keys]).agg(
+        F.count(F.lit(1)).alias(n), F.first(F.struct(F.lit(0).alias("__any"), *[F.col(f"`{c}`") for c in select])).alias(picked))
+    if relationship in ("many-to-one", "one-to-one"):
+        one = watch.on(one, [Check("right side", F.col(n) > 1, _shown_keys(right_keys), unique("right side"))])
+    if relationship == "one-to-one":
+        # a left side that is unique is the same after it was reduced to one row a key
+        own = left.groupBy(*[f"`{k}`" for k in left_keys]).agg(
+            F.count(F.lit(1)).alias(met), F.first(F.struct(*[F.col(f"`{c}`") for c in left.columns])).alias("__row"))
+        own = watch.on(own, [Check("left side", F.col(met) > 1, _shown_keys(left_keys), unique("left side"))])
+        left = own.select("__row.*")
+    if relationship == "one-to-many":
+        # how many left rows each right row meets, counted before the join
+        several = left.groupBy(*[f"`{k}`" for k in left_keys]).agg(F.count(F.lit(1)).alias(met))
+        one = key_join(one, several, dict(zip(right_keys, left_keys, strict=True)), "left")
+        one = watch.on(one, [Check("right rows", F.col(met) > 1, _shown_keys(right_keys), "a right row meets more than one left row")]).drop(met)
+    joined = key_join(left, one, by, "left")
+    if relationship in ("one-to-many", "many-to-many"):
+        joined = watch.on(joined, [Check("left rows", F.col(n) > 1, _shown_keys(left_keys), "the join would change the number of left rows")])
+    return joined.withColumns({c: F.col(f"{picked}.`{c}`") for c in select}).drop(n, picked)
+
+
 def unmatched_terms(df: DataFrame, column: str, rows: Sequence[tuple[str, str]]) -> DataFrame:
     """Distinct non-blank values that the codelist does not hold."""
     values = df.select(F.col(column).alias("value")).filter(~is_blank(F.col("value"))).distinct()
@@ -78,23 +118,23 @@ def unmatched_terms(df: DataFrame, column: str, rows: Sequence[tuple[str, str]])
 
 
 def map_terms(
-    df: DataFrame, column: str, target: str, codelist: str, codelists=specs.CODELISTS, check: bool = True
+    df: DataFrame, column: str, target: str, codelist: str, codelists=specs.CODELISTS, check: bool = True, watch: Watch | None = None
 ) -> DataFrame:
     """Exact-match code lookup; a non-blank value without an entry is an error."""
     rows = lookups.codelist_rows(codelist, codelists)
     mapped = lookups.attach(df.drop(target) if target != column else df, rows, "__c string, __t string", {column: "__c"})
     if check:
-        enforce(mapped, [Check(target, ~is_blank(F.col(column)) & F.col("__t").isNull(), F.col(column))])
+        mapped = enforce(mapped, [Check(target, ~is_blank(F.col(column)) & F.col("__t").isNull(), F.col(column))], watch)
     return mapped.withColumn(target, F.col("__t")).drop("__t")
 
 
 def visit_number(
-    df: DataFrame, column: str, target: str, visit_map: str, visit_maps=specs.VISIT_MAPS, check: bool = True
+    df: DataFrame, column: str, target: str, visit_map: str, visit_maps=specs.VISIT_MAPS, check: bool = True, watch: Watch | None = None
 ) -> DataFrame:
     rows = lookups.visit_rows(visit_map, visit_maps)
     mapped = lookups.attach(df, rows, "__v string, __n double", {column: "__v"})
     if check:
-        enforce(mapped, [Check(target, F.col(column).isNotNull() & F.col("__n").isNull(), F.col(column))])
+        mapped = enforce(mapped, [Check(target, F.col(column).isNotNull() & F.col("__n").isNull(), F.col(column))], watch)
     return mapped.withColumn(target, F.col("__n")).drop("__n")
 
 
@@ -117,9 +157,13 @@ def convert_units(
     aliases: Mapping[str, str] = specs.UNIT_ALIASES,
     result: str = "converted",
     check: bool = True,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Linear conversion looked up by (test, unit, target unit); rows are
-    (test, from unit, to unit, multiplier, offset, digits) and exactly one must apply."""
+    (test, from unit, to unit, multiplier, offset, digits) and exactly one must apply.
+
+    With a ``watch`` values that are no number or have no conversion are reported when the table is written, without a
+    pass of their own."""
     target = F.lit(target_unit) if isinstance(target_unit, str) else target_unit
     keys = [tuple(r[:3]) for r in conversions]
     if len(set(keys)) != len(keys):
@@ -134,10 +178,10 @@ def convert_units(
     )
     if check:
         shown = F.concat_ws("/", test, unit, "__to", value)
-        enforce(found, [
+        found = enforce(found, [
             Check("not_numeric", not_a_number(F.col(value)), shown),
             Check("not_registered", F.col("__m").isNull(), shown),
-        ])
+        ], watch)
     converted = linear_convert(F.col("__x"), F.col("__m"), F.col("__o"), F.col("__d"))
     return found.withColumn(result, converted).drop("__unit", "__to", "__x", "__m", "__o", "__d")
 

@@ -22,7 +22,9 @@ PAIR_FIELDS = 8  # identifier-like columns that are tried in pairs
 JOIN_FIELDS = 4
 EXAMPLES = 5
 SHOWN = 121  # one more than a report shows, so that a cut is seen
-NEVER_UNIQUE = 0.5  # an estimated distinct share below this cannot belong to a unique column
+SKETCH_BITS = 12  # registers of a sketch, as a power of two: a standard error of 1.6 percent
+EARLY = 32  # hash classes of which a sketch keeps the first value, by two parts of the hash, to choose examples from
+PROOF_ROWS = 4096  # rows of a partition among which a repeat is looked for first
 
 
 def identifier_like(name: str) -> bool:
@@ -47,35 +49,60 @@ def _shuffled(value: Column) -> tuple[Column, Column]:
     return F.substring(value, 1, SHOWN), F.when(F.length(value) > SHOWN, F.sha2(value, 256))
 
 
-def _format_list(value: Column) -> Column:
-    """Date and time formats that occur among the (distinct) values of a group."""
-    slash = value.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
+# What a date or time of each format looks like.
+FORMAT_SHAPES = {
+    "slash": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "named_month": r"(?i)^(UNK|UN|\d{1,2})-[A-Z]{3}-(UNK|UN|\d{4})$",
+    "iso": r"^\d{4}-\d{2}-\d{2}",
+    "to_second": r"^\d{1,2}:\d{2}:\d{2}$",
+    "to_minute": r"^\d{1,2}:\d{2}$",
+}
+FLAGS = [*FORMAT_SHAPES, "late_first", "late_second"]
+
+
+def _flags(value: Column) -> dict[str, Column]:
+    """Which shapes a whole text has; of a slash date also whether its first or second part passes 12."""
+    out = {name: F.coalesce(value.rlike(shape), F.lit(False)) for name, shape in FORMAT_SHAPES.items()}
     pieces = F.split(value, "/")
-    late_first = F.coalesce(F.max(F.when(slash, pieces[0].try_cast("int") > 12)), F.lit(False))
-    late_second = F.coalesce(F.max(F.when(slash, pieces[1].try_cast("int") > 12)), F.lit(False))
+    for i, name in enumerate(("late_first", "late_second")):
+        out[name] = out["slash"] & F.coalesce(F.get(pieces, F.lit(i)).try_cast("int") > 12, F.lit(False))
+    return out
 
-    def seen(pattern: str) -> Column:
-        return F.coalesce(F.max(value.rlike(pattern)), F.lit(False))
 
+def _format_list(seen: Mapping[str, Column]) -> Column:
+    """Date and time formats of a column, from what its values were seen to have (see ``_flags``)."""
     slash_format = F.when(
-        F.max(slash),
-        F.when(late_first & late_second, "mixed_m/d/y_and_d/m/y")
-        .when(late_first, "d-m-y")
-        .when(late_second, "m/d/y")
+        seen["slash"],
+        F.when(seen["late_first"] & seen["late_second"], "mixed_m/d/y_and_d/m/y")
+        .when(seen["late_first"], "d-m-y")
+        .when(seen["late_second"], "m/d/y")
         .otherwise("m/d/y_or_d/m/y"),
     )
-    to_second, to_minute = seen(r"^\d{1,2}:\d{2}:\d{2}$"), seen(r"^\d{1,2}:\d{2}$")
-    return F.array_compact(F.array(
+    return F.array_join(F.array_compact(F.array(
         slash_format,
-        F.when(seen(r"(?i)^(UNK|UN|\d{1,2})-[A-Z]{3}-(UNK|UN|\d{4})$"), F.lit("dd-mmm-yyyy")),
-        F.when(seen(r"^\d{4}-\d{2}-\d{2}"), F.lit("y-m-d")),
-        F.when(to_second, F.lit("H:M:S")).when(to_minute, F.lit("H:M")),
-    ))
+        F.when(seen["named_month"], F.lit("dd-mmm-yyyy")),
+        F.when(seen["iso"], F.lit("y-m-d")),
+        F.when(seen["to_second"], F.lit("H:M:S")).when(seen["to_minute"], F.lit("H:M")),
+    )), " | ")
+
+
+def _any(name: str) -> Column:
+    return F.coalesce(F.bool_or(name), F.lit(False))
 
 
 def infer_date_formats(df: DataFrame, column: str) -> DataFrame:
     """One row with the formats found in a text column."""
-    return df.select(_text(column).alias("value")).agg(F.array_join(_format_list(F.col("value")), " | ").alias("formats"))
+    flagged = df.select(*[c.alias(n) for n, c in _flags(_text(column)).items()])
+    return flagged.agg(_format_list({n: _any(n) for n in FLAGS}).alias("formats"))
+
+
+def _tokens(value: Column) -> Column:
+    """Spellings of the unknown-part tokens in a whole text."""
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(PARTIAL_TOKEN), F.lit(0)))
+
+
+def _joined_tokens(sets: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(sets)))), " | ")
 
 
 def profile(
@@ -86,31 +113,31 @@ def profile(
     keys: Sequence[str] = (),
     grain: str = "unknown",
 ) -> DataFrame:
-    """One row per column: type, label, missing rate, distinct count, first examples, formats, role.
+    """One row per column: type, label, missing rate, distinct count, first examples, formats, role. All figures are exact.
 
-    The table is unfolded once and reduced to one row per (column, value); all figures come from
-    that. The first five distinct values per column are picked in ``order_by`` order (read order by
-    default); the limit applies in every task before the shuffle.
+    The table is unfolded and reduced to one row per (column, value); formats and tokens are looked for in whole texts
+    before that. The first five distinct values per column are picked in ``order_by`` order (read order by
+    default); the limit applies in every task before the shuffle. ``sketches`` give estimated distinct counts for
+    tables whose distinct values are too many to shuffle, or that grow file by file.
     """
     columns = [c for c in df.columns if c != ROW]
     position = (F.col(f"`{order_by}`") if order_by else F.monotonically_increasing_id()).alias("position")
     long = _unfolded(df, columns, [position])
     shown, digest = _shuffled(F.col("value"))
-    values = long.groupBy("place", shown.alias("value"), digest.alias("digest")).agg(
-        F.min("position").alias("position"), F.count(F.lit(1)).alias("n")
+    found = _flags(F.col("value"))
+    # the tokens are spellings of two words, so their set has a fixed size
+    marked = long.withColumns({**found, "tokens": F.when(F.col("value").rlike(PARTIAL_TOKEN), _tokens(F.col("value")))})
+    values = marked.groupBy("place", shown.alias("value"), digest.alias("digest")).agg(
+        F.min("position").alias("position"), F.count(F.lit(1)).alias("n"),
+        *[_any(n).alias(n) for n in FLAGS], F.flatten(F.collect_set("tokens")).alias("tokens"),
     )
     known = F.col("value").isNotNull()
-    distinct = F.count("value")
     stats = values.groupBy("place").agg(
         F.sum("n").alias("record_count"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
-        distinct.alias("unique_count"),
-        F.array_join(_format_list(F.col("value")), " | ").alias("format_candidates"),
-    )
-    # looked for in whole texts; the tokens are spellings of two words, so the set has a fixed size
-    found = F.array_distinct(F.regexp_extract_all("value", F.lit(PARTIAL_TOKEN), F.lit(0)))
-    tokens = long.filter(F.col("value").rlike(PARTIAL_TOKEN)).groupBy("place").agg(
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(found)))), " | ").alias("partial_tokens")
+        F.count("value").alias("unique_count"),
+        _format_list({n: _any(n) for n in FLAGS}).alias("format_candidates"),
+        _joined_tokens(F.when(F.size("tokens") > 0, F.col("tokens"))).alias("partial_tokens"),
     )
     order = Window.partitionBy("place").orderBy("position", "value")
     first = values.filter(known).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= EXAMPLES)
@@ -120,14 +147,19 @@ def profile(
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = F.array(*[F.lit(c) for c in columns])
     kinds = F.array(*[F.lit(types[c]) for c in columns])
-    variable = names[F.col("place")]
-    role = field_role(variable)
     # one row per column of the table on each side
-    return stats.join(F.broadcast(examples), "place", "left").join(F.broadcast(tokens), "place", "left").select(
+    both = stats.join(F.broadcast(examples), "place", "left")
+    return _report(both.withColumns({"variable": names[F.col("place")], "data_type": kinds[F.col("place")]}), dataset, labels, keys, grain)
+
+
+def _report(figures: DataFrame, dataset: str, labels: Mapping[str, str] | None, keys: Sequence[str], grain: str) -> DataFrame:
+    variable = F.col("variable")
+    role = field_role(variable)
+    return figures.select(
         F.lit(dataset).alias("source_dataset"),
         variable.alias("source_variable"),
         field_label(variable, labels).alias("label"),
-        kinds[F.col("place")].alias("data_type"),
+        "data_type",
         F.coalesce("example_values", F.lit("")).alias("example_values"),
         (role.isin(IDENTIFIER_ROLES) | variable.isin(list(keys))).alias("is_identifier"),
         (F.col("n_missing") / F.col("record_count")).alias("missing_rate"),
@@ -141,6 +173,70 @@ def profile(
     )
 
 
+def sketches(df: DataFrame, file: Column | None = None, order_by: str | None = None) -> DataFrame:
+    """One row per column and file (one file by default) that can be merged with those of other files: counts, formats, tokens,
+    a sketch of the distinct values, and early values to choose examples from.
+
+    Every figure is a partial aggregate of fixed size, so only one row per column and task is shuffled, however many distinct
+    values there are. Store the rows as a table; rows of new files are appended, and ``profile_of`` reads them all.
+    """
+    columns = [c for c in df.columns if c != ROW]
+    position = (F.col(f"`{order_by}`") if order_by else F.monotonically_increasing_id()).alias("position")
+    long = _unfolded(df, columns, [position, (F.lit("") if file is None else file).alias("file")])
+    value = F.col("value")
+    shown, _ = _shuffled(value)
+    parts = {"low": F.pmod(F.xxhash64(value), F.lit(EARLY)), "high": F.pmod(F.shiftright(F.xxhash64(value), 32), F.lit(EARLY))}
+    early = F.struct("position", shown.alias("value"))
+    marked = long.withColumns({**_flags(value), "tokens": F.when(value.rlike(PARTIAL_TOKEN), _tokens(value)), **parts})
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    grouped = marked.groupBy("file", "place").agg(
+        F.count(F.lit(1)).alias("record_count"),
+        F.count_if(value.isNull()).alias("n_missing"),
+        F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("distinct_sketch"),
+        *[_any(n).alias(n) for n in FLAGS],
+        F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"),
+        # the first value of each hash class, of fixed number; a value is missed where earlier ones share both its classes
+        F.array_distinct(F.array_compact(F.array(*[
+            F.min(F.when(value.isNotNull() & (F.col(p) == k), early)) for p in parts for k in range(EARLY)]))).alias("early"),
+    )
+    return grouped.select(
+        "file", F.array(*[F.lit(c) for c in columns])[F.col("place")].alias("variable"), F.col("place").alias("place"),
+        F.array(*[F.lit(types[c]) for c in columns])[F.col("place")].alias("data_type"),
+        "record_count", "n_missing", "distinct_sketch", *FLAGS, "tokens", F.transform(F.array_sort("early"), lambda e: e["value"]).alias("early"),
+    )
+
+
+def merge_sketches(rows: DataFrame) -> DataFrame:
+    """Sketch rows of several files as one row per column. Merging is free of order: halves give what the whole gives."""
+    values = F.array_sort(F.collect_list(F.struct("file", "early")))
+    return rows.groupBy("variable").agg(
+        F.min("place").alias("place"),
+        F.max("data_type").alias("data_type"),
+        F.sum("record_count").alias("record_count"),
+        F.sum("n_missing").alias("n_missing"),
+        F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+        *[_any(n).alias(n) for n in FLAGS],
+        F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"),
+        F.array_distinct(F.flatten(F.transform(values, lambda v: v["early"]))).alias("early"),
+    )
+
+
+def profile_of(
+    rows: DataFrame, dataset: str, labels: Mapping[str, str] | None = None, keys: Sequence[str] = (), grain: str = "unknown"
+) -> DataFrame:
+    """The profile that stored ``sketches`` add up to: as ``profile``, but ``unique_count`` is an estimate (standard error 1.6
+    percent) and the examples are early values, not always the five first."""
+    merged = merge_sketches(rows)
+    figures = merged.select(
+        "variable", "data_type", "record_count", "n_missing",
+        F.hll_sketch_estimate("distinct_sketch").alias("unique_count"),
+        _format_list({n: F.col(n) for n in FLAGS}).alias("format_candidates"),
+        F.array_join(F.array_sort("tokens"), " | ").alias("partial_tokens"),
+        compact(F.slice("early", 1, EXAMPLES)).alias("example_values"),
+    )
+    return _report(figures, dataset, labels, keys, grain)
+
+
 def hide_identifiers(profiled: DataFrame) -> DataFrame:
     """Blank the example values of identifier columns and keys."""
     return profiled.withColumn("example_values", F.when(~F.col("is_identifier"), F.col("example_values")))
@@ -149,45 +245,52 @@ def hide_identifiers(profiled: DataFrame) -> DataFrame:
 def candidate_key(df: DataFrame) -> list[str]:
     """The first complete and unique column, identifier-like names first; else the first such pair.
 
-    A cheap pass without a shuffle finds complete columns and rules out those whose estimated
-    distinct count is far below the row count. Only the rest is counted exactly.
+    A value that occurs twice anywhere proves that its columns are no key. A first pass looks for such proofs among the
+    first rows of every partition, which refutes nearly every column that is no key without shuffling the table. What
+    no proof was found against, single columns and pairs alike, is then counted exactly over all rows in one job.
     """
     columns = [c for c in df.columns if c != ROW]
-    trimmed = {c: F.trim(_text(c)) for c in columns}
-    first = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(is_blank(_text(c))).alias(f"b{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(trimmed[c]).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    rows = first["n"]
-    complete = [c for i, c in enumerate(columns) if first[f"b{i}"] == 0]
-    estimate = {c: first[f"d{i}"] for i, c in enumerate(columns)}
-    likely = [c for c in complete if estimate[c] >= NEVER_UNIQUE * rows]
-    unique = _unique_sets(df, [[c] for c in likely], rows)
-    singles = [s[0] for s in unique]
+    fields = [c for c in columns if identifier_like(c)][:PAIR_FIELDS]
+    sets = [[c] for c in columns] + [list(p) for p in combinations(fields, 2)]
+    refuted = _refuted(df, sets)
+    unique = _unique_sets(df, [s for i, s in enumerate(sets) if i not in refuted])
+    singles = [s[0] for s in unique if len(s) == 1]
     preferred = [c for c in singles if identifier_like(c)] or singles
     if preferred:
         return preferred[:1]
-    fields = [c for c in columns if identifier_like(c)][:PAIR_FIELDS]
-    pairs = [
-        list(p) for p in combinations(fields, 2)
-        if all(c in complete for c in p) and estimate[p[0]] * estimate[p[1]] >= NEVER_UNIQUE * rows
-    ]
-    found = _unique_sets(df, pairs, rows)
-    return found[0] if found else []
+    pairs = [s for s in unique if len(s) == 2]
+    return pairs[0] if pairs else []
+
+
+def _set_values(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """(place, blank, value): each row's value of each column set."""
+    cells = []
+    for i, s in enumerate(sets):
+        blank = F.lit(False)
+        for c in s:
+            blank = blank | is_blank(_text(c))
+        cells.append(F.struct(
+            F.lit(i).alias("place"), blank.alias("blank"), F.array(*[F.struct(*_shuffled(F.trim(_text(c)))) for c in s]).alias("value")))
+    return df.select(F.inline(F.array(*cells)))
+
+
+def _refuted(df: DataFrame, sets: Sequence[Sequence[str]]) -> set[int]:
+    """Numbers of the sets with a blank or repeated value among the first ``PROOF_ROWS`` rows of the partitions."""
+    if not sets:
+        return set()
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = df.where(row < PROOF_ROWS)
+    seen = _set_values(first, sets).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"), F.bool_or("blank").alias("blank"))
+    return {r["place"] for r in seen.where("n > 1 or blank").select("place").distinct().collect()}
 
 
-def _unique_sets(df: DataFrame, sets: list[list[str]], rows: int) -> list[list[str]]:
-    """Those column sets whose distinct values are as many as the rows, all counted in one job."""
+def _unique_sets(df: DataFrame, sets: Sequence[Sequence[str]]) -> list[Sequence[str]]:
+    """Those column sets that are complete and have no value twice, all counted over all rows in one job."""
     if not sets:
         return []
-    cells = [
-        F.struct(F.lit(i).alias("place"), F.array(*[F.struct(*_shuffled(F.trim(_text(c)))) for c in s]).alias("value"))
-        for i, s in enumerate(sets)
-    ]
-    distinct = df.select(F.inline(F.array(*cells))).distinct()
-    counts = {r["place"]: r["d"] for r in distinct.groupBy("place").agg(F.count(F.lit(1)).alias("d")).collect()}
-    return [s for i, s in enumerate(sets) if counts.get(i, 0) == rows]
+    values = _set_values(df, sets).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"), F.bool_or("blank").alias("blank"))
+    bad = {r["place"] for r in values.groupBy("place").agg(F.max("n").alias("n"), F.bool_or("blank").alias("blank")).where("n > 1 or blank").collect()}
+    return [s for i, s in enumerate(sets) if i not in bad]
 
 
 def grain(keys: Sequence[str], one_row_per_subject: bool = False) -> str:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from cohortloom import specs
 from cohortloom.functions.conditions import is_blank
 from cohortloom.functions.text import unit_alias
+from cohortloom.operators.skew import running_total
+from cohortloom.session import ROW_ID, held
 
 
 @dataclass(frozen=True)
@@ -75,8 +77,30 @@ def content_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return balance.filter(F.col("surplus") != 0)
 
 
-def same_content(a: DataFrame, b: DataFrame) -> bool:
-    return a.columns == b.columns and content_difference(a, b).isEmpty()
+def numbered_rows(df: DataFrame, target: str = "row_number") -> DataFrame:
+    """The rows with their place from 1, in the order in which the table has them.
+
+    The table is written once, each row with a number that grows in that order; those numbers are then made dense piece by
+    piece, so a table of any size is numbered without one task that sees all rows.
+    """
+    return running_total(held(df, "ordered"), [], [], target).drop(ROW_ID)
+
+
+def ordered_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that do not stand at the same place in both tables, null and empty text taken as equal: ``place``, the columns as
+    text, and ``surplus`` (1 in the first table only, -1 in the second only).
+
+    The place is a part of what is compared, so two rows that changed places differ although the tables hold the same rows.
+    """
+    place = "__place"
+    while place in a.columns:
+        place += "_"
+    return content_difference(numbered_rows(a, place), numbered_rows(b, place)).withColumn(place, F.col(place).cast("bigint")).withColumnRenamed(place, "place")
+
+
+def same_content(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
+    """Whether two tables hold the same rows, with ``ordered`` also in the same order."""
+    return a.columns == b.columns and (ordered_difference if ordered else content_difference)(a, b).isEmpty()
 
 
 def table_wide(

@@ -27,7 +27,7 @@ from cohortloom.functions.dates import (
 )
 from cohortloom.operators.aggregates import denominators, issue_summary, offender_counts, offender_keys
 from cohortloom.operators.joins import missing_keys, orphans, repeated_keys
-from cohortloom.operators.reshape import content_difference
+from cohortloom.operators.reshape import content_difference, ordered_difference
 from cohortloom.operators.schema import has_kind
 from cohortloom.operators.skew import key_join
 from cohortloom.operators.windows import duplicate_rows
@@ -533,11 +533,13 @@ def empty_table_issue(table: DataFrame, table_id: str) -> DataFrame:
     return rows.filter(F.col("n") == 0).select(*_analysis("TLF002", table_id, "", "The stored table is empty."))
 
 
-def stored_table_issue(stored: DataFrame, recomputed: DataFrame, table_id: str) -> DataFrame:
+def stored_table_issue(stored: DataFrame, recomputed: DataFrame, table_id: str, ordered: bool = False) -> DataFrame:
+    """One issue when a stored table differs from the recomputed one; with ``ordered`` rows that changed places differ too."""
     message = "The stored table differs from the recomputed one."
     if stored.columns != recomputed.columns:
         return stored.sparkSession.range(1).select(*_analysis("TLF003", table_id, "", message))
-    return any_issue(content_difference(stored, recomputed), "TLF003", table_id, "", message)
+    difference = (ordered_difference if ordered else content_difference)(stored, recomputed)
+    return any_issue(difference, "TLF003", table_id, "", message)
 
 
 def overall_row_issue(displayed: DataFrame, recomputed: DataFrame, table_id: str) -> DataFrame:
@@ -564,6 +566,9 @@ def flagged_subject_issue(adae: DataFrame, table_id: str) -> DataFrame:
 # Ordered rules that sort findings of an external validator.
 DICTIONARY_TEXT = r"(?i)not configured|dictionary.*missing|Missing.*dictionary"
 SCOPE_RULES = ["SD1077", "SD1321"]
+EXPECTED_RULE = ("SD0057", "Expected variable")
+DEFINITION_RULE, DEFINITION_TEXT = "DD0101", r"(?i)define\.xml"
+MISSING_DATASET_TEXT = "(?i)Missing .* dataset"
 GENERATED_DOMAINS = ["DM", "AE", "VS"]
 OMITTED_DOMAINS = ["TS", "TA", "TE", "TV", "TI", "SE", "SV", "DS", "EX", "CM", "LB", "MH", "SC", "QS", "RELREC"]
 
@@ -573,13 +578,14 @@ def classify_issue(
     generated: Sequence[str] = tuple(GENERATED_DOMAINS), omitted: Sequence[str] = tuple(OMITTED_DOMAINS),
 ) -> Column:
     text = F.concat_ws(" ", rule, message, variable, value)
-    missing_dataset = message.rlike("(?i)Missing .* dataset")
+    missing_dataset = message.rlike(MISSING_DATASET_TEXT)
+    starts_missing = message.rlike(MISSING_DATASET_TEXT.replace("Missing", "^Missing"))
     in_scope_list = (
-        ((rule == "SD0057") & message.contains("Expected variable"))
+        ((rule == EXPECTED_RULE[0]) & message.contains(EXPECTED_RULE[1]))
         | rule.isin(SCOPE_RULES)
-        | (rule == "DD0101")
-        | message.rlike(r"(?i)define\.xml")
-        | (message.rlike("(?i)^Missing .* dataset") & (domain.isin(list(omitted)) | value.isin(list(omitted))))
+        | (rule == DEFINITION_RULE)
+        | message.rlike(DEFINITION_TEXT)
+        | (starts_missing & (domain.isin(list(omitted)) | value.isin(list(omitted))))
         | ((domain == "GLOBAL") & missing_dataset)
     )
     return (
@@ -628,9 +634,16 @@ def key_health(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def gate_outcome(issues: DataFrame, stage: str) -> DataFrame:
+    """One row: the stage, its errors and warnings, and whether the gate behind it is open."""
+    summary = issue_summary(issues)
+    open_ = (F.col("result") == "passed") & (F.col("errors") == 0)
+    return summary.select(F.lit(stage).alias("stage"), "errors", "warnings", F.when(open_, "open").otherwise("closed").alias("gate"))
+
+
 def gate(issues: DataFrame, stage: str) -> None:
     """Refuse to go on when the checks of a stage found errors."""
-    summary = issue_summary(issues).first()
-    if summary["result"] != "passed" or summary["errors"]:
+    summary = gate_outcome(issues, stage).first()
+    if summary["gate"] != "open":
         raise GateClosed(f"{stage}: {summary['errors']} errors; the next stage must not run")
 

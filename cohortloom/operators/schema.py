@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions.numbers import not_a_number, strict_number
-from cohortloom.operators.checks import Check, enforce, require_columns
+from cohortloom.operators.checks import Check, Watch, enforce, require_columns
 from cohortloom.specs import TableSpec, Variable
 
 SPARK_TYPES = {"character": "string", "numeric": "double", "date": "date"}
@@ -33,19 +33,29 @@ def apply_labels(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df
 
 
-def conform(df: DataFrame, spec: TableSpec, check: bool = True) -> DataFrame:
+def _to_number(df: DataFrame, spec: TableSpec) -> list[Variable]:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [v for v in spec.variables if v.name in types and v.kind == "numeric" and not isinstance(types[v.name], T.NumericType)]
+
+
+def number_checks(df: DataFrame, spec: TableSpec) -> list[Check]:
+    """Non-blank text that is no number, in the numeric columns that ``df`` has as text."""
+    return [Check(f"{spec.name}.{v.name}", not_a_number(F.col(v.name)), F.col(v.name)) for v in _to_number(df, spec)]
+
+
+def conform(df: DataFrame, spec: TableSpec, check: bool = True, watch: Watch | None = None) -> DataFrame:
     """Keep the specified columns in their order and cast them.
 
     A missing required column is an error, a missing optional one is left out, anything else in the
-    table is dropped. Non-blank text that is no number in a numeric column is an error.
+    table is dropped. Non-blank text that is no number in a numeric column is an error, with a ``watch`` when the table
+    is written.
     """
     require_columns(df, spec.required, spec.name)
     present = [v for v in spec.variables if v.name in df.columns]
     types = {f.name: f.dataType for f in df.schema.fields}
-    to_number = [v for v in present if v.kind == "numeric" and not isinstance(types[v.name], T.NumericType)]
+    to_number = _to_number(df, spec)
     if check:
-        checks = [Check(f"{spec.name}.{v.name}", not_a_number(F.col(v.name)), F.col(v.name)) for v in to_number]
-        enforce(df, checks)
+        df = enforce(df, number_checks(df, spec), watch)
     columns = []
     for v in present:
         c = F.col(v.name)

@@ -1,10 +1,12 @@
 """Joins, running totals and first-row flags with one plan, whatever the sizes of table and groups.
 
-Nothing here looks at the data while a plan is built, and no plan depends on how many rows a key has. Joins are
-plain equi-joins: where one key owns a large share of the left rows, Spark splits its partition (adaptive
-execution with ``spark.sql.adaptive.skewJoin.enabled``, both on by default). Running totals cut the space of all
-groups and order keys into pieces, so that a group may own any share of the rows. Flags take the first row of
-each group by aggregates, which are combined before the shuffle, and join it back on a row id.
+No plan depends on how many rows a key has. Joins are plain equi-joins: where one key owns a large share of the left
+rows, Spark splits its partition (adaptive execution with ``spark.sql.adaptive.skewJoin.enabled``, both on by default).
+Running totals and flags work on a held table (``session.held``): what comes before runs once, in the one write that
+gives each row its number, and the passes after it read only the columns they need. A frame that has no row number yet
+is held first. Running totals cut the space of all groups and order keys into pieces, so that a group may own any share
+of the rows. Flags take the first row of each group by one aggregate, which is combined before the shuffle, and join
+it back on the row number.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_KEY, _CUTS, _PIECE, _TOTAL, _BEFORE, _HASH, _COPY = "__order", "__cuts", "__piece", "__total", "__before", "__row_hash", "__row_copy"
+from cohortloom.session import ROW_ID, held
+
+_KEY, _CUTS, _PIECE, _TOTAL, _BEFORE, _LEVEL = "__order", "__cuts", "__piece", "__total", "__before", "__level"
 
 
 def matches(left_keys: Sequence[str], right_keys: Sequence[str], null_safe: bool) -> Column:
@@ -33,7 +37,7 @@ def key_join(
     inner, the right columns that are no keys.
     """
     on = dict(on) if isinstance(on, Mapping) else {k: k for k in on}
-    right_keys = [f"__right{i}" for i in range(len(on))]
+    right_keys = [f"__right{i}" for i in range(len(on))]  # left names may stand in back-ticks
     renamed = right.withColumnsRenamed(dict(zip(on.values(), right_keys, strict=True)))
     return left.join(renamed, matches(list(on), right_keys, null_safe), how).drop(*right_keys)
 
@@ -53,7 +57,8 @@ def order_key(order: Sequence[str]) -> Column:
 def _cuts(keyed: DataFrame, pieces: int) -> Column:
     """The cut points, as a scalar: the ``pieces`` keys with the smallest hashes, sorted, in blocks of about the square root.
 
-    The choice depends on the values only, so a lost task that runs again finds the same points.
+    Keys end with the row number, so rows that tie are cut like others. The choice depends on the held values only, so
+    a lost task that runs again finds the same points.
     """
     chosen = keyed.select(_KEY).orderBy(F.xxhash64(_KEY), _KEY).limit(pieces)
     points = chosen.agg(F.array_sort(F.collect_set(_KEY)).alias("cuts"))
@@ -80,16 +85,17 @@ def running_total(
     weight: str | None = None,
     start_at: int = 1,
 ) -> DataFrame:
-    """Exact row number, or running sum of ``weight``, per group in ``order`` (nulls last).
+    """Exact row number, or running sum of ``weight``, per group in ``order`` (nulls last, ties by row number).
 
     The rows of all groups, in the order of group and ``order``, are cut at as many keys as there are shuffle partitions.
     Each piece of a group is numbered on its own, and shifted by the total of the group's pieces before it. Only groups that
     cross a cut have such a total, so those are no more than two rows for each cut. How many cuts there are changes how
-    the work is split, never the numbers. ``order`` must name each row of a group uniquely where the numbers have to be
-    repeatable.
+    the work is split, never the numbers. The rows are shuffled once; cuts and totals read the keys of the held table.
     """
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn(_KEY, order_key([*partition, *order]))
+    rows = held(df, "numbered")
+    order = [*order, ROW_ID]
+    keyed = rows.withColumn(_KEY, order_key([*partition, *order]))
     placed = keyed.withColumn(_CUTS, _cuts(keyed, pieces)).withColumn(_PIECE, _place(F.col(_CUTS), F.col(_KEY))).drop(_KEY, _CUTS)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     totals = placed.groupBy(*partition, _PIECE).agg(amount.alias(_TOTAL))
@@ -103,7 +109,8 @@ def running_total(
         own = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     else:
         own = F.row_number().over(window).cast("bigint") + (start_at - 1)
-    return shifted.withColumn(target, own + F.coalesce(F.col(_BEFORE), F.lit(0))).drop(_PIECE, _BEFORE)
+    numbered = shifted.withColumn(target, own + F.coalesce(F.col(_BEFORE), F.lit(0))).drop(_PIECE, _BEFORE)
+    return numbered if ROW_ID in df.columns else numbered.drop(ROW_ID)
 
 
 def flag_first(
@@ -117,27 +124,25 @@ def flag_first(
 ) -> DataFrame:
     """Set each flag on the first (or last) eligible row of its group; other rows stay null.
 
-    ``flags`` names the grouping columns per flag, from coarse to fine, each a part of the next. Rows rank by ``order``, then
-    ``row_key``, then the hash of the whole row. A row's id is that hash and a number among the rows that share it, so it is
-    unique even where ``row_key`` repeats, and exactly one row of a group is flagged. The best row of each finest
-    group is found first, those of coarser groups among these, and the winners are joined back on the id.
+    ``flags`` names the grouping columns per flag. Rows rank by ``order``, then ``row_key``, then their row number, so
+    exactly one row of a group is flagged, also where rows repeat. An eligible row stands for its group of every flag in one
+    aggregate, which is combined before it is shuffled, so a group may own any share of the rows. The winners, one row for
+    each flagged row, are joined back on the row number: the rows themselves are shuffled once.
     """
     names = list(flags)
-    ordering = [*order, *[k for k in row_key if k not in order], _HASH, _COPY]
-    rows = df.drop(*names)
-    rows = rows.withColumn(_HASH, F.xxhash64(*rows.columns))
-    rows = rows.withColumn(_COPY, F.row_number().over(Window.partitionBy(_HASH).orderBy(_HASH)))
+    rows = held(df.drop(*names), "flagged")
+    ordering = [*order, *[k for k in row_key if k not in order], ROW_ID]
     pick = F.max if last else F.min
     rank = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(ordering)]) if last else order_key(ordering)
-    level = rows.filter(eligible).select(*flags[names[-1]], rank.alias(_KEY))
-    levels = {}
-    for name in reversed(names):
-        level = level.groupBy(*flags[name]).agg(pick(_KEY).alias(_KEY))
-        levels[name] = level
-    row_id = [F.col(f"{_KEY}.v{ordering.index(k)}").alias(k) for k in (_HASH, _COPY)]
-    winners = reduce(DataFrame.unionByName, [
-        levels[name].select(*row_id, *[F.lit(value if other == name else None).cast("string").alias(other) for other in names])
-        for name in names
-    ])
-    winners = winners.groupBy(_HASH, _COPY).agg(*[F.max(n).alias(n) for n in names])
-    return key_join(rows, winners, [_HASH, _COPY]).drop(_HASH, _COPY)
+    columns = list(dict.fromkeys(c for group in flags.values() for c in group))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    groups = F.inline(F.array(*[
+        F.struct(F.lit(i).alias(_LEVEL), *[(F.col(c) if c in flags[name] else F.lit(None).cast(kinds[c])).alias(f"g{k}") for k, c in enumerate(columns)])
+        for i, name in enumerate(names)
+    ]))
+    best = rows.where(eligible).select(rank.alias(_KEY), groups).groupBy(_LEVEL, *[f"g{k}" for k in range(len(columns))]).agg(pick(_KEY).alias(_KEY))
+    winner = F.col(f"{_KEY}.v{len(ordering) - 1}").alias(ROW_ID)
+    marks = [F.max(F.when(F.col(_LEVEL) == i, F.lit(value))).alias(name) for i, name in enumerate(names)]
+    winners = best.select(winner, _LEVEL).groupBy(ROW_ID).agg(*marks)
+    flagged = key_join(rows, winners, [ROW_ID])
+    return flagged if ROW_ID in df.columns else flagged.drop(ROW_ID)

@@ -19,15 +19,20 @@ from cohortloom.operators.ordering import total_order
 from cohortloom.operators.rules import OCCURRENCE_FLAGS
 from cohortloom.operators.schema import apply_labels
 from cohortloom.operators.windows import first_occurrence
-from cohortloom.specs import AnalysisPlan
+from cohortloom.specs import AnalysisPlan, TableSpec
 
-SUBJECT_SOURCE = [
-    "STUDYID", "USUBJID", "SUBJID", "SITEID", "AGE", "AGEU", "SEX", "RACE", "ETHNIC", "COUNTRY",
-    "ARM", "ARMCD", "ACTARM", "ACTARMCD", "RFSTDTC", "RFENDTC",
-]
-EVENT_SOURCE = ["STUDYID", "USUBJID", "AESEQ", "AESTDTC", "AEENDTC", "AEBODSYS", "AEDECOD"]
-SUBJECT_VARIABLES = ["TRT01P", "TRT01PN", "TRT01A", "TRT01AN", "TRTSDT", "TRTEDT", "SAFFL"]
-TREATMENT_NAMES = {"TRT01P": "TRTP", "TRT01PN": "TRTPN", "TRT01A": "TRTA", "TRT01AN": "TRTAN"}
+def _columns(spec: TableSpec, table: str) -> list[str]:
+    """The columns of ``table`` that the variables of a specification come from, in its order."""
+    return list(dict.fromkeys(s.split(".")[1] for v in spec.variables for s in v.sources if s.split(".")[0] == table))
+
+
+SUBJECT_SOURCE = _columns(specs.ADSL, "DM")
+EVENT_SOURCE = list(dict.fromkeys([*specs.ADAE.keys, *_columns(specs.ADAE, "AE")]))
+SUBJECT_VARIABLES = _columns(specs.ADAE, "ADSL")
+#: Subject columns that events carry under another name.
+TREATMENT_NAMES = {
+    v.sources[0].split(".")[1]: v.name for v in specs.ADAE.variables if v.rule_id == "COPY_ADSL" and v.sources[0] != f"ADSL.{v.name}"
+}
 
 
 def derive_subjects(dm: DataFrame, plan: AnalysisPlan, ordered: bool = True) -> DataFrame:

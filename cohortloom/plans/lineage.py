@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.specs import AnalysisPlan, TableSpec, Task
+from cohortloom.specs import UNIT_CONVERSION_VERSION, AnalysisPlan, TableSpec, Task
 
 TASK_SCHEMA = (
     "task_id string, assembly_group_id string, target_domain string, output_kind string, "
@@ -29,10 +29,23 @@ def task_table(spark: SparkSession, tasks: Sequence[Task], sources: Mapping[str,
     return spark.createDataFrame(rows, TASK_SCHEMA)
 
 
-def field_lineage(tasks: DataFrame, manifests: DataFrame) -> DataFrame:
-    """One row per step with its sources and targets, and the checksum of the table it helped to build.
+# Parameters that say how tables are joined, and how dates are chosen.
+JOIN_PARAMETERS = ["left_dataset", "right_dataset", "by", "relationship", "join_type"]
+AGGREGATION_PARAMETERS = ["selection", "subject_keys", "sources"]
 
-    ``manifests`` (dataset, records, checksum, ...) has one row per table.
+
+def _rule(transform: str, names: Sequence[str]) -> Column:
+    """The named parameters of a step of one kind of transform as JSON text, empty for other steps."""
+    chosen = F.map_filter("step.parameters", lambda k, _: k.isin(list(names)))
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(chosen)))
+    return F.when(F.col("step.transform_id") == transform, F.to_json(ordered)).otherwise("")
+
+
+def field_lineage(tasks: DataFrame, manifests: DataFrame, counts: Mapping[str, int] | None = None) -> DataFrame:
+    """One row per step with its sources and targets, its rules, the rows it made, and the checksum of the table it helped to build.
+
+    ``manifests`` (dataset, records, checksum, ...) has one row per table. ``counts`` gives the rows of each step
+    (``Draft.counted``, taken while the table was written); without it a step has the rows of its table.
     """
     steps = tasks.select("task_id", F.col("assembly_group_id").alias("mapping_id"), "target_domain", "source_fields", F.explode("steps").alias("step"))
     rows = steps.select(
@@ -40,11 +53,19 @@ def field_lineage(tasks: DataFrame, manifests: DataFrame) -> DataFrame:
         F.col("step.target_variables").alias("target_variables"),
         F.array_sort(F.array_distinct(F.transform("source_fields", lambda f: F.split(f, r"\.")[0]))).alias("source_datasets"),
         "source_fields",
+        _rule("merge_sources", JOIN_PARAMETERS).alias("join_rule"),
+        _rule("derive_reference_datetime", AGGREGATION_PARAMETERS).alias("aggregation_rule"),
         F.col("step.transform_id").alias("transform_id"),
         F.to_json("step.parameters").alias("transform_parameters"),
+        F.when(F.col("step.transform_id") == "standardize_unit", UNIT_CONVERSION_VERSION).otherwise("").alias("unit_conversion_version"),
     )
-    sizes = manifests.select(F.col("dataset").alias("target_domain"), F.col("records").alias("records_created"), "checksum")
-    return rows.join(F.broadcast(sizes), "target_domain", "left").orderBy("target_domain", "mapping_id", "task_id")
+    sizes = manifests.select(F.col("dataset").alias("target_domain"), F.col("records").alias("__records"), "checksum")
+    made = tasks.sparkSession.createDataFrame([(k, int(n)) for k, n in (counts or {}).items()], "__step string, __made bigint")
+    # both have one row per table or step of the specification
+    known = rows.join(F.broadcast(sizes), "target_domain", "left").join(
+        F.broadcast(made), F.concat_ws("/", "task_id", "transform_id") == F.col("__step"), "left")
+    counted = known.withColumn("records_created", F.coalesce("__made", "__records")).drop("__made", "__records", "__step")
+    return counted.orderBy("target_domain", "mapping_id", "task_id", "transform_id")
 
 
 def variable_lineage(spark: SparkSession, spec: TableSpec, plan: AnalysisPlan, inputs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,34 +13,44 @@ from cohortloom.operators import rules
 from cohortloom.operators.aggregates import denominators, manifest, partial_date_notes
 from cohortloom.operators.joins import lineage_ids
 from cohortloom.plans import analysis, lineage, tables
-from cohortloom.plans.mapping import build_domain
+from cohortloom.plans.mapping import draft_domain
 from cohortloom.session import checkpointed, materialised
 from cohortloom.specs import AnalysisPlan, Task
 
 
 @dataclass(frozen=True)
 class Stage:
-    """Tables of a stage, the issues found in them, and a manifest with one row per table."""
+    """Tables of a stage, the issues found in them, a manifest with one row per table, and the rows that each step made."""
 
     tables: dict[str, DataFrame]
     issues: DataFrame
     manifest: DataFrame
+    counts: dict[str, int] = field(default_factory=dict)
 
 
-def build_standard_tables(
+def build_standard(
     tasks: Sequence[Task], sources: Mapping[str, DataFrame], domain_sources: Mapping[str, str], check: bool = True
-) -> dict[str, DataFrame]:
-    """DM first, as the other tables take their reference dates from it.
+) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The standard tables and the rows that each step made; DM first, as the others take their reference dates from it.
 
-    The sources are written to the shared folder once: the row number given at reading must not
-    change when a lost task reads its file again.
+    Each source is read once, by the write of its table's rows: the row number given at reading must not change
+    when a lost task reads its file again, and the checks ride on that write.
     """
-    held = {name: materialised(df, name) for name, df in sources.items()}
     built: dict[str, DataFrame] = {}
+    counts: dict[str, int] = {}
     for domain in sorted(domain_sources, key=lambda d: d != "DM"):
-        table = build_domain(domain, tasks, held, domain_sources[domain], built.get("DM"), check)
-        built[domain] = materialised(table, domain)
-    return built
+        draft = draft_domain(domain, tasks, sources, domain_sources[domain], built.get("DM"), check)
+        table = draft.write()
+        counts |= draft.counted()
+        # numbers and flags are computed once, for all that reads the table
+        built[domain] = materialised(table, domain) if draft.looks_across else table
+    return built, counts
+
+
+def build_standard_tables(
+    tasks: Sequence[Task], sources: Mapping[str, DataFrame], domain_sources: Mapping[str, str], check: bool = True
+) -> dict[str, DataFrame]:
+    return build_standard(tasks, sources, domain_sources, check)[0]
 
 
 def check_standard_tables(
@@ -73,9 +83,9 @@ def manifests(named: Mapping[str, DataFrame]) -> DataFrame:
 def standard_stage(
     tasks: Sequence[Task], sources: Mapping[str, DataFrame], domain_sources: Mapping[str, str], run_id: str = ""
 ) -> Stage:
-    built = build_standard_tables(tasks, sources, domain_sources)
+    built, counts = build_standard(tasks, sources, domain_sources)
     issues = materialised(check_standard_tables(built, tasks, run_id), "standard-issues")
-    return Stage(built, issues, manifests(built))
+    return Stage(built, issues, manifests(built), counts)
 
 
 def analysis_stage(standard: Stage, plan: AnalysisPlan) -> Stage:
@@ -127,7 +137,7 @@ def check_tables(
     ]
     for name, table in stored.items():
         frames.append(rules.empty_table_issue(table, name))
-        frames.append(rules.stored_table_issue(table, built[name], name))
+        frames.append(rules.stored_table_issue(table, built[name], name, ordered=True))
     return rules.union_all(frames)
 
 

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A number that no other row of a held table has.
+ROW_ID = "__row_id"
 
 
 def local_session(cpus: str | int = 8, app: str = "cohortloom", partitions: int | None = None) -> SparkSession:
@@ -46,12 +50,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+def materialised(df: DataFrame, name: str = "table", watch=None) -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it from there.
 
     Later passes read only the columns they need, and a lost executor costs no recomputation of
-    what came before. The row order is not kept.
+    what came before. The row order is not kept. Checks of a ``watch`` that ride on the frame are settled after the
+    write, so that a table that breaks one is never handed on.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if watch is None else watch.written(df)).write.parquet(path)
+    if watch is not None:
+        watch.settle()
     return df.sparkSession.read.parquet(path)
+
+
+def held(df: DataFrame, name: str = "held", watch=None) -> DataFrame:
+    """``df`` written once with a row number (``ROW_ID``) that is unique and stays, since it is in the file.
+
+    What is held already is returned as it is.
+    """
+    if ROW_ID in df.columns:
+        return df
+    return materialised(df.withColumn(ROW_ID, F.monotonically_increasing_id()), name, watch)

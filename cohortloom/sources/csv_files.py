@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,10 +110,71 @@ def check_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     first = F.count(f"`{names[0]}`")
     count = rows.agg(F.count(_BAD).alias("n"), first.alias("c")).first()["n"]
     if count:
-        raise ContractError(f"{count} lines do not fit the header")
+        shown = [] if multi_line else refused_lines(spark, path, names).orderBy("file", "split", "line").limit(5).collect()
+        places = "; ".join(f"{r['file'].rsplit('/', 1)[-1]} line {r['line']}: {r['reason']}" for r in shown)
+        raise ContractError(f"{count} lines do not fit the header" + (f" ({places})" if places else ""))
     return read_literal(spark, path, names, False, multi_line).drop(ROW)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split (its first byte), id (grows in the order of the lines) and value of every line of the files."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+
+
+def _fields(value: Column) -> Column:
+    """The fields of a line as they are written; commas inside quotes do not part them."""
+    return F.regexp_extract_all(F.concat(F.lit(","), value), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+
+
+def _unquoted(field: Column) -> Column:
+    inner = F.regexp_replace(F.regexp_extract(field, r'^"((?:[^"]|"")*)"$', 1), '""', '"')
+    return F.when(field.startswith('"'), inner).otherwise(F.trim(field))
+
+
+def header_report(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """file, header and first difference of every file of a folder, compared in one job; null where a header fits.
+
+    ``names`` are the expected columns, by default those of the first file by path. An empty file has no header and no row.
+    """
+    first = _lines(spark, path).where("split = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    first = first.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
+    found = F.transform(_fields(F.col("header")), _unquoted)
+    expected = F.array(*[F.lit(n) for n in names or header(spark, path)])
+    place = F.sequence(F.lit(0), F.greatest(F.size("found"), F.size("expected")) - 1)
+    other = F.filter(place, lambda i: ~F.get("found", i).eqNullSafe(F.get("expected", i)))
+    at = F.get(other, F.lit(0))
+    mine, theirs = F.get("found", at), F.get("expected", at)
+    text = (
+        F.when(at.isNull(), None)
+        .when(mine.isNull(), F.concat(F.lit("column "), at + 1, F.lit(": "), theirs, F.lit(" is missing")))
+        .when(theirs.isNull(), F.concat(F.lit("column "), at + 1, F.lit(": "), mine, F.lit(" is not expected")))
+        .otherwise(F.concat(F.lit("column "), at + 1, F.lit(": "), mine, F.lit(" in place of "), theirs))
+    )
+    return first.withColumns({"found": found, "expected": expected}).select("file", "header", text.alias("difference"))
+
+
+def refused_lines(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """The lines that do not fit the header: file, split, line (from 1 within the split), text, reason.
+
+    For files whose fields hold no line breaks. Blank lines and the first line of each file are not judged (``header_report``
+    does that). Only refused lines are shuffled; a split's first line is found by an aggregate.
+    """
+    n = len(names or header(spark, path))
+    lines = _lines(spark, path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    fields = F.size(_fields(F.col("value")))
+    reason = (
+        F.when(quotes % 2 == 1, "a quote is not closed")
+        .when(fields > n, F.concat(fields.cast("string"), F.lit(f" fields, the header names {n}")))
+        .when(fields < n, F.concat(fields.cast("string"), F.lit(f" fields, the header names {n}")))
+    )
+    bad = lines.where(F.trim("value") != "").withColumn("reason", reason).where("reason is not null")
+    begin = lines.groupBy("file", "split").agg(F.min("id").alias("begin"))
+    placed = bad.join(begin, ["file", "split"]).withColumn("line", F.col("id") - F.col("begin") + 1)
+    return placed.where("not (split = 0 and line = 1)").select("file", "split", "line", F.col("value").alias("text"), "reason")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Null becomes an empty field; dates are ISO text."""
     df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)

@@ -79,6 +79,9 @@ UNIT_CONVERSIONS: dict[str, list[tuple]] = {
     ]
 }
 
+#: Version of the conversions above, named in the lineage of every converted value.
+UNIT_CONVERSION_VERSION = "1.0.0"
+
 # Spelled-out unit -> unit.
 UNIT_ALIASES: dict[str, str] = {
     "centimeters": "cm",
@@ -106,6 +109,13 @@ TEST_PAIRS: dict[str, tuple[str, str]] = {
 }
 
 
+# Columns of a findings table.
+FINDING_NAMES: dict[str, str] = {
+    "code": "VSTESTCD", "name": "VSTEST", "result": "VSORRES", "unit": "VSORRESU", "number": "VSSTRESN", "text": "VSSTRESC",
+    "standard_unit": "VSSTRESU", "date": "VSDTC", "visit": "VISIT", "timepoint": "VSTPT", "status": "VSSTAT",
+}
+
+
 @dataclass(frozen=True)
 class Variable:
     """A column of a target table. ``kind`` is ``character``, ``numeric`` or ``date``."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import aggregates, joins, windows
 from cohortloom.operators.skew import flag_first, key_join, running_total
+from cohortloom.session import held
 
 
 @pytest.fixture(scope="module")
@@ -39,15 +40,51 @@ def test_row_numbers(spark, df, rows, cuts):
 
 
 def test_no_job_runs_while_a_plan_is_built(spark, df):
+    rows = held(df)
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("planning", "plans only")
-    running_total(df, ["key"], ["x", "id"], "n")
-    flag_first(df, {"a": ["key"]}, F.col("x") > 10, ["x"], ["id"])
-    windows.duplicate_rows(df, ["key"])
+    running_total(rows, ["key"], ["x", "id"], "n")
+    flag_first(rows, {"a": ["key"]}, F.col("x") > 10, ["x"], ["id"])
+    windows.duplicate_rows(rows, ["key"])
     assert len(tracker.getJobIdsForGroup("planning")) == 0
     spark.sparkContext.setJobGroup("other", "")
 
 
+def test_what_comes_before_runs_once(spark, df):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    slow = df.withColumn("x", counted("x"))
+    running_total(slow, ["key"], ["x", "id"], "n").count()
+    assert seen.value == 3000
+    flag_first(slow, {"a": ["key"], "b": ["key", "w"]}, F.col("x") > 10, ["x"], ["id"]).count()
+    assert seen.value == 6000
+
+
+def test_two_shuffles_of_flagged_rows_and_two_scans(spark, df):
+    flagged = flag_first(held(df), {"a": ["key"], "b": ["key", "w"]}, F.col("x") > 10, ["x"], ["id"])
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 1
+
+
+@pytest.mark.parametrize("cuts", [2, 16])
+def test_tied_keys_are_cut_too(spark, cuts):
+    rows = [("hot", 1, i) for i in range(2000)] + [(f"k{i}", i % 3, i) for i in range(50)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", cuts)
+    own = held(spark.createDataFrame(rows, "k string, x int, i int").repartition(3))
+    found = running_total(own, ["k"], ["x"], "n")
+    pieces = found.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    got = found.collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r["n"] for r in got if r["k"] == "hot") == list(range(1, 2001))
+    assert all(r["n"] == 1 for r in got if r["k"] != "hot") and (cuts == 2 or pieces > 1)
+
+
 def test_one_flag_where_the_row_key_repeats(spark):
     rows = [("s", 1, 5, "x")] * 3 + [("s", 1, 5, "y"), ("t", 1, 2, "x"), ("t", 1, 2, "x")]
     found = flag_first(spark.createDataFrame(rows, "k string, id int, x int, v string"), {"a": ["k"], "b": ["k", "v"]}, F.lit(True), ["x"], ["id"])
