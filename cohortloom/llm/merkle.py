@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.skew import running_total
-from cohortloom.session import materialised
+from cohortloom.session import held, materialised
 
 #: Levels that one grouping builds: blocks of 16 nodes.
 STEP = 4
@@ -100,6 +100,7 @@ def proofs(leaves: DataFrame, name: str = "merkle") -> DataFrame:
     top = roots[0]
     for r in roots[1:]:
         top = top.unionByName(r)
+    top = materialised(top, f"{name}-roots")  # one row a tree, so that its size is known to the join
     return nodes.where("stage = 0").join(top, "tree").select("tree", "hash", "item", "proof", "top")
 
 
@@ -130,15 +131,15 @@ def manifest(rows: DataFrame, key: Column, group: Column, hashed: Column, carrie
     are hashed whole, one row at a time; no group is gathered: blocks of 16 nodes are the largest unit.
     """
     item = F.struct(key.alias("key"), (F.lit(None).cast("binary") if carried is None else F.unhex(carried)).alias("carried"))
-    leaves = materialised(rows.select(tree_of(group).alias("tree"), F.unhex(hashed).alias("hash"), item.alias("item"), key.alias("key")), "merkle-leaves")
+    leaves = held(rows.select(tree_of(group).alias("tree"), F.unhex(hashed).alias("hash"), item.alias("item"), key.alias("key")), "merkle-leaves")
     placed = running_total(leaves, ["tree"], ["key", "hash"], "pos", start_at=0)
     placed = materialised(placed.select("tree", "pos", "hash", "item"), "merkle-places")
     own = materialised(proofs(placed), "merkle-proofs")
-    groups = own.groupBy("tree").agg(F.first("top").alias("hash"))
+    groups = held(own.groupBy("tree").agg(F.first("top").alias("hash")), "merkle-trees")
     ranked = running_total(groups.withColumn("all", F.lit("t")), ["all"], ["tree"], "pos", start_at=0)
     ranked = materialised(ranked.select(F.col("all").alias("tree"), "pos", "hash", F.col("tree").alias("item")), "merkle-ranks")
     above = proofs(ranked, "merkle-groups")
-    above = above.select(F.col("item").alias("tree"), F.col("proof").alias("rest"), F.col("top").alias("root"))
+    above = materialised(above.select(F.col("item").alias("tree"), F.col("proof").alias("rest"), F.col("top").alias("root")), "merkle-above")
     return own.join(above, "tree").select(
         "item.key", F.col("hash").alias("leaf"), "item.carried", F.col("top").alias("subroot"), F.concat("proof", "rest").alias("proof"), "root")
 
