@@ -29,17 +29,24 @@ def local_session(cpus: str | int = 8, app: str = "cohortloom", partitions: int
     )
 
 
+#: Folders of local sessions that name none, by application; they go when the process ends.
+_OWN: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where none is named (a local test) does this pick one itself.
+    Only where none is named (a local test) does this make one itself, one for the session, removed when the process ends.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is not None:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="cohortloom-")
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = tempfile.TemporaryDirectory(prefix="cohortloom-", ignore_cleanup_errors=True)
+    return _OWN[own].name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
