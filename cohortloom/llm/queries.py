@@ -174,34 +174,37 @@ def _rule_sql(part: int) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+#: Rounds of parting that the SQL spells out; the operator itself goes on until no group is parted.
+URL_ROUNDS = 6
+
+
 def urls_sql() -> str:
+    whole = f"regexp_matches(x, '{url_filter.HEX_ID}') OR regexp_matches(x, '{url_filter.TITLE}') OR length(rtrim(x, '/')) > {url_filter.LONG}"
     out = f"""WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
 split AS (SELECT page_id, {LOWER.format("h")} AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
-base AS (SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS ruled FROM split),
-r0 AS (SELECT host, path, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad,
-  '' AS parent, '' AS template, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM base GROUP BY host, path)"""
-    for n in range(1, url_filter.DEPTH + 1):
+base AS (SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS ruled, list_transform(regexp_extract_all(path, '[^/]+/?'),
+  lambda x: CASE WHEN {whole} THEN CASE WHEN ends_with(x, '/') THEN '*/' ELSE '*' END ELSE regexp_replace(x, '[0-9]+', '#', 'g') END) AS s FROM split),
+leaf AS (SELECT host, CASE WHEN len(s) > 0 THEN s ELSE [''] END AS s, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad
+  FROM base GROUP BY ALL),
+step AS (SELECT host, s, good, bad, k, s[1:k] AS node, s[1:k-1] AS parent FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM leaf) x),
+g0 AS (SELECT host, node, parent, sum(good) AS good, sum(bad) AS bad, '' AS g FROM step GROUP BY host, node, parent HAVING sum(good + bad) > 0)"""
+    for n in range(1, URL_ROUNDS + 1):
         out += f""",
-k{n} AS (SELECT host, template, count(DISTINCT s[{n}]) > {url_filter.BRANCHES} AS variable FROM r{n - 1} WHERE len(s) >= {n} GROUP BY host, template),
-r{n} AS (SELECT r.host, path, good, bad, s, CASE WHEN len(s) >= {n} THEN r.template ELSE parent END AS parent,
-  CASE WHEN len(s) >= {n} THEN r.template || '/' || CASE WHEN NOT variable THEN s[{n}] WHEN regexp_matches(s[{n}], '[0-9]')
-    THEN regexp_replace(s[{n}], '[0-9]+', '#', 'g') ELSE '*' END ELSE r.template END AS template
-  FROM r{n - 1} r LEFT JOIN k{n} k ON k.host = r.host AND k.template = r.template)"""
-    last = f"r{url_filter.DEPTH}"
+t{n} AS (SELECT *, CAST(good + bad AS DOUBLE) AS n, sum(good) OVER w AS ag, CAST(sum(good + bad) OVER w - (good + bad) AS DOUBLE) AS rest
+  FROM g{n - 1} WINDOW w AS (PARTITION BY host, parent, g)),
+a{n} AS (SELECT *, CASE WHEN rest > 0 THEN (good / n - (ag - good) / rest) * (good / n - (ag - good) / rest)
+  > {url_filter.ALIKE * url_filter.ALIKE!r} * (ag / (n + rest) * (1 - ag / (n + rest))) * (1 / n + 1 / rest) ELSE false END AS apart FROM t{n}),
+g{n} AS (SELECT host, node, parent, good, bad, g || CASE WHEN NOT bool_or(apart) OVER (PARTITION BY host, parent, g) THEN ''
+  WHEN good / n < ag / (n + rest) THEN '<' ELSE '>' END AS g FROM a{n})"""
     return out + f""",
-leaf AS (SELECT host, path, good, bad, CASE WHEN len(s) > {url_filter.DEPTH} THEN template ELSE parent END AS parent,
-  CASE WHEN len(s) > {url_filter.DEPTH} THEN template || '/**' ELSE template END AS template FROM {last}),
-own AS (SELECT host, parent, template, sum(good) AS good, sum(bad) AS bad FROM leaf GROUP BY ALL),
-pool AS (SELECT *, CAST(good + bad AS DOUBLE) AS n, sum(good) OVER w AS ag, CAST(sum(good + bad) OVER w - (good + bad) AS DOUBLE) AS rest
-  FROM own WINDOW w AS (PARTITION BY host, parent)),
-tested AS (SELECT *, CASE WHEN n > 0 AND rest > 0 THEN (good / n - (ag - good) / rest) * (good / n - (ag - good) / rest)
-  <= {url_filter.ALIKE * url_filter.ALIKE!r} * (ag / (n + rest) * (1 - ag / (n + rest))) * (1 / n + 1 / rest) ELSE false END AS merged FROM pool),
-pure AS (SELECT host, template, CASE WHEN merged THEN sum(good) OVER w ELSE good END AS g, CASE WHEN merged THEN sum(bad) OVER w ELSE bad END AS b
-  FROM tested WINDOW w AS (PARTITION BY host, parent, merged))
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN CAST(g + 1 AS DOUBLE) / CAST(g + b + 2 AS DOUBLE) < {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
-  template, CAST(g + 1 AS DOUBLE) / CAST(g + b + 2 AS DOUBLE) AS purity
-FROM base JOIN leaf USING (host, path) JOIN pure USING (host, template)"""
+pure AS (SELECT host, node, g, CAST(sum(good) OVER w + 1 AS DOUBLE) / CAST(sum(good + bad) OVER w + 2 AS DOUBLE) AS purity
+  FROM g{URL_ROUNDS} WINDOW w AS (PARTITION BY host, parent, g)),
+known AS (SELECT host, s, coalesce(arg_max(purity, k) FILTER (WHERE g <> '' OR (k = 1 AND g = '')), 0.5) AS purity
+  FROM step LEFT JOIN pure USING (host, node) GROUP BY host, s)
+SELECT page_id, b.host, path, rule, coalesce(ruled, CASE WHEN purity < {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || array_to_string(k.s, '') AS template, CAST(purity AS DOUBLE) AS purity
+FROM base b JOIN known k ON k.host = b.host AND k.s = CASE WHEN len(b.s) > 0 THEN b.s ELSE [''] END"""
 
 
 def op8_pieces(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> DataFrame:

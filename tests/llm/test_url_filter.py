@@ -42,14 +42,79 @@ def test_templates_and_purity(spark):
     got = {r.page_id: r for r in judged(spark, rows, label=F.when(F.col("page_id") % 4 != 0, ~bad))}
     assert {got[i].template for i in range(20)} == {"/shop/#/view"} and {got[i].verdict for i in range(20)} == {"allow"}
     assert {got[i].template for i in range(20, 40)} == {"/spam/#.html"} and {got[i].verdict for i in range(20, 40)} == {"block"}
-    assert got[40].template == "/x/x/x/x/x/x/**" == got[41].template
-    assert {got[i].template for i in range(42, 54)} == {"/*"}
+    assert got[40].template == "/x/x/x/x/x/x/end" and got[41].template == "/x/x/x/x/x/x/x/x/x/end"
+    assert {got[i].template for i in range(42, 54)} == {f"/{c}" for c in "abcdefghijkl"}
     assert got[0].purity > 0.9 > 0.1 > got[20].purity
 
 
+def test_what_a_segment_holds(spark):
+    cases = {"/a/7": "/a/#", "/a-1_2/x.html": "/*/x.html", "/one-two/": "/one-two/", "/one": "/one", "/one-two-three.html": "/*", "/%C3%A9": "/*", "/a-b-c//d/": "/*/d/", "//": "/", "": "/",
+             "/0123456789abcdef": "/*", "/0123456789abcde": "/#abcde", f"/{'y' * 32}": f"/{'y' * 32}", f"/{'y' * 33}/z": "/*/z"}
+    got = judged(spark, [(i, f"http://h.org{p}") for i, p in enumerate(cases)])
+    assert {r.page_id: r.template for r in got} == dict(enumerate(cases.values()))
+
+
 def test_similar_branches_merge(spark):
-    # b has one bad url of one, c and d many: alone b would have a purity of 1/3, merged it has theirs
+    # b has one bad url, c and d many, a only good ones: alone b would have a purity of 1/3
     rows = [(i, f"http://h.org/{'bccccddddaaaa'[i % 13]}/{i}/{i}") for i in range(13 * 12)]
     label = F.when(F.col("url").contains("/a/"), True).when(F.col("url").contains("/b/"), F.when(F.col("page_id") == 0, False)).otherwise(False)
     got = {r.template: r.purity for r in judged(spark, rows, label=label)}
-    assert got["/a/#/#"] > 0.9 and got["/b/#/#"] <= 1 / 3
+    assert got == {"/a/#/#": 49 / 50, **{f"/{c}/#/#": 1 / 99 for c in "bcd"}}
+
+
+def test_number_of_siblings_does_not_matter(spark):
+    for good in (1, 7, 8, 9, 40):
+        urls = [f"http://h.org/s{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}/{i}" for k in range(good) for i in range(30)]
+        urls += [f"http://h.org/bad/{i}" for i in range(30)]
+        label = F.when(F.col("page_id") % 3 > 0, ~F.col("url").contains("/bad/"))
+        got = judged(spark, list(enumerate(urls)), label=label)
+        assert {(r.template, r.verdict) for r in got if "bad" in r.template} == {("/bad/#", "block")}
+        assert {r.verdict for r in got if "bad" not in r.template} == {"allow"} and len(got) == len(urls)
+
+
+def test_unlabelled_leaves_of_merged_inner_branches(spark):
+    # two branches that are all bad beside a large good one; /p/new and /q/new have no labels of their own
+    urls = ["http://h.org/p/x"] * 4 + ["http://h.org/q/x"] + ["http://h.org/ok/x"] * 100
+    rows = list(enumerate(urls)) + [(200, "http://h.org/p/new"), (201, "http://h.org/q/new"), (202, "http://h.org/other/x"), (203, "http://h.org")]
+    label = F.when(F.col("page_id") < 200, ~F.col("url").rlike("/[pq]/"))
+    got = {r.page_id: (r.purity, r.verdict) for r in judged(spark, rows, label=label)}
+    assert got[200] == got[201] == (1 / 7, "block") and got[202] == got[203] == (0.5, "allow")
+
+
+def brute_groups(counts):
+    """Groups of siblings (name: (good, bad)) by the rule, one group after the other."""
+    todo, done = [sorted(counts)], []
+    while todo:
+        group = todo.pop()
+        good, n = sum(counts[c][0] for c in group), sum(sum(counts[c]) for c in group)
+
+        def apart(c):
+            g, m = counts[c][0], sum(counts[c])
+            if n == m:
+                return False
+            return (g / m - (good - g) / (n - m)) ** 2 > 1.96 * 1.96 * (good / n * (1 - good / n)) * (1 / m + 1 / (n - m))
+
+        if any(apart(c) for c in group):
+            low = [c for c in group if counts[c][0] / sum(counts[c]) < good / n]
+            todo += [low, [c for c in group if c not in low]]
+        else:
+            done.append((group, (good + 1) / (n + 2)))
+    return {c: purity for group, purity in done for c in group}
+
+
+def test_groups_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, expected = [], {}
+    for h in range(6):
+        counts = {}
+        for c in (a + b for a in "abcdef" for b in "ghijkl"):
+            n, share = rng.choice([1, 1, 2, 9, 40]), rng.choice([0, 0.2, 0.5, 0.9, 1])
+            good = sum(rng.random() < share for _ in range(n))
+            counts[c] = (good, n - good)
+            rows += [(int(i < good), f"http://h{h}.org/{c}") for i in range(n)]
+        expected |= {(f"h{h}.org", f"/{c}"): p for c, p in brute_groups(counts).items()}
+    got = {(r.host, r.template): r.purity for r in judged(spark, rows, label=F.col("page_id") == 1)}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-12 for k in got)
+    assert len({p for (h, _), p in expected.items() if h == "h0.org"}) >= 3
