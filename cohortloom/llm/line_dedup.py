@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import materialised
 
-LEAST_CHARS = 10
-LEAST_CHARS_NEAR = 20
+LEAST_CHARS_NEAR = 20  # shorter lines go only as exact repeats: one edit makes another word of them
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 BLOCK = 32
 BLOCKS = 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (without spaces at its ends), line_key for every line that takes part."""
+    """doc_id, line_no (from 0), line (without spaces at its ends), line_key for every line that is not blank."""
     lines = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", F.trim("raw").alias("line")).where(F.length("line") >= LEAST_CHARS)
+    lines = lines.select("doc_id", "line_no", F.trim("raw").alias("line")).where(F.col("line").rlike(NOT_BLANK))
     return lines.withColumn("line_key", F.xxhash64("line"))
 
 
@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_droppe
     """``docs`` with the lines taken out that an earlier line repeats, and two more columns, named by ``counts`` (they replace
     columns of those names): how many lines there were, and how many are gone.
 
-    Lines are what newlines part; spaces at a line's ends don't count. Lines under 10 characters stay, those under
+    Lines are what newlines part; spaces at a line's ends don't count. Blank lines stay, lines under
     20 characters go only as exact repeats, longer ones also if one character is inserted, deleted or replaced.
     Earlier means a smaller doc_id (null first), then a smaller line number. n_chars, where there is such a
     column, is set to the new length; all other columns stay. A null text stays null and has no lines. Rows that

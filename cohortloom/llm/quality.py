@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.llm import texts
+from cohortloom.session import materialised
 
-#: Most labelled rows of each class that the network is trained on, and most chunks of each.
+#: Most labelled rows of each class that the network is trained on, and most bytes of their whole texts together.
 SAMPLE_ROWS = 1000
-SAMPLE_CHUNKS = 12
+SAMPLE_BYTES = 8 << 20
 CELL = 64  # bytes in a cell; filters are max-pooled within it
 CHUNK = 8  # cells in a chunk
 STEP = 7  # cells from one chunk to the next, so that chunks overlap by a cell
@@ -23,6 +24,7 @@ WIDTH = 8  # bytes that a filter sees
 STRIDE = 2
 CHANNELS = 6
 FILTERS = 24
+SLICE = 1024  # chunks whose responses are in memory at a time
 
 
 @dataclass
@@ -48,11 +50,11 @@ class Network:
 
 def _layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other, each followed by ``WIDTH`` or more zero bytes up to whole cells, and their first cells."""
-    size = np.diff(offsets)
-    cells = -(-(size + WIDTH) // CELL)
+    cells = -(-(np.diff(offsets) + WIDTH) // CELL)
     first = np.concatenate([[0], np.cumsum(cells)])
     out = np.zeros(first[-1] * CELL + WIDTH, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * CELL - offsets[:-1], size)] = data
+    for at, i, j in zip(first[:-1] * CELL, offsets[:-1], offsets[1:], strict=True):
+        out[at : at + j - i] = data[i:j]
     return out, first
 
 
@@ -78,6 +80,15 @@ def _responses(net: Network, padded: np.ndarray, first: np.ndarray) -> tuple[np.
     return seen, out
 
 
+def _sliced(net: Network, padded: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``SLICE`` chunks: their numbers (from, to), the first cell, and ``_responses`` from that cell on."""
+    for a in range(0, len(begin), SLICE):
+        b = min(a + SLICE, len(begin))
+        lo, hi = begin[a], end[b - 1]
+        inside = first[np.searchsorted(first, lo, "right") : np.searchsorted(first, hi, "right")] - lo
+        yield a, b, lo, *_responses(net, padded[lo * CELL : hi * CELL + WIDTH], np.concatenate([[0], inside]))
+
+
 def _pooled(responses: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     cells = responses.reshape(-1, CELL // STRIDE, FILTERS).max(axis=1)
     cells = np.concatenate([cells, np.full((1, FILTERS), -np.inf, np.float32)])
@@ -91,10 +102,14 @@ def _combined(active: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The probability of label 1 of each text, from all its bytes; an empty text is one cell of zeros."""
+    """The probability of label 1 of each text, from all its bytes; an empty text is one cell of zeros.
+
+    Beside the texts and a padded copy of them, memory holds 24 numbers a chunk and the responses of ``SLICE`` chunks.
+    """
     padded, first = _layout(data, offsets)
     begin, end, count = _chunks(first)
-    active = np.maximum(_pooled(_responses(net, padded, first)[1], begin, end) + net.bias, 0)
+    best = [_pooled(responses, begin[a:b] - lo, end[a:b] - lo) for a, b, lo, _, responses in _sliced(net, padded, first, begin, end)]
+    active = np.maximum(np.concatenate(best) + net.bias, 0)
     z = (_combined(active, count) @ net.top + net.shift[0]).astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -102,9 +117,10 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
 def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     padded, first = _layout(data, offsets)
     begin, end, count = _chunks(first)
-    seen, responses = _responses(net, padded, first)
-    best = _pooled(responses, begin, end)
-    active = np.maximum(best + net.bias, 0)
+    slices = _sliced(net, padded, first, begin, end)
+    held = list(slices) if len(begin) <= SLICE else None  # a longer batch goes through its slices twice
+    best = [_pooled(responses, begin[a:b] - lo, end[a:b] - lo) for a, b, lo, _, responses in held or slices]
+    active = np.maximum(np.concatenate(best) + net.bias, 0)
     rep = _combined(active, count)
     p = 1 / (1 + np.exp(-np.clip(rep @ net.top + net.shift[0], -30, 30)))
     dz = ((p - label) * weight / len(weight)).astype(np.float32)
@@ -116,12 +132,13 @@ def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, label: np.nd
     d_active = np.where(active > 0, d_active, 0).astype(np.float32)
     d_filters, d_embedding = np.zeros_like(net.filters), np.zeros_like(net.embedding)
     per_cell = CELL // STRIDE
-    for c in np.flatnonzero(np.any(d_active != 0, axis=1)):
-        lo = begin[c] * per_cell
-        at = lo + responses[lo : end[c] * per_cell].argmax(axis=0)
-        d_filters += seen[at].T * d_active[c]
-        d_seen = (net.filters * d_active[c]).T.reshape(FILTERS, WIDTH, CHANNELS)
-        np.add.at(d_embedding, padded[at[:, None] * STRIDE + np.arange(WIDTH)], d_seen)
+    for a, b, lo, seen, responses in held or _sliced(net, padded, first, begin, end):
+        for c in a + np.flatnonzero(np.any(d_active[a:b] != 0, axis=1)):
+            low = (begin[c] - lo) * per_cell
+            at = low + responses[low : (end[c] - lo) * per_cell].argmax(axis=0)
+            d_filters += seen[at].T * d_active[c]
+            d_seen = (net.filters * d_active[c]).T.reshape(FILTERS, WIDTH, CHANNELS)
+            np.add.at(d_embedding, padded[lo * CELL + at[:, None] * STRIDE + np.arange(WIDTH)], d_seen)
     return [d_embedding, d_filters, d_active.sum(axis=0), dz @ rep, dz.sum(keepdims=True)]
 
 
@@ -153,38 +170,32 @@ def fit(samples: list[tuple[bytes, int]], share: float = 0.5, passes: int = 12,
     return net
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training bytes of each text: all of it, or chunks spread evenly over it."""
-    size = CELL * CHUNK
-    for batch in batches:
-        data, offsets = texts.flat(batch.column("text"))
-        out = []
-        for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-            chunks = -(-(j - i) // size)
-            at = [i + n * chunks // SAMPLE_CHUNKS * size for n in range(SAMPLE_CHUNKS)] if chunks > SAMPLE_CHUNKS else range(i, j, size)
-            out.append(b"".join(data[a : min(a + size, j)].tobytes() for a in at))
-        yield pa.RecordBatch.from_pydict({"bytes": pa.array(out, pa.binary()), "label": batch.column("label")})
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
-    """Train on at most ``rows`` labelled documents of each class, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Network:
+    """Train on whole texts of at most ``rows`` labelled documents and ``size`` bytes of each class.
 
-    ``labels`` has doc_id and label (0, 1; anything else is left out). An id with several labels has the greatest.
-    Of a long text at most ``SAMPLE_CHUNKS`` chunks are used, spread over all of it, so that at most
-    2 * rows * 6 KB reach the driver; scoring always reads whole texts. The classes weigh as often as they occur.
+    ``labels`` has doc_id and label (0, 1; anything else is left out). An id with several labels has the greatest, an
+    id with several texts the first in binary order. Documents come in the order of the hashes of their ids; one whose
+    text does not fit into what is left of ``size`` is left out of the sample, never cut, so that at most 2 * ``size`` bytes reach
+    the driver. The classes weigh as often as they occur.
     """
     labels = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     counts = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     if not counts:
         return fit([])
-    order = F.xxhash64("doc_id")
+    order, spark = F.xxhash64("doc_id"), docs.sparkSession
     chosen = labels.where("label = 0").orderBy(order, "doc_id").limit(rows).union(
         labels.where("label = 1").orderBy(order, "doc_id").limit(rows))
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id bigint, label int")
-    own = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(chosen), "doc_id")  # 2 * rows at most
-    own = own.select("text", "label", "doc_id").dropDuplicates(["doc_id"]).select("text", "label", "doc_id")
-    cut = own.mapInArrow(_cut, T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("label", T.IntegerType())]))
-    samples = sorted((bytes(r.bytes), r.label) for r in cut.collect())
+    chosen = spark.createDataFrame(chosen.collect(), "doc_id bigint, label int")
+    own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * rows at most
+    own = own.groupBy("doc_id", "label").agg(F.min("text").cast("binary").alias("bytes"))
+    own = materialised(own.withColumn("size", F.octet_length("bytes")), "quality-sample")
+    left, taken = {0: size, 1: size}, []
+    for r in own.select("doc_id", "label", "size").orderBy(order, "doc_id").collect():  # 2 * rows at most
+        if r["size"] <= left[r.label]:
+            left[r.label] -= r["size"]
+            taken.append((r.doc_id,))
+    own = own.join(F.broadcast(spark.createDataFrame(taken, "doc_id bigint")), "doc_id")
+    samples = sorted((bytes(r.bytes), r.label) for r in own.select("bytes", "label").collect())
     return fit(samples, counts.get(1, 0) / sum(counts.values()))
 
 

@@ -144,10 +144,10 @@ def line_dedup_sql(source: str, prefix: str = "") -> str:
     return f"""{p}parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM {source} WHERE text IS NOT NULL),
 {p}lines AS (SELECT doc_id, k, p[k] AS raw, trim(p[k], ' ') AS t, doc_id * 10000000 + k AS pos
   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM {p}parts) x),
-{p}kinds AS (SELECT t, length(t) AS n, min(pos) AS pos FROM {p}lines WHERE length(t) >= {line_dedup.LEAST_CHARS} GROUP BY t),
+{p}kinds AS (SELECT t, length(t) AS n, min(pos) AS pos FROM {p}lines WHERE regexp_matches(t, '[^\\x20\\x09-\\x0D]') GROUP BY t),
 {p}lacking AS (SELECT t, n, pos, i, md5(substr(t, 1, i - 1) || substr(t, i + 1)) AS h
-  FROM (SELECT t, n, pos, unnest(range(1, n + 1)) AS i FROM {p}kinds WHERE n >= {line_dedup.LEAST_CHARS_NEAR}) y),
-{p}whole AS (SELECT pos, md5(t) AS h FROM {p}kinds WHERE n >= {line_dedup.LEAST_CHARS_NEAR}),
+  FROM (SELECT t, n, pos, unnest(range(1, n + 1)) AS i FROM {p}kinds WHERE n >= 20) y),
+{p}whole AS (SELECT pos, md5(t) AS h FROM {p}kinds WHERE n >= 20),
 {p}near AS (
   SELECT t FROM (SELECT t, pos, min(pos) OVER (PARTITION BY n, i, h) AS first FROM {p}lacking) z WHERE first < pos
   UNION SELECT t FROM {p}lacking l JOIN {p}whole w ON l.h = w.h AND w.pos < l.pos

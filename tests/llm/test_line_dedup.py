@@ -17,8 +17,8 @@ def near(a, b):
 
 def brute(rows):
     lines = sorted((i, k, x.strip(" ")) for i, t in rows if t is not None for k, x in enumerate(t.split("\n")))
-    gone = {(i, k) for n, (i, k, x) in enumerate(lines) if len(x) >= 10 and any(
-        len(y) >= 10 and (j, m) < (i, k) and near(x, y) for j, m, y in lines[:n])}
+    gone = {(i, k) for n, (i, k, x) in enumerate(lines) if x.strip() and any(
+        y.strip() and (j, m) < (i, k) and near(x, y) for j, m, y in lines[:n])}
     return sorted((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows)
 
 
@@ -30,7 +30,7 @@ def edited(rng, line):
 def test_matches_brute_force(spark):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abc é") for _ in range(n))
-    pool = [text(n) for n in (5, 9, 10, 15, 19, 20, 21, 31, 32, 33, 63, 64, 65, 66, 100, 330, 2047, 2048, 2049, 2050, 9000) for _ in range(2)]
+    pool = ["\t", "\r"] + [text(n) for n in (1, 2, 5, 9, 10, 15, 19, 20, 21, 31, 32, 33, 63, 64, 65, 66, 100, 330, 2047, 2048, 2049, 2050, 9000) for _ in range(2)]
     rows = []
     for i in range(60):
         lines = []

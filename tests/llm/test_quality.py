@@ -1,5 +1,7 @@
 """The convolutional network: held-out accuracy, gradients, whole texts and odd rows."""
 
+import tracemalloc
+
 import numpy as np
 
 from cohortloom.llm import quality, texts
@@ -13,6 +15,9 @@ def test_held_out_accuracy(spark):
     known = [(labels[r.doc_id], r.predicted) for r in rows if r.doc_id in labels]
     assert sum(a == b for a, b in known) / len(known) > 0.96
     assert sum(b for a, b in known if a) / sum(a for a, _ in known) > 0.98
+    sizes = {r.doc_id: r.n for r in spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "octet_length(text) as n").collect()}
+    long = [labels[r.doc_id] == r.predicted for r in rows if r.doc_id in labels and (sizes[r.doc_id] or 0) > 6144]
+    assert len(long) > 50 and sum(long) / len(long) > 0.96
 
 
 def test_gradients_match_differences():
@@ -37,6 +42,55 @@ def test_gradients_match_differences():
         assert abs((high - low) / 2e-3 - g[at]) < 0.05 * abs(g[at]) + 1e-4
 
 
+def plain(net, text):
+    """The probability by its definition: filters at every second byte, the best in each chunk, mean and maximum of chunks."""
+    cells = -(-(len(text) + 8) // 64)
+    padded = text + bytes(cells * 64 + 8 - len(text))
+    embedded = [net.embedding[b].astype(float) for b in padded]
+    response = [sum((embedded[i + k] @ net.filters[k * 6 : k * 6 + 6].astype(float) for k in range(8)), np.zeros(24)) for i in range(0, cells * 64 - 6, 2)]
+    chunks, at = [], 0
+    while True:
+        end = min(at + 8, cells)
+        chunks.append(np.maximum(np.max(response[at * 32 : end * 32], axis=0) + net.bias, 0))
+        if end == cells:
+            break
+        at += 7
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.top + net.shift[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_matches_plain_convolution(monkeypatch):
+    net, rng = quality.Network.start(4), np.random.default_rng(5)
+    cases = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 55, 56, 57, 120, 448, 504, 505, 600, 3000, 5001)]
+    data, offsets = np.frombuffer(b"".join(cases), np.uint8), np.cumsum([0, *map(len, cases)])
+    expected = [plain(net, c) for c in cases]
+    label, weight = np.arange(len(cases)) % 2, np.ones(len(cases), np.float32)
+    whole = quality._gradients(net, data, offsets, label.astype(np.float32), weight)
+    for most in (1024, 7, 1):
+        monkeypatch.setattr(quality, "SLICE", most)
+        assert np.allclose(quality.probabilities(net, data, offsets), expected, rtol=1e-4)
+        for x, y in zip(whole, quality._gradients(net, data, offsets, label.astype(np.float32), weight), strict=True):
+            assert np.allclose(x, y, rtol=1e-3, atol=1e-6)
+
+
+def test_memory_of_a_long_text():
+    net, data = quality.Network.start(3), np.full(16 << 20, 101, np.uint8)
+    tracemalloc.start()
+    quality.probabilities(net, data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
+
+
+def test_texts_that_exceed_the_sample_are_left_out_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab" * (50 if i % 5 else 5000)) for i in range(40)] + [(40, None), (1, "a")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id bigint, label int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda samples, share: seen.extend(samples))
+    quality.train(docs, labels, size=2000)
+    assert sorted(seen) == sorted([(b"", 0), (b"a", 1)] + [(b"ab" * 50, i % 2) for i in range(40) if i % 5 and i != 1])
+
+
 def test_every_chunk_counts():
     net = quality.Network.start(3)
     blank = np.full(20_000, 32, np.uint8)
