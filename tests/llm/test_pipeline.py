@@ -59,7 +59,7 @@ def test_line_dedup(stages):
 
 def test_near_duplicates(stages):
     before, after = stages[2]
-    want = sql(before, f"WITH RECURSIVE {near_duplicates_sql('d')} SELECT d.* FROM d JOIN near USING (doc_id) WHERE doc_id = component_id")
+    want = sql(before, f"WITH RECURSIVE {near_duplicates_sql('d', threshold=80)} SELECT d.* FROM d JOIN near USING (doc_id) WHERE doc_id = component_id")
     assert list(after.columns) == COLUMNS and rows(after, COLUMNS) == sorted(want)
 
 
