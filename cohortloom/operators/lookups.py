@@ -37,5 +37,9 @@ def conversion_rows(conversion_set: str, sets: Mapping[str, Sequence[tuple]] = s
 def attach(
     df: DataFrame, rows: Sequence[tuple], schema: str, on: Mapping[str, str]
 ) -> DataFrame:
-    """Left join to a lookup with one row per key; Spark broadcasts it where its size allows."""
-    return key_join(df, as_table(df.sparkSession, rows, schema), on)
+    """Left join to a lookup with one row per key.
+
+    The rows come with the specification, as a list of the driver, so they are broadcast: a shuffle would deal the rows of
+    ``df`` to as many tasks as the lookup has keys. Without the hint Spark takes a table made of a list for a large one.
+    """
+    return key_join(df, F.broadcast(as_table(df.sparkSession, rows, schema)), on)

@@ -197,3 +197,21 @@ def test_guarded_join(spark):
         joins.guarded_left_join(left.withColumn("k", F.lit(3)), right, {"k": "k"}, "many-to-many", ["r"])
     with pytest.raises(ContractError):
         joins.guarded_left_join(left, unique, {"k": "k"}, "one-to-many", ["r"])
+
+
+PER_UNIT = [("A", "kg", "g", 1000.0, 0.0, 0), ("B", "kg", "g", 10.0, 1.0, 0)]
+
+
+def _measures(spark, n=600):
+    code = F.when(F.col("id") % 3 == 0, "A").otherwise("B")
+    return spark.range(0, n, 1, 3).select("id", code.alias("code"), F.lit("kilo").alias("unit"), F.col("id").cast("string").alias("value"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_are_converted_where_the_rows_are(spark):
+    done = joins.convert_units(_measures(spark), "value", "unit", "code", "g", PER_UNIT, {"kilo": "kg"}, "x")
+    assert "hashpartitioning" not in _plan(done)
+    assert {r["id"]: r["x"] for r in done.collect()} == {i: float(i * 1000 if i % 3 == 0 else i * 10 + 1) for i in range(600)}
