@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import aggregates, joins, windows
+from cohortloom.operators.checks import Watch
 from cohortloom.operators.skew import flag_first, key_join, running_total
-from cohortloom.session import held
+from cohortloom.session import held, materialised
 
 
 @pytest.fixture(scope="module")
@@ -215,3 +216,12 @@ def test_units_are_converted_where_the_rows_are(spark):
     done = joins.convert_units(_measures(spark), "value", "unit", "code", "g", PER_UNIT, {"kilo": "kg"}, "x")
     assert "hashpartitioning" not in _plan(done)
     assert {r["id"]: r["x"] for r in done.collect()} == {i: float(i * 1000 if i % 3 == 0 else i * 10 + 1) for i in range(600)}
+
+
+def test_watched_lookups_are_found_where_the_rows_are(spark):
+    watch = Watch()
+    done = joins.convert_units(_measures(spark), "value", "unit", "code", "g", PER_UNIT, {"kilo": "kg"}, "x", watch=watch)
+    done = joins.map_terms(done, "code", "term", "SEXES", {"SEXES": {"A": "first", "B": "second"}}, watch=watch)
+    assert "hashpartitioning" not in _plan(done)
+    written = materialised(done, "watched-lookups", watch)
+    assert {(r["code"], r["term"]) for r in written.collect()} == {("A", "first"), ("B", "second")}
