@@ -15,12 +15,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.session import ROW_ID, held
 
-_KEY, _CUTS, _PIECE, _TOTAL, _BEFORE, _LEVEL = "__order", "__cuts", "__piece", "__total", "__before", "__level"
+_KEY, _CUTS, _CUT, _PIECE, _TOTAL, _BEFORE, _LEVEL = "__order", "__cuts", "__cut", "__piece", "__total", "__before", "__level"
 
 
 def matches(left_keys: Sequence[str], right_keys: Sequence[str], null_safe: bool) -> Column:
@@ -77,6 +77,13 @@ def _place(cuts: Column, key: Column) -> Column:
     return F.coalesce(place, F.lit(0))
 
 
+def _cut_groups(spark: SparkSession, cuts: Column, partition: Sequence[str]) -> DataFrame:
+    """The groups that hold a cut point, under ``__group0``, ... with a mark; at most one for each cut."""
+    points = spark.range(0, 1, 1, 1).select(cuts.alias(_CUTS)).select(F.inline(F.flatten(F.col(f"{_CUTS}.blocks"))))
+    groups = points.select(*[F.col(f"v{i}").alias(f"__group{i}") for i in range(len(partition))])
+    return groups.distinct().withColumn(_CUT, F.lit(True))
+
+
 def running_total(
     df: DataFrame,
     partition: Sequence[str],
@@ -89,16 +96,26 @@ def running_total(
 
     The rows of all groups, in the order of group and ``order``, are cut at as many keys as there are shuffle partitions.
     Each piece of a group is numbered on its own, and shifted by the total of the group's pieces before it. Only groups that
-    cross a cut have such a total, so those are no more than two rows for each cut. How many cuts there are changes how
+    cross a cut have such a total, so those are no more than two rows for each cut. A group without a cut point is one piece
+    as it is, so only the rows of groups that hold one look for their piece. How many cuts there are changes how
     the work is split, never the numbers. The rows are shuffled once; cuts and totals read the keys of the held table.
     """
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = held(df, "numbered")
     order = [*order, ROW_ID]
-    keyed = rows.withColumn(_KEY, order_key([*partition, *order]))
-    placed = keyed.withColumn(_CUTS, _cuts(keyed, pieces)).withColumn(_PIECE, _place(F.col(_CUTS), F.col(_KEY))).drop(_KEY, _CUTS)
+    key = order_key([*partition, *order])
+    cuts = _cuts(rows.withColumn(_KEY, key), pieces)
+    if partition:
+        groups = _cut_groups(rows.sparkSession, cuts, partition)
+        held_by = [f"__group{i}" for i in range(len(partition))]
+        marked = rows.join(F.broadcast(groups), matches(partition, held_by, True), "left").drop(*held_by)
+    else:
+        marked = rows.withColumn(_CUT, F.lit(True))
+    placed = marked.withColumn(_CUTS, F.when(F.col(_CUT), cuts)).withColumn(_KEY, F.when(F.col(_CUT), key))
+    placed = placed.withColumn(_PIECE, F.when(F.col(_CUT), _place(F.col(_CUTS), F.col(_KEY))).otherwise(0)).drop(_KEY, _CUTS)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    totals = placed.groupBy(*partition, _PIECE).agg(amount.alias(_TOTAL))
+    totals = placed.where(_CUT).groupBy(*partition, _PIECE).agg(amount.alias(_TOTAL))
+    placed = placed.drop(_CUT)
     earlier = Window.partitionBy(*partition).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn(_BEFORE, F.sum(_TOTAL).over(earlier)).where(F.col(_BEFORE).isNotNull()).drop(_TOTAL)
     names = {c: f"__group{i}" for i, c in enumerate([*partition, _PIECE])}

@@ -225,3 +225,19 @@ def test_watched_lookups_are_found_where_the_rows_are(spark):
     assert "hashpartitioning" not in _plan(done)
     written = materialised(done, "watched-lookups", watch)
     assert {(r["code"], r["term"]) for r in written.collect()} == {("A", "first"), ("B", "second")}
+
+
+def test_only_rows_of_groups_that_hold_a_cut_look_for_their_piece(spark):
+    """500 groups of 3 rows and 4 cuts: at most 4 groups are joined to the rows as cut; the numbers are right all the same."""
+    df = held(spark.range(0, 1500, 1, 3).selectExpr("id % 500 as key", "id", "if(id % 500 = 7, null, id % 2) as part"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    numbered = running_total(df, ["key", "part"], ["id"], "n")
+    whole = running_total(df, [], ["id"], "n")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "__cut#" in numbered._jdf.queryExecution().optimizedPlan().toString()
+    groups = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: r["id"]):
+        groups[(r["key"], r["part"])].append(r["id"])
+    assert {r["id"]: r["n"] for r in numbered.collect()} == {i: n for g in groups.values() for n, i in enumerate(g, start=1)}
+    assert {r["id"]: r["n"] for r in whole.collect()} == {i: i + 1 for i in range(1500)}
