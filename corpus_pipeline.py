@@ -40,9 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids, n_tokens (their number) and round_trip (whether they decode to the text again); columns of
-    these names are replaced."""
+    these names are replaced. The ids are written in between, so that a task never holds two Python workers with the model."""
     model = pieces.load(PIECE_MODEL)
-    out = pieces.decode(pieces.encode(docs, model), model)
+    out = pieces.decode(materialised(pieces.encode(docs, model), "pipeline-ids"), model)
     return out.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")], "ids", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 

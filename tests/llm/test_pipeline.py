@@ -90,6 +90,13 @@ def test_pieces(stages):
         assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == list(ids) and n == len(ids)
 
 
+def test_a_task_of_the_last_stage_runs_one_python_function(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id bigint, text string")
+    out = corpus_pipeline.to_pieces(spark, docs, None)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.round_trip) for r in out.collect()) == [(1, True), (2, True)]
+
+
 def test_run_gives_the_last_stage(stages, spark):
     assert rows(corpus_pipeline.run(spark, FOLDER).toPandas(), COLUMNS) == rows(stages[-1][1], COLUMNS)
 
